@@ -1,22 +1,246 @@
-"""The queries of this subpackage, and SQL for those that SQL can express."""
+r"""The queries of this subpackage, and SQL for those that SQL can express.
+
+Each runs its operator with production parameters over a whole table and derives columns
+from the operator's output. The SQL is DuckDB's and computes the same rows by itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tremolo.llm._text import crc32_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def language_fold() -> Column:
+    return crc32_mod(F.col("doc_id"), 3) == 1
+
+
+def quality_fold() -> Column:
+    return crc32_mod(F.col("doc_id"), 4) == 2
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremolo.llm.jaccard_join import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.preference import preference_pairs, swapped_answers, trained_chars
+
+    p = preference_pairs(*swapped_answers(_table(spark, sf_dir, "conversations")))
+    sides = [x for s in ("chosen", "rejected") for x in (F.length(s).cast("long").alias(f"{s}_chars"), F.md5(F.col(s).cast("binary")).alias(f"{s}_md5"), trained_chars(F.col(f"{s}_mask")).alias(f"{s}_trained"))]
+    return p.select("pair_id", "n_prompt", F.length("prompt").cast("long").alias("prompt_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), *sides)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm._sample import labelled
+    from tremolo.llm.quality_rules import PER_LABEL, apply_rules, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    return apply_rules(docs, learn(labelled(docs, _table(spark, sf_dir, "labels"), "quality", PER_LABEL)))
+
+
+def op4_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.impact_search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.sampled_pieces import sample_encodings
+
+    e = sample_encodings(_table(spark, sf_dir, "documents"), k=2)
+    return e.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion", "round_trip")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("shards", F.lit(0)).alias("first_shard"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.language_id import identify, learn
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language_fold())
+    return identify(docs, learn(docs.where(~F.col("held_out"))))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm._sample import labelled
+    from tremolo.llm.quality_nbsvm import PER_LABEL, fit, score
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", quality_fold())
+    rows = labelled(docs, _table(spark, sf_dir, "labels"), "quality", PER_LABEL, where=~quality_fold())
+    return score(docs, fit([r[1:] for r in rows]))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_preference_pairs": op2_preference_pairs,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_impact_search": op4_impact_search,
+    "op5_sampled_pieces": op5_sampled_pieces,
+    "op6_mixing": op6_mixing,
+    "op7_language_id": op7_language_id,
+    "op8_warc": op8_warc,
+    "op9_license_scan": op9_license_scan,
+    "op10_quality_nbsvm": op10_quality_nbsvm,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP2_SQL = """
+WITH t AS (
+  SELECT conv_id AS pair_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), a AS (
+  SELECT pair_id, max({'turn': turn, 'text': text}) AS a FROM t WHERE role = 'assistant' GROUP BY pair_id
+), p AS (
+  SELECT a.pair_id, a.a.turn AS last, a.a.text AS answer, o.a.text AS other
+  FROM a JOIN a AS o ON o.pair_id = xor(a.pair_id, 1::BIGINT)
+), c AS (
+  SELECT t.pair_id, turn, role, text, CASE WHEN turn = last THEN other ELSE text END AS alt
+  FROM t JOIN p USING (pair_id)
+  WHERE turn < last OR (turn = last AND role = 'assistant' AND text = answer)
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS i FROM c
+), r AS (
+  SELECT pair_id, i, text = alt AS same, role = 'assistant' AS train,
+    '<|' || replace(role, '|', '/') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS x,
+    '<|' || replace(role, '|', '/') || '|>' || chr(10) || replace(alt, '<|', '< |') || '<|end|>' || chr(10) AS y
+  FROM n
+), k AS (
+  SELECT pair_id, coalesce(min(i) FILTER (WHERE NOT same) - 1, max(i)) AS n_prompt FROM r GROUP BY pair_id
+), s AS (
+  SELECT pair_id, any_value(n_prompt) AS n_prompt,
+    coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE i <= n_prompt), '') AS prompt,
+    coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE i > n_prompt), '') AS chosen,
+    coalesce(string_agg(y, '' ORDER BY i) FILTER (WHERE i > n_prompt), '') AS rejected,
+    coalesce(sum(length(x)) FILTER (WHERE i > n_prompt AND train), 0)::BIGINT AS chosen_trained,
+    coalesce(sum(length(y)) FILTER (WHERE i > n_prompt AND train), 0)::BIGINT AS rejected_trained
+  FROM r JOIN k USING (pair_id) GROUP BY pair_id
+)
+SELECT pair_id, n_prompt::BIGINT AS n_prompt, length(prompt)::BIGINT AS prompt_chars, md5(prompt) AS prompt_md5,
+  length(chosen)::BIGINT AS chosen_chars, md5(chosen) AS chosen_md5, chosen_trained,
+  length(rejected)::BIGINT AS rejected_chars, md5(rejected) AS rejected_md5, rejected_trained
+FROM s
+"""
+
+_OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_OP8_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), b AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < best THEN best END AS refers_to
+FROM b
+"""
+
+
+def _mix_sql(blocks: int = 128, shards: int = 8) -> str:
+    draw = lambda *parts: "md5(concat_ws('|', 'mix-1', " + ", ".join(f"coalesce(({p})::VARCHAR, chr(0))" for p in parts) + "))"
+    tree, size, name = [], 1, "t0"
+    while size < shards:
+        new = f"t{len(tree) + 1}"
+        tree.append(f"""{new} AS (
+  SELECT 2 * node + CASE WHEN rank <= half THEN 0 ELSE 1 END AS node, source, count(*) AS quota FROM (
+    SELECT *, row_number() OVER (PARTITION BY node ORDER BY {draw("'tree'", "node", "source", "slot")}, slot) AS rank,
+      (count(*) OVER (PARTITION BY node)) // 2 AS half
+    FROM (SELECT node, source, unnest(range(1, quota::BIGINT + 1)) AS slot FROM {name})
+  ) GROUP BY ALL
+)""")
+        name, size = new, size * 2
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || substr({draw("'block'", "doc_id")}, 1, 8))::UBIGINT % {blocks})::INTEGER AS block,
+    {draw("'split'", "doc_id")} AS k
+  FROM documents
+), bs AS (
+  SELECT source, block, sum(size)::BIGINT AS block_size FROM d GROUP BY ALL
+), s0 AS (
+  SELECT source, sum(block_size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM bs GROUP BY source
+), s1 AS (
+  SELECT *, (place - 1) % 3 + 1 AS weight, 3e0 * source_size / ((place - 1) % 3 + 1) AS stops_at FROM s0
+), s2 AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(3e0 * source_size) OVER (ORDER BY stops_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+    / (sum(weight) OVER (ORDER BY stops_at, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM s1
+), s3 AS (
+  SELECT *, coalesce((SELECT arg_min(level, {{'a': stops_at, 'b': place}}) FROM s2 WHERE level <= stops_at), 0e0) AS share FROM s2
+), s AS (
+  SELECT source, source_size, least(3e0 * source_size, share * weight) AS target FROM s3
+), b0 AS (
+  SELECT bs.source, block, block_size, source_size, target,
+    row_number() OVER (PARTITION BY bs.source ORDER BY {draw("bs.source", "block")}, block) - 1 AS place,
+    (sum(block_size) OVER (PARTITION BY bs.source ORDER BY {draw("bs.source", "block")}, block))::BIGINT AS upto,
+    count(*) OVER (PARTITION BY bs.source) AS n_blocks,
+    CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS passes
+  FROM bs JOIN s ON bs.source IS NOT DISTINCT FROM s.source
+), b1 AS (
+  SELECT *, target - passes * source_size - (upto - block_size) AS want FROM b0
+), b AS (
+  SELECT *, CASE WHEN want <= 0 THEN 0 WHEN want >= block_size THEN 2 ELSE 1 END AS extra,
+    passes + CASE WHEN want > 0 THEN 1 ELSE 0 END AS slots FROM b1
+), x0 AS (
+  SELECT d.source, d.block, want, k, sum(size) AS size FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block WHERE extra = 1 GROUP BY ALL
+), x AS (
+  SELECT source, block, max(k) AS last_key FROM (
+    SELECT *, sum(size) OVER (PARTITION BY source, block ORDER BY k) AS upto FROM x0
+  ) WHERE upto - size / 2e0 <= want GROUP BY ALL
+), t0 AS (
+  SELECT 1 AS node, source, sum(slots)::BIGINT AS quota FROM b GROUP BY source
+), {", ".join(tree)}, leaf AS (
+  SELECT source, node - {shards} AS shard, quota, sum(quota) OVER (PARTITION BY source ORDER BY node) AS upto FROM {name}
+), first_slot AS (
+  SELECT b.source, block, shard FROM b JOIN leaf ON b.source IS NOT DISTINCT FROM leaf.source AND place >= leaf.upto - leaf.quota AND place < leaf.upto WHERE slots > 0
+), r AS (
+  SELECT doc_id, size, source_size, target, shard,
+    passes + CASE WHEN extra = 2 OR (extra = 1 AND k <= last_key) THEN 1 ELSE 0 END AS copies
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block
+  LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.block = x.block
+  LEFT JOIN first_slot AS f ON d.source IS NOT DISTINCT FROM f.source AND d.block = f.block
+)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::INTEGER AS copies,
+  CASE WHEN copies > 0 THEN shard END::INTEGER AS first_shard
+FROM r
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_preference_pairs": _OP2_SQL,
+    "op4_impact_search": _OP4_SQL,
+    "op6_mixing": _mix_sql(),
+    "op8_warc": _OP8_SQL,
+}
