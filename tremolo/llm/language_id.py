@@ -176,3 +176,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select("doc_id", "held_out", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(partial(_predict, model=model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [model.predict(x.as_py()) for x in batch.column(text_at)]
+        yield batch.filter(pa.array([lang != "und" and s >= least for lang, s in got], pa.bool_()))
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose text has a language of at least this score."""
+    return docs.mapInArrow(partial(_keep, model=model, text_at=docs.columns.index("text"), least=least), docs.schema)

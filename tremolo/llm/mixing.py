@@ -28,6 +28,8 @@ from tremolo.llm._store import cut
 BLOCKS = 128
 SHARDS = 8
 SEED = "mix-1"
+#: Rows of the table of blocks up to which it is broadcast; beyond, the join shuffles.
+SMALL = 200_000
 
 
 def draw(*parts: Column) -> Column:
@@ -126,7 +128,10 @@ def mix(docs: DataFrame, most: float = 3.0, blocks: int = BLOCKS, shards: int =
     split = split.withColumn("in", upto - F.col("size") / 2 <= F.col("want")).where("in").groupBy("source", "block").agg(F.max("key").alias("last_key"))
     split = split.withColumnsRenamed({"source": "l_source", "block": "l_block"})
     b = b.join(split, F.col("b_source").eqNullSafe(F.col("l_source")) & (F.col("b_block") == F.col("l_block")), "left").drop("l_source", "l_block")
-    rows = sized.join(cut(b), on)
+    b = cut(b)
+    if b.count() <= SMALL:  # a row for each block of each source
+        b = F.broadcast(b)
+    rows = sized.join(b, on)
     once = F.when(F.col("extra") == 2, 1).when((F.col("extra") == 1) & (draw(F.lit("split"), F.col("doc_id")) <= F.col("last_key")), 1).otherwise(0)
     rows = rows.withColumn("copies", (F.col("passes") + once).cast("int"))
     out = ["doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies")).alias("shards")]

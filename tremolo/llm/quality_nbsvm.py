@@ -146,3 +146,14 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     docs = docs.select("doc_id", "held_out", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(partial(_score, model=model, threshold=threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [model.score(x) >= threshold for x in indicators(X.text_of(batch.column(text_at)))]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores at least the threshold."""
+    return docs.mapInArrow(partial(_keep, model=model, text_at=docs.columns.index("text"), threshold=threshold), docs.schema)

@@ -220,7 +220,7 @@ _MOST = 38.0
 
 
 class _Sample:
-    """One text's queue of subtrees. A leaf is its decisions from the text's end on: nodes, cells, units."""
+    """One text's queue of subtrees. A leaf is its decisions from the text's end on: nodes, cells, units, probabilities."""
 
     def __init__(self, key: int):
         self.key, self.count = U64(key), 0
@@ -239,20 +239,19 @@ class _Sample:
         Decisions are opened in growing stretches, until what is left of the mass can't reach
         the best value even with the largest draw, or there are none left.
         """
-        nodes, cells, _ = leaf
-        p = lattices.p[nodes, cells]
+        _, cells, _, p = leaf
         before = np.concatenate([[0.0], np.cumsum(np.log(p))])
         self.leaves.append((*leaf, float(before[-1]), value, before))
         own = used | {int(cells[since])} if since < len(p) else used
-        self.queue.append([np.zeros(0), since, len(self.leaves) - 1, own, p])
+        self.queue.append([np.zeros(0), since, len(self.leaves) - 1, own])
         self.open(lattices, len(self.queue) - 1)
 
     def open(self, lattices: Lattices, k: int) -> None:
         """Opens the next stretch of entry k's decisions."""
-        values, since, leaf, own, p = self.queue[k]
-        nodes, before, value = self.leaves[leaf][0], self.leaves[leaf][5], self.leaves[leaf][4]
+        values, since, leaf, own = self.queue[k]
+        nodes, _, _, p, _, value, before = self.leaves[leaf]
         a = since + len(values)
-        b = min(len(p), a + max(64, len(values)))
+        b = min(len(p), a + max(384, len(values)))
         q = p[a:b]
         with np.errstate(divide="ignore"):
             mass = before[a:b] + np.log1p(-q)
@@ -269,14 +268,14 @@ class _Sample:
         """Value of the best subtree, its queue entry and decision."""
         while True:
             out, open_at = (-np.inf, -1, -1), -1
-            for k, (values, since, _, _, _) in enumerate(self.queue):
+            for k, (values, since, _, _) in enumerate(self.queue):
                 if len(values):
                     i = int(values.argmax())
                     if values[i] > out[0]:
                         out = (float(values[i]), k, since + i)
-            for k, (values, since, leaf, _, p) in enumerate(self.queue):
-                at = since + len(values)
-                if at < len(p) and self.leaves[leaf][5][at] + _MOST >= out[0]:
+            for k, (values, since, leaf, _) in enumerate(self.queue):
+                at, before = since + len(values), self.leaves[leaf][6]
+                if at < len(before) - 1 and before[at] + _MOST >= out[0]:
                     open_at = k
             if open_at < 0:
                 return out
@@ -319,19 +318,20 @@ def sample_slice(v: Vocabulary, s: X.Text, keys: np.ndarray, k: int, theta: floa
     for turn in range(k):
         unit_key = X.mix(text_key[text_of] + (place * k + turn).astype(U64) * U64(0xE7037ED1A0B428DB))
         who, node, cell = lattices.draw(leaf, unit_key)
+        p = lattices.p[node, cell]
         cut = np.searchsorted(who, per_text).tolist()
         who -= per_text[text_of[who]]
         for t, search in enumerate(searches):
             a, b = cut[t], cut[t + 1]
             if turn == 0:
-                search.add(lattices, (node[a:b], cell[a:b], who[a:b]), float(search.gumbel(1)[0]), 0, set())
+                search.add(lattices, (node[a:b], cell[a:b], who[a:b], p[a:b]), float(search.gumbel(1)[0]), 0, set())
                 continue
             value, entry, decision = search.best(lattices)
             if entry < 0:
                 continue
-            values, since, parent, own, _ = search.queue[entry]
+            values, since, parent, own = search.queue[entry]
             values[decision - since] = -np.inf
-            nodes, cells, units = search.leaves[parent][:3]
+            nodes, cells, units, old_p = search.leaves[parent][:4]
             taken = own if decision == since else {int(cells[decision])}
             # one decision anew, then the rest of its unit, then the units after it
             at, unit = int(nodes[decision]), int(units[decision])
@@ -345,11 +345,12 @@ def sample_slice(v: Vocabulary, s: X.Text, keys: np.ndarray, k: int, theta: floa
                 np.concatenate([nodes[:decision], [at], more, node[later:b]]),
                 np.concatenate([cells[:decision], [chosen], more_cells, cell[later:b]]),
                 np.concatenate([units[:decision], np.full(1 + len(more), unit), who[later:b]]),
+                np.concatenate([old_p[:decision], [lattices.p[at, chosen]], lattices.p[more, more_cells], p[later:b]]),
             )
             search.add(lattices, new, value, decision, taken)
     for t, search in enumerate(searches):
         left = search.best(lattices)[0]
-        for nodes, cells, _, log_prob, _, _ in search.leaves:
+        for nodes, cells, _, _, log_prob, _, _ in search.leaves:
             out[full[t]].append((_ids(v, lattices.piece[nodes[::-1], cells[::-1]]), log_prob, log_inclusion(log_prob, left)))
     return out
 
