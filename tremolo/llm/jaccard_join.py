@@ -338,7 +338,9 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: in
 
 def _rest(tiles: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nodes that share a tile, are in different components and may link."""
-    each = tiles.select("tile", F.explode("nodes").alias("node")).join(comp, "node", "left")
+    # Tiles with the same smallest member are one family: near copies share most of their
+    # tiles, and this way their pairs are compared about once and not once for each tile.
+    each = tiles.select(F.col("low").alias("tile"), F.explode("nodes").alias("node")).distinct().join(comp, "node", "left")
     each = each.withColumn("comp", F.coalesce("comp", "node"))
     mixed = each.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
     each = each.join(mixed.select("tile", "m"), "tile").join(nodes.select("node", "n", "bitmap"), "node")
