@@ -14,7 +14,7 @@ def butter(order: int, cutoff, kind: str) -> tuple[np.ndarray, np.ndarray, float
     k = np.arange(order)
     poles = np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order))
     rate = 2.0
-    warped = 2 * rate * np.tan(np.pi * np.atleast_1d(np.asarray(cutoff, float)) / rate / 2)
+    warped = 2 * rate * np.tan(np.pi * np.atleast_1d(np.asarray(cutoff, float)) / rate)
     if kind == "lowpass":
         zeros, poles = np.zeros(0, complex), warped[0] * poles
     elif kind == "highpass":
@@ -100,17 +100,18 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def zero_phase(parts: list, x: np.ndarray, pad: int) -> np.ndarray:
-    """Forward and backward through second-order sections, with odd extension at the ends."""
-    x = np.asarray(x, float)
-    pad = min(pad, len(x) - 1)
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
+    """Forward and backward through second-order sections, with odd extension; rows are separate signals."""
+    x = np.atleast_2d(np.asarray(x, float))
+    pad = min(pad, x.shape[1] - 1)
+    first, last = x[:, :1], x[:, -1:]
+    y = np.hstack([2 * first - x[:, pad:0:-1], x, 2 * last - x[:, -2 : -pad - 2 : -1]]) if pad > 0 else x
     for _ in range(2):
-        level = y[0]
+        level = y[:, :1]
         for b, a in parts:
-            y = iir(b, a, y, level * steady_state(b, a)[None])[0]
-            level *= b.sum() / a.sum()
-        y = y[::-1]
-    return y[pad : len(y) - pad] if pad > 0 else y
+            y = iir(b, a, y, level * steady_state(b, a))
+            level = level * (b.sum() / a.sum())
+        y = y[:, ::-1]
+    return y[:, pad : y.shape[1] - pad] if pad > 0 else y
 
 
 # Linear prediction
@@ -159,10 +160,13 @@ def poly_resample(x: np.ndarray, up: int, down: int, taps: np.ndarray | None = N
     if up == down == 1 and taps is None:
         return np.array(x, float)
     h = resampling_taps(up, down) if taps is None else taps
-    wide = np.zeros(len(x) * up)
-    wide[::up] = x
-    half = len(h) // 2
-    return np.convolve(wide, h)[half : half + len(wide)][::down][: -(-len(x) * up // down)]
+    half, n_out = len(h) // 2, -(-len(x) * up // down)
+    # of all taps only every up-th meets a sample
+    place = np.arange(n_out)[:, None] * down + half
+    k = place // up - np.arange(len(h) // up + 1)
+    tap = place - k * up
+    ok = (k >= 0) & (k < len(x)) & (tap < len(h))
+    return (np.asarray(x, float)[np.clip(k, 0, len(x) - 1)] * np.where(ok, h[np.minimum(tap, len(h) - 1)], 0.0)).sum(axis=1)
 
 
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:

@@ -78,8 +78,20 @@ def attacked(name: str, clip: Clip, **given) -> Column:
 
 def apply(clips: DataFrame, name: str, seed: str = "0", model=None, original: str | None = None, **given) -> DataFrame:
     """Clips with the attacked audio in place of the audio."""
-    clip = Clip(F.col("clip_id"), F.col("audio"), F.col("sampling_rate"), F.col(original) if original else None, seed, model)
-    return clips.withColumn("audio", attacked(name, clip, **given))
+    other = F.col(original) if original else None
+    got = attacked(name, Clip(F.col("clip_id"), F.col("audio"), F.col("sampling_rate"), other, seed, model), **given)
+    return bind(clips, "audio", got) if attack(name).kind == "expression" else clips.withColumn("audio", got)
+
+
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """withColumn whose value is computed once for each row, whatever uses it later.
+
+    Projections are merged, so a long expression that later lambdas use would be computed
+    again for every sample; a generator of one row is a boundary without a shuffle.
+    """
+    one = F.explode(F.array(value)).alias(name)
+    rest = [one if c == name else F.col(f"`{c}`") for c in df.columns]
+    return df.select(*rest, *([] if name in df.columns else [one]))
 
 
 def choose(names: list[str] | None) -> tuple[list[str], list[str]]:

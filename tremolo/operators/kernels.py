@@ -63,7 +63,7 @@ def highpass(c: Clip, cutoff_freq_highpass, order) -> Column:
 @register_attack("BandstopFilterAttack", "kernel", freq_range=[200.0, 300.0], order=4)
 def bandstop(c: Clip, freq_range, order) -> Column:
     pair = tuple(map(float, freq_range))
-    return each(c, lambda x, r: dsp.zero_phase(dsp.sections(filter_for("bandstop", pair, order, r)), x, 3 * (2 * order + 1)))
+    return kernel(c, lambda x, r: dsp.zero_phase(dsp.sections(filter_for("bandstop", pair, order, r)), x, 3 * (2 * order + 1)))
 
 
 @register_attack("LPCAttack", "kernel", order=12, axis=-1)

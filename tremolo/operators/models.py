@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tremolo.functions.arrays import let
+from tremolo.functions.arrays import let, lets
 from tremolo.operators.catalog import register_model
 
 
@@ -30,20 +30,22 @@ class SpreadModel:
         h = (j + 1) * (j + 3) * 48271 + (i.cast("long") + 7) * (69621 * (self.seed + 1))
         return F.when((h % 2147483647).bitwiseAND(F.lit(1024)) == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
 
-    def sums(self, audio: Column) -> Column:
+    def _sums(self, audio: Column) -> Column:
         """Correlation of each bit's samples with their chips; null for a bit without samples."""
         n = F.size(audio)
         own = lambda b: F.aggregate(F.sequence(b, n - 1, F.lit(self.bits)), F.lit(0.0), lambda s, i: s + F.get(audio, i) * self.chip(i))
         return F.transform(F.sequence(F.lit(0), F.lit(self.bits - 1)), lambda b: F.when(b < n, own(b)))
 
     def embed(self, audio: Column, bits: Column) -> Column:
-        n = F.size(audio)
-        count = lambda b: F.floor((n - 1 - b) / self.bits) + 1
-        push = lambda sums: F.transform(sums, lambda s, b: self.alpha * (2 * F.get(bits, b) - 1) - s / count(b))
-        return let(push(self.sums(audio)), lambda p: F.transform(audio, lambda x, i: x + self.chip(i) * F.get(p, (i % self.bits).cast("int"))))
+        def marked(a: Column, w: Column) -> Column:
+            count = lambda b: F.floor((F.size(a) - 1 - b) / self.bits) + 1
+            push = F.transform(self._sums(a), lambda s, b: self.alpha * (2 * F.get(w, b) - 1) - s / count(b))
+            return let(push, lambda p: F.transform(a, lambda x, i: x + self.chip(i) * F.get(p, (i % self.bits).cast("int"))))
+
+        return lets([audio, bits], marked)
 
     def detect(self, audio: Column) -> Column:
-        return F.transform(self.sums(audio), lambda s: (s >= 0).cast("double"))
+        return let(audio, lambda a: F.transform(self._sums(a), lambda s: (s >= 0).cast("double")))
 
 
 SPREAD_A = register_model(SpreadModel("SpreadA", 1))

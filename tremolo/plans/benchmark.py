@@ -7,15 +7,15 @@ there is no product join, no union of scans and no shuffle before the final aver
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.functions import metrics
-from tremolo.functions.arrays import let
+from tremolo.functions import dsp, metrics
 from tremolo.functions.bits import message
 from tremolo.operators import attacks as _expressions
 from tremolo.operators import kernels as _kernels  # noqa: F401
-from tremolo.operators.catalog import Clip, attack, attacked, choose, model
+from tremolo.operators.catalog import Clip, attack, attacked, bind, choose, model
 
 
 def run(clips: DataFrame, model_name: str = "SpreadA", attack_types: list[str] | None = None, seed: str = "7", per_clip: bool = False, quality: bool = False, params: dict[str, dict] | None = None, bits: Column | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def run(clips: DataFrame, model_name: str = "SpreadA", attack_types: list[str] |
         names = [n for n in names if n != "Mp3CompressionAttack"]
     sent = bits if bits is not None else message(f"{seed}:message", m.bits, *([F.col("clip_id")] if per_clip else []))
     marked = clips.withColumn("bits", sent).withColumn("original", F.col("audio"))
-    marked = marked.withColumn("audio", m.embed(F.col("original"), F.col("bits")))
+    marked = bind(marked, "audio", m.embed(F.col("original"), F.col("bits")))
     params = params or {}
     clip = Clip(F.col("clip_id"), F.col("audio"), F.col("sampling_rate"), F.col("original"), seed, m)
     return _scored(marked, clip, names, params, m, quality)
@@ -65,7 +65,7 @@ def _scored(marked: DataFrame, clip: Clip, names: list[str], params: dict, m, qu
             out.append(F.struct(*fields))
         return F.array(*out) if out else F.array().cast("array<struct<attack:string,attacked:array<double>,cross_bits:array<int>>>")
 
-    each = wide.select("clip_id", "sampling_rate", "bits", "audio", "original", F.explode(let(F.col("audio"), rows)).alias("a")).select("clip_id", "sampling_rate", "bits", "audio", "original", "a.*")
+    each = wide.select("clip_id", "sampling_rate", "bits", "audio", "original", F.explode(rows(F.col("audio"))).alias("a")).select("clip_id", "sampling_rate", "bits", "audio", "original", "a.*")
     cross = F.lit(None).cast("double")
     if "CrossModelAttack" in names:
         other = model(attack("CrossModelAttack").params(params.get("CrossModelAttack"))["different_model_name"])
@@ -82,10 +82,6 @@ def _scored(marked: DataFrame, clip: Clip, names: list[str], params: dict, m, qu
 
 def stoi(clean: Column, degraded: Column, rate: Column) -> Column:
     """Short-time objective intelligibility; null for clips of under about 0.4 s of loud frames."""
-    import pandas as pd
-
-    from tremolo.functions import dsp
-
     @F.pandas_udf("double")
     def go(x: pd.Series, y: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None or not len(a) or not len(b) else dsp.stoi(a, b, int(q)) for a, b, q in zip(x, y, r)], dtype="float64")

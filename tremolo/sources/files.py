@@ -25,7 +25,7 @@ def has_audio_suffix(path):
 
 def stem(path):
     """File name without folders and without its last suffix."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"^(.+)\.[^.]*$", "$1")
 
 
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
