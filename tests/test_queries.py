@@ -11,7 +11,7 @@ TABLES = ["embeddings", "events", "lineitem", "part", "pages"]
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted((tuple(round(float(v), 6) if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False)), key=repr)
+    return sorted((tuple("null" if v != v else round(float(v), 6) if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
