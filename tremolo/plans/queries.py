@@ -28,7 +28,7 @@ def query(fn: Query) -> Query:
 
 
 def _e(spark: SparkSession, d: str) -> DataFrame:
-    return C.embedding_clips(C.table(spark, d, "embeddings"))
+    return C.embedding_clips(C.spread(C.table(spark, d, "embeddings")))
 
 
 def _long(clips: DataFrame, digits: int = 9) -> DataFrame:

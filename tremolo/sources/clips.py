@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(clips: DataFrame) -> DataFrame:
+    """Dealt over all cores if they are in fewer files than that; larger inputs stay as they are.
+
+    Attacks cost far more than moving a clip, and a file of one row group is one task.
+    """
+    cores = clips.sparkSession.sparkContext.defaultParallelism
+    return clips.repartition(cores) if len(clips.inputFiles()) < cores else clips
+
+
 def embedding_clips(embeddings: DataFrame, rate: int = RATE) -> DataFrame:
     return embeddings.select(F.col("vec_id").alias("clip_id"), F.lit(rate).alias("sampling_rate"), F.col("embedding").cast("array<double>").alias("audio"))
 
