@@ -186,7 +186,7 @@ class Lattices:
             w /= total[:, None]
             weight[e] = w
         self.p = weight
-        self.upto = np.cumsum(weight, axis=1)
+        self.upto = np.cumsum(weight, axis=1, dtype=np.float32)
         self.root = local == 0
 
     def draw(self, nodes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,8 +196,8 @@ class Lattices:
         who, node, step = who[on], node[on], 0
         while len(who):
             row = self.upto[node]
-            u = uniforms(key[who], np.full(len(who), step, np.int64)) * row[:, -1]
-            cell = np.minimum((u[:, None] > row).sum(axis=1), self.wide - 1)
+            u = uniforms(key[who], np.array([step])).astype(np.float32) * row[:, -1]
+            cell = (row >= u[:, None]).argmax(axis=1)
             out.append((who, node, cell))
             node = node - cell - 1
             on = ~self.root[node]
