@@ -11,7 +11,9 @@ tile, whatever passages other documents share with it, and no frequency list is
 
 A tile's sets are joined by stars first (smallest and largest member to all others), and
 links found that way make first components. Only tiles that still hold sets of different
-components are compared pair by pair, in blocks. In both steps parity bitmaps bound the
+components are compared pair by pair, in blocks, all tiles of one smallest member together:
+first for as few pairs as would join these components, then, with the links among those
+known, for all that is left. In all steps parity bitmaps bound the
 overlap from above: the set bits of the xor of two bitmaps can't outnumber the members
 that the sets don't share. What is left is decided by intersecting the sorted hash arrays
 of the two whole texts.
@@ -245,24 +247,35 @@ def _bounded_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Ite
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_block(rows, num: int, den: int):
-    """Pairs of different components within a block, or between two, that bitmaps allow."""
+def _compare_block(rows, num: int, den: int, forest: bool):
+    """Pairs of different components within a block, or between two, that bitmaps allow.
+
+    forest: only as many as join the components that such pairs join.
+    """
     import pandas as pd
 
     left, right = rows[rows.side <= 1], rows[rows.side != 1]
     maps = {int(x): np.frombuffer(b, np.uint64) for x, b in zip(rows.node, rows.bitmap)}
     width = min(len(b) for b in maps.values())
-    r_node, r_n, r_comp = right.node.to_numpy(), right.n.to_numpy(), right.comp.to_numpy()
+    r_node, r_n, r_comp = right.node.to_numpy(), right.n.to_numpy(), right.comp.to_numpy().copy()
+    l_comp = left.comp.to_numpy().copy()
     r_map = np.stack([fold(maps[int(x)], width) for x in r_node]) if len(right) else None
     out = []
-    for node, n, comp in zip(left.node, left.n, left.comp):
+    for k, (node, n) in enumerate(zip(left.node, left.n)):
         if r_map is None:
             break
+        comp = l_comp[k]
         ok = (r_comp != comp) & (np.minimum(n, r_n) * den >= np.maximum(n, r_n) * num)
         at = np.flatnonzero(ok)
         if len(at):
             far = np.bitwise_count(r_map[at] ^ fold(maps[int(node)], width)).sum(axis=1, dtype=np.int64)
-            out += [(min(node, x), max(node, x)) for x in r_node[at[far <= most_apart(int(n), r_n[at].astype(np.int64), num, den)]]]
+            at = at[far <= most_apart(int(n), r_n[at].astype(np.int64), num, den)]
+            if forest and len(at):
+                met, first = np.unique(r_comp[at], return_index=True)
+                at = at[first]
+                r_comp[np.isin(r_comp, met)] = comp
+                l_comp[np.isin(l_comp, met)] = comp
+            out += [(min(node, x), max(node, x)) for x in r_node[at]]
     return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
 
@@ -308,9 +321,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     stars = each.withColumn("hub", F.explode(F.array("low", "high"))).where("node <> hub").select(*least).distinct()
     links = cut(_verify(stars, nodes, docs, n, num, den))
     comp = cut(connected_components(links))
-    rest = cut(_rest(tiles, nodes, comp, num, den))
-    if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, nodes, docs, n, num, den, bounded=True))
+    for forest in (True, False):  # the second time what still can link, all of it
+        rest = cut(_rest(tiles, nodes, comp, num, den, forest))
+        if rest.isEmpty():
+            break
+        links = cut(links.unionByName(_verify(rest, nodes, docs, n, num, den, bounded=True)))
         comp = cut(connected_components(links))
     comp = nodes.select("node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -336,8 +351,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: in
     return both.mapInArrow(partial(_linked, n=n, num=num, den=den), "a long, b long").distinct()
 
 
-def _rest(tiles: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes that share a tile, are in different components and may link."""
+def _rest(tiles: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Pairs of nodes that share a tile, are in different components and may link; none only if there are none."""
     # Tiles with the same smallest member are one family: near copies share most of their
     # tiles, and this way their pairs are compared about once and not once for each tile.
     each = tiles.select(F.col("low").alias("tile"), F.explode("nodes").alias("node")).distinct().join(comp, "node", "left")
@@ -349,4 +364,4 @@ def _rest(tiles: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den: in
     each = each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     each = each.withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
     each = each.select("tile", "i", "j", "side", "node", "n", "comp", "bitmap")
-    return each.groupBy("tile", "i", "j").applyInPandas(lambda rows: _compare_block(rows, num, den), "a long, b long").distinct()
+    return each.groupBy("tile", "i", "j").applyInPandas(lambda rows: _compare_block(rows, num, den, forest), "a long, b long").distinct()
