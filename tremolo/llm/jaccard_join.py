@@ -39,8 +39,8 @@ from tremolo.llm import _text as X
 from tremolo.llm._store import cut
 from tremolo.llm.components import connected_components
 
-#: Bands of sizes grow by 1 / t to this power.
-BAND_POWER = 2
+#: Bands of sizes grow by the largest power of 1 / t up to this, or by 1 / t.
+BAND_RATIO = 1.4
 #: Entries of a tile bucket that a task holds at once, about.
 BUCKET = 1_000_000
 #: Sets of a tile that are compared as one block.
@@ -105,18 +105,26 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.ratio = (den / num) ** BAND_POWER if num < den else 2.0
+        self.ratio = (den / num) ** max(1, int(math.log(BAND_RATIO) / math.log(den / num))) if num < den else 2.0
 
     def band(self, n: int) -> int:
         return int(math.log(n) / math.log(self.ratio) + 1e-9)
 
+    @lru_cache(256)  # noqa: B019
     def slices_of(self, band: int) -> tuple[int, int]:
         """Slices and spare ones in the tiles of a band."""
         most = math.ceil(self.ratio ** (band + 1)) + 1
         apart = int(2 * most * (self.den - self.num) / (self.den + self.num))
         if not apart:
             return 0, 0
-        spare = 1 + (apart + 1) // 16
+        # As many as the smallest sets of the tile are likely to leave empty, so that few sets
+        # have to meet in tiles of empty slices.
+        smallest, spare = self.ratio**band * self.num / self.den, 1
+        while spare < 0.6 * (apart + 1):
+            empty = (apart + 1 + spare) * math.exp(-smallest / (apart + 1 + spare))
+            if spare >= 1 + 1.5 * empty + 2 * math.sqrt(empty):
+                break
+            spare += 1
         return apart + 1 + spare, spare
 
     def bands_of(self, n: int) -> list[int]:
@@ -293,7 +301,7 @@ def _linked(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> It
                 last = {a[i]: next(shingle_sets(one, n))[1]}
             x = last[a[i]]
             small, big = (x, y) if len(x) <= len(y) else (y, x)
-            if not len(small):
+            if not len(small) or set_id(x) != a[i] or set_id(y) != b[i]:
                 continue
             at = np.searchsorted(big, small)
             at[at == len(big)] = 0
