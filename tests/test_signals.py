@@ -23,7 +23,7 @@ def test_small_attacks(spark):
     assert out(catalog.apply(catalog.apply(c, "SignInversionAttack"), "SignInversionAttack"))[0] == [0.5, -0.25, 0.0]
     assert out(catalog.apply(clip(spark, [1.7 / 127, -1.7 / 127]), "PCMQuantizationAttack", pcm=8))[0] == [1 / 127, -1 / 127]
     got = out(catalog.apply(clip(spark, [0, 0.5, 1.5, 2.5, 4]), "QuantizationAttack", quantization_bit=5))[0]
-    assert [round(v) for v in got] == [0, 0, 2, 2, 4]
+    assert [round(v) for v in got] == [0, 0, 1, 2, 4]  # the epsilon below pulls ties down
     squares = [float(i * i) for i in range(20)]
     got = out(catalog.apply(clip(spark, squares), "SmoothingAttack"))[0]
     assert abs(got[10] - sum(squares[5:15]) / 10) < 1e-9
