@@ -77,7 +77,7 @@ for _b in (8, 16, 24):
 SQL["atk_quantization"] = f"""WITH {E}, m AS (SELECT *, min(x) OVER (PARTITION BY clip_id) AS a, max(x) OVER (PARTITION BY clip_id) AS b FROM e)
 SELECT clip_id, i, {r("round_even((x - a) / (b - a + 1e-8) * 255e0, 0) / 255e0 * (b - a) + a")} AS y FROM m"""
 SQL["atk_smoothing"] = y("sum(x) OVER (PARTITION BY clip_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10e0")
-SQL["smoothing_long"] = f"""WITH s AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS x FROM events)
+SQL["smoothing_long"] = f"""WITH s AS (SELECT user_id AS clip_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS i, value AS x FROM events)
 SELECT clip_id, i, {r("sum(x) OVER (PARTITION BY clip_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10e0", 6)} AS y FROM s"""
 for _key, _kind, _cut, _order, _digits in (("atk_lowpass", "lowpass", 5000.0, 5, 9), ("atk_highpass", "highpass", 50.0, 4, 6)):
     _bb, _aa = dsp.polynomials(dsp.butter(_order, _cut / 8000, _kind))
