@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm._store import checkpoint_dir
+from tremolo.llm._store import checkpoint_dir, cut
 
 LEAST_BYTES = 1000
 ARC_BYTES = 4 << 20
 RECORDS_PER_FILE = 1000
+#: Payloads that occur more than once, up to which their list is broadcast; beyond, the join shuffles.
+SMALL = 100_000
 #: When the pages are taken to have been fetched; the table has no date.
 FETCHED = "20240101000000"
 
@@ -135,7 +137,9 @@ def with_revisits(records: DataFrame, payloads: DataFrame, least: int = LEAST_BY
     payloads(page_id, digest, n): the same rows without what is large, aggregated before they meet.
     """
     best = payloads.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies"))
-    best = best.where("copies > 1").select("digest", "best")
+    best = cut(best.where("copies > 1").select("digest", "best"))
+    if best.count() <= SMALL:  # then the payloads needn't move
+        best = F.broadcast(best)
     rows = records.join(best, "digest", "left")
     differs = F.col("best").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("best")))
     return rows.withColumn("refers_to", F.when(differs & (F.col("n") >= least), F.col("best"))).drop("best")
