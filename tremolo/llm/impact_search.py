@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 4096
 QUERY_BLOCK = 256
 SEGMENT = 64
-ROUNDS = 8
+ROUNDS = 3
 #: Possible members that are rescored without waiting for a tighter bound.
 FEW = 128
 
@@ -44,6 +44,16 @@ class Shard:
         self.rows = [np.pad(o, ((0, 0), (0, pad)), constant_values=n).reshape(d, count, SEGMENT) for o in (order[:, ::-1], order)]
         full = np.vstack([self.impacts, np.zeros((1, d), np.int64)])
         self.values = [full[r, np.arange(d)[:, None, None]] for r in self.rows]
+        self.places = np.arange(count)
+        self.floats, self.largest = self.impacts.astype(np.float64), int(np.abs(self.impacts).max(initial=0))
+
+    def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whole inner products; in floating point where every sum is below 2^53 and so exact."""
+        if self.largest * int(np.abs(q).max(initial=0)) * len(q) >= 2**53:
+            return self.impacts[rows] @ q
+        if 4 * len(rows) > len(self.floats):
+            return (self.floats @ q.astype(np.float64))[rows].astype(np.int64)
+        return (self.floats[rows] @ q.astype(np.float64)).astype(np.int64)
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best rows, without the query's own."""
@@ -60,9 +70,10 @@ class Shard:
         for level in levels:
             upto = np.minimum((heads >= level).sum(axis=1), positive)
             for side in (0, 1):
-                take = [(i, s) for i in dims[(down == side) & (upto > done)] for s in range(done[i], upto[i])]
-                if take:
-                    i, s = np.array(take).T
+                own_dims = dims[(down == side) & (upto > done)]
+                if len(own_dims):
+                    i, s = np.nonzero((self.places >= done[own_dims, None]) & (self.places < upto[own_dims, None]))
+                    i = own_dims[i]
                     partial_sum += np.bincount(self.rows[side][i, s].ravel(), weights=(self.values[side][i, s] * q[i][:, None]).ravel(), minlength=n + 1)
             done = np.maximum(done, upto)
             to_come = np.where(done < positive, heads[dims, np.minimum(done, count - 1)], 0).sum()
@@ -70,12 +81,12 @@ class Shard:
             seen[mine] = -np.inf
             first = np.argpartition(-seen, min(4 * k, n - 1))[: 4 * k]
             first = first[~mine[first]]
-            exact = np.sort(self.impacts[first] @ q)[::-1]
+            exact = np.sort(self.exact(q, first))[::-1]
             reach = exact[k - 1] if len(exact) >= k else -np.inf
             possible = np.flatnonzero((seen + to_come >= reach) & ~mine)
             if len(possible) <= FEW or not to_come:
                 break
-        exact = self.impacts[possible] @ q
+        exact = self.exact(q, possible)
         best = np.lexsort((self.ids[possible], -exact))[:k]
         return self.ids[possible][best], exact[best]
 
@@ -93,15 +104,11 @@ def _pack(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
         for r, (_, v) in enumerate(rows):
             m[r, : len(v)] = v
         ids = np.array([i for i, _ in rows], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([len(rows)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.astype(np.int32 if np.abs(m).max(initial=0) < 2**31 else np.int64).tobytes()], pa.binary())], list(names))
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([len(rows)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], list(names))
 
 
 def _matrix(raw: bytes, n: int, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, np.int64)
-    for kind in (np.int32, np.int64):
-        if len(raw) % (n * np.dtype(kind).itemsize) == 0:
-            return ids, np.frombuffer(raw, kind).reshape(n, -1)
-    raise ValueError("a packed block has an odd size")
+    return np.frombuffer(ids, np.int64), np.frombuffer(raw, np.int64).reshape(n, -1)
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
