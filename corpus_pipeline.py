@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy it takes."""
+    """The mix: a row for each copy it takes; files in order of their names are in order of shards."""
     return emit(mix(docs, carry=True)).select(docs.columns)
 
 

@@ -60,3 +60,28 @@ def test_published_licences(spark):
     for i, (text, want) in enumerate(PUBLISHED):
         assert set(got[i].labels.split(",")) & set(TEMPLATES) == want, text
         assert (got[i].score == 1.0) == bool(want), text
+
+
+def test_mix_is_written_by_shards(spark):
+    from pyspark.sql import functions as F
+
+    from tremolo.llm.mixing import SHARDS, emit, mix
+
+    d = spark.createDataFrame([(i, f"text {i} " * 5, "abc"[i // 400]) for i in range(1200)], "doc_id long, text string, source string").repartitionByRange(3, "doc_id")  # a source a task
+    mixed = mix(d, carry=True)
+    want = sorted((r.doc_id, s) for r in mixed.select("doc_id", "shards").collect() for s in r.shards)
+    for slices in (1, 3, None):
+        rows = emit(mixed, slices=slices, shard_col="shard").withColumn("p", F.spark_partition_id()).collect()
+        assert sorted((r.doc_id, r.shard) for r in rows) == want
+        parts = {s: sorted({r.p for r in rows if r.shard == s}) for s in range(SHARDS)}
+        n = slices or 1  # conftest has four shuffle partitions
+        assert all(k * n <= min(p) and max(p) < (k + 1) * n for k, p in parts.items())
+        in_order = [r.shard for r in rows]
+        assert in_order == sorted(in_order)
+        for s in range(SHARDS):
+            own = [r.source for r in rows if r.shard == s]
+            changes = sum(x != y for x, y in zip(own, own[1:]))
+            assert len(set(own)) == 3 and changes > len(own) / 4, (s, changes)
+    assert emit(mixed).columns == d.columns
+    same = spark.createDataFrame([(None, f"t {i}", "a") for i in range(400)], d.schema)
+    assert emit(mix(same, carry=True), slices=4).withColumn("p", F.spark_partition_id()).select("p").distinct().count() >= 4

@@ -11,7 +11,8 @@ A binary tree deals the quotas to the output shards: each node gives its left ha
 number of its slots, drawn without replacement, so the counts by source follow the
 multivariate hypergeometric law. A leaf's quota of a source then takes the next slots of
 that source's permuted list, so shards get disjoint blocks, and within a shard rows are
-sorted by a hash. Only counts of blocks meet in windows, never documents of a source.
+sorted by a hash: emit() brings each shard's rows together. Only counts of blocks meet in
+windows, never documents of a source.
 
 Everything is DataFrame expressions. Defined cases: null and empty texts have size 0 and are
 taken 0 words; null sources are one source, after all others; rows that repeat a doc_id are
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremolo.llm._store import cut
 
@@ -138,11 +140,20 @@ def mix(docs: DataFrame, most: float = 3.0, blocks: int = BLOCKS, shards: int =
     return rows.select(*out, *(["row"] if carry else []))
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row for each copy, with the input's columns, in shuffled order.
+def emit(mixed: DataFrame, shards: int = SHARDS, slices: int | None = None, shard_col: str | None = None) -> DataFrame:
+    """The mix itself: a row for each copy, with the input's columns, shard by shard.
 
-    mixed: mix(..., carry=True). Rows of a shard are sorted by a hash within each task.
+    mixed: mix(..., shards=shards, carry=True). Each shard is `slices` partitions in a row (by
+    the session's shuffle partitions if none are given), a range of the order each, so shard k
+    is partitions k * slices to (k + 1) * slices - 1 and is sorted by a hash throughout.
+    shard_col: name for a column with the shard.
     """
+    if slices is None:
+        slices = max(1, -(-int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
     each = mixed.select("row", "doc_id", F.posexplode("shards").alias("copy", "shard"))
-    each = each.withColumn("turn", draw(F.lit("order"), F.col("doc_id"), F.col("copy"))).sortWithinPartitions("shard", "turn")
-    return each.select("row.*")
+    # Rows that share an id, or have none, are told apart by their values.
+    values = F.xxhash64(*(F.col(f"row.`{f.name}`") for f in mixed.schema["row"].dataType.fields if isinstance(f.dataType, T.AtomicType)))
+    each = each.withColumn("turn", draw(F.lit("order"), F.col("doc_id"), F.col("copy"), values))
+    place = F.col("shard") * slices + F.floor(_number(F.col("turn")) * slices / F.lit(float(2**32)))
+    each = each.repartitionById(shards * slices, place.cast("int")).sortWithinPartitions("shard", "turn")
+    return each.select("row.*", *([F.col("shard").alias(shard_col)] if shard_col else []))
