@@ -51,9 +51,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled encodings of each row, by digest."""
+    """Two sampled encodings of each row, and their digest."""
     e = sample_encodings(docs, k=2)
-    return e.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion", "round_trip")
+    return e.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids", F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion", "round_trip")
 
 
 STAGES = [

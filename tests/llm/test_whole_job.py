@@ -85,3 +85,13 @@ def test_mix_is_written_by_shards(spark):
     assert emit(mixed).columns == d.columns
     same = spark.createDataFrame([(None, f"t {i}", "a") for i in range(400)], d.schema)
     assert emit(mix(same, carry=True), slices=4).withColumn("p", F.spark_partition_id()).select("p").distinct().count() >= 4
+
+
+def test_encodings_are_written(spark):
+    import corpus_pipeline as cp
+    from tremolo.llm.sampled_pieces import sample_encodings
+
+    d = docs(spark, ["Hello world", "", None, "one two three"])
+    got = cp.pieces(spark, d, "")
+    want = {(r.doc_id, r.sample): r.ids for r in sample_encodings(d, k=2).collect()}
+    assert {(r.doc_id, r.sample): r.ids for r in got.collect()} == want and got.where("size(ids) <> n_pieces or xxhash64(ids) <> ids_hash").count() == 0
