@@ -95,3 +95,25 @@ def test_encodings_are_written(spark):
     got = cp.pieces(spark, d, "")
     want = {(r.doc_id, r.sample): r.ids for r in sample_encodings(d, k=2).collect()}
     assert {(r.doc_id, r.sample): r.ids for r in got.collect()} == want and got.where("size(ids) <> n_pieces or xxhash64(ids) <> ids_hash").count() == 0
+
+
+def test_every_answer_is_in_a_pair(spark, tmp_path):
+    import duckdb
+
+    from tremolo.llm.queries import ORACLE_SQL, QUERIES
+
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (1, 0, "user", "p"), (1, 1, "assistant", "a1"), (2, 0, "system", "s"), (2, 1, "assistant", "alone"), (4, 0, "user", "no"), (5, 0, "assistant", None), (5, 1, "user", "late"), (8, 0, "user", "x"), (8, 1, "assistant", "")]
+    own = tmp_path / "conversations.parquet"
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(own))
+    for folder, path in ((str(tmp_path), f"{own}/*.parquet"), ("/root/testdata/sf0.01", "/root/testdata/sf0.01/conversations.parquet")):
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}'")
+        got = QUERIES["op2_every_answer"](spark, folder)
+        rows, names = sorted(tuple(r) for r in got.collect()), ", ".join(got.columns)
+        assert rows == sorted(c.sql(f"SELECT {names} FROM ({ORACLE_SQL['op2_every_answer']})").fetchall())
+        ids = sorted(x for x, in c.sql("SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL").fetchall())
+        assert [r[0] for r in rows] == ids
+        if folder == str(tmp_path):
+            by_id = {r.pair_id: r for r in got.collect()}
+            assert ids == [0, 1, 2, 5, 8] and by_id[0].rejected_trained > 0
+            assert all((by_id[k].n_prompt, by_id[k].prompt_chars, by_id[k].rejected_chars) == (0, 0, 0) and by_id[k].chosen_trained > 0 for k in (2, 5, 8))

@@ -54,18 +54,19 @@ def trained_chars(mask: Column) -> Column:
     return F.aggregate(mask, F.lit(0).cast("long"), lambda s, x: s + F.when(x["train"], x["n_chars"]).otherwise(F.lit(0).cast("long")))
 
 
-def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def swapped_answers(turns: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns from plain conversations (conv_id, turn, role, text).
 
     Chosen: a conversation up to its last assistant turn. Rejected: the same with that turn's
     text taken from the last assistant turn of its neighbour (conv_id with the last bit
-    turned). Conversations without an assistant turn, or whose neighbour has none, are no pair.
+    turned). Conversations without an assistant turn are no pair. Those whose neighbour has none
+    are no pair either, unless `every` is set: then they are, and the rejected side is missing.
     """
     t = turns.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).where("pair_id is not null and turn is not null")
     answer = t.where("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("a"))
     answer = answer.select("pair_id", F.col("a.turn").alias("last"), F.col("a.text").alias("answer"))
     other = answer.select((F.col("pair_id").bitwiseXOR(F.lit(1).cast("long"))).alias("pair_id"), F.col("answer").alias("other"))
-    chosen = t.join(answer.join(other, "pair_id"), "pair_id").where((F.col("turn") < F.col("last")) | ((F.col("turn") == F.col("last")) & (F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) == F.col("answer"))))
-    rejected = chosen.withColumn("text", F.when(F.col("turn") == F.col("last"), F.col("other")).otherwise(F.col("text")))
+    chosen = t.join(answer.join(other, "pair_id", "left" if every else "inner"), "pair_id").where((F.col("turn") < F.col("last")) | ((F.col("turn") == F.col("last")) & (F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) == F.col("answer"))))
+    rejected = chosen.where("other is not null").withColumn("text", F.when(F.col("turn") == F.col("last"), F.col("other")).otherwise(F.col("text")))
     names = ["pair_id", "turn", "role", "text"]
     return chosen.select(names), rejected.select(names)

@@ -30,14 +30,18 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
-def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_preference_pairs(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     from tremolo.llm.preference import preference_pairs, swapped_answers, trained_chars
 
-    p = preference_pairs(*swapped_answers(_table(spark, sf_dir, "conversations")))
+    p = preference_pairs(*swapped_answers(_table(spark, sf_dir, "conversations"), every))
     sides = [x for s in ("chosen", "rejected") for x in (F.length(s).cast("long").alias(f"{s}_chars"), F.md5(F.col(s).cast("binary")).alias(f"{s}_md5"), trained_chars(F.col(f"{s}_mask")).alias(f"{s}_trained"))]
     return p.select("pair_id", "n_prompt", F.length("prompt").cast("long").alias("prompt_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), *sides)
 
 
+def op2_every_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_preference_pairs(spark, sf_dir, every=True)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremolo.llm._sample import labelled
     from tremolo.llm.quality_rules import PER_LABEL, apply_rules, learn
@@ -96,6 +100,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_preference_pairs": op2_preference_pairs,
+    "op2_every_answer": op2_every_answer,
     "op3_quality_rules": op3_quality_rules,
     "op4_impact_search": op4_impact_search,
     "op5_sampled_pieces": op5_sampled_pieces,
@@ -143,6 +148,13 @@ SELECT pair_id, n_prompt::BIGINT AS n_prompt, length(prompt)::BIGINT AS prompt_c
 FROM s
 """
 
+# Neighbours may be missing; then the rejected side is, and nothing is common.
+_OP2_EVERY_SQL = (
+    _OP2_SQL.replace("FROM a JOIN a AS o", "FROM a LEFT JOIN a AS o")
+    .replace("CASE WHEN turn = last THEN other", "CASE WHEN other IS NULL THEN NULL WHEN turn = last THEN other")
+    .replace("(WHERE NOT same)", "(WHERE same IS NOT TRUE)")
+)
+
 _OP4_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
@@ -240,6 +252,7 @@ FROM r
 
 ORACLE_SQL: dict[str, str] = {
     "op2_preference_pairs": _OP2_SQL,
+    "op2_every_answer": _OP2_EVERY_SQL,
     "op4_impact_search": _OP4_SQL,
     "op6_mixing": _mix_sql(),
     "op8_warc": _OP8_SQL,
