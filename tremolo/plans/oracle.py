@@ -209,6 +209,10 @@ SELECT band, n, first, {r("3.64e0 * pow(f, -8e-1) - 6.5e0 * exp(-6e-1 * (f - 3.3
 SQL["masking_threshold"] = f"""WITH {E}, l AS (SELECT clip_id, i AS m, abs(x) AS x FROM e WHERE i < 8)
 SELECT a.clip_id, a.m AS band, {r("pow(sum(pow(b.x / (pow(10e0, 14.5e0 / 20) * pow(10e0, 12e0 / 20)) * CASE WHEN b.m < a.m THEN pow(1 / pow(10e0, 7.5e0 / 20), (a.m - b.m)::DOUBLE) ELSE pow(1 / pow(10e0, 26e0 / 20), (b.m - a.m)::DOUBLE) END, 9e-1)), 1 / 9e-1)")} AS threshold
 FROM l AS a JOIN l AS b ON a.clip_id = b.clip_id AND a.m <> b.m GROUP BY a.clip_id, a.m"""
+SQL["masking_threshold_frames"] = f"""WITH {_FRAMES}, s AS (SELECT clip_id, m, k, sum(v * cos({PI2} / 16 * j * k)) AS a, sum(v * sin({PI2} / 16 * j * k)) AS b FROM f, (SELECT unnest(range(9))::INTEGER AS k) GROUP BY ALL),
+l AS (SELECT clip_id, m, round_even(6e0 * asinh(k * 1000e0 / 600e0) / {lit(6 * math.asinh(8000 / 600) / 7)}, 0)::INTEGER AS band, sum(sqrt(a * a + b * b)) AS x FROM s GROUP BY ALL)
+SELECT l.clip_id, l.m, n.band, {r("pow(sum(CASE WHEN l.band = n.band THEN 0e0 ELSE pow(l.x / (pow(10e0, 14.5e0 / 20) * pow(10e0, 12e0 / 20)) * CASE WHEN l.band < n.band THEN pow(1 / pow(10e0, 7.5e0 / 20), (n.band - l.band)::DOUBLE) ELSE pow(1 / pow(10e0, 26e0 / 20), (l.band - n.band)::DOUBLE) END, 9e-1) END), 1 / 9e-1)", 8)} AS threshold
+FROM l, (SELECT unnest(range(8))::INTEGER AS band) AS n GROUP BY l.clip_id, l.m, n.band"""
 
 
 def _bits(n: int) -> str:

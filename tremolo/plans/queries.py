@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tremolo.functions import bits, metrics
 from tremolo.functions import psychoacoustics as bark
-from tremolo.functions.arrays import clean
+from tremolo.functions.arrays import clean, positions, total
 from tremolo.operators import attacks, blocks, catalog, kernels
 from tremolo.operators.models import SPREAD_A, SPREAD_B
 from tremolo.plans import benchmark, report
@@ -205,6 +205,24 @@ def masking_threshold(spark: SparkSession, d: str) -> DataFrame:
     return e.select("clip_id", F.posexplode(bark.masking(F.col("levels"), 8)).alias("band", "t")).select("clip_id", "band", clean(F.col("t")).alias("threshold"))
 
 
+@query
+def masking_threshold_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds of eight bands in every block of each clip, from its magnitudes summed by band."""
+    import math
+
+    size, bands = SMALL["size"], 8
+    f = C.frames(_e(spark, d), size, SMALL["hop"])
+
+    def magnitude(k):
+        part = lambda fn: total(F.transform("block", lambda v, j: v * fn(F.lit(2 * math.pi / size) * j * k)))
+        return F.sqrt(part(F.cos) * part(F.cos) + part(F.sin) * part(F.sin))
+
+    f = catalog.bind(f, "spectrum", F.transform(positions(F.lit(size // 2 + 1)), magnitude))
+    level = lambda b: total(F.transform("spectrum", lambda v, k: F.when(bark.band_of_bin(k, size, 16000, bands) == b, v).otherwise(F.lit(0.0))))
+    f = catalog.bind(f, "levels", F.transform(positions(F.lit(bands)), level))
+    return f.select("clip_id", "m", F.posexplode(bark.masking(F.col("levels"), bands)).alias("band", "t")).select("clip_id", "m", "band", clean(F.col("t"), 8).alias("threshold"))
+
+
 # Messages and metrics
 
 
