@@ -150,17 +150,19 @@ def all_segmentations(v, text):
     return dict(go("▁" + text.replace(" ", "▁")))
 
 
-def test_sampling_follows_the_lattice():
+@pytest.mark.parametrize("text", ["then", "so it", "as  a", "wins"])
+def test_sampling_follows_the_lattice(text):
     import pyarrow as pa
 
     from tremolo.llm import _text as X
-    from tremolo.llm.sampled_pieces import MODEL, sample_slice, vocabulary
+    from tremolo.llm.sampled_pieces import MODEL, Lattices, sample_slice, vocabulary
 
     v, n = vocabulary(MODEL), 6000
-    every = all_segmentations(v, "then")
+    lattices = Lattices(v, 1.0)
+    every = all_segmentations(v, text)
     total = np.logaddexp.reduce(list(every.values()))
     p = {k: float(np.exp(w - total)) for k, w in every.items()}
-    got = sample_slice(v, X.text_of(pa.array(["then"] * n)), np.arange(n, dtype=np.uint64), 2, 1.0)
+    got = sample_slice(v, lattices, X.text_of(pa.array([text] * n)), np.arange(n, dtype=np.uint64), 2)
     first, both = {}, {}
     for samples in got:
         first[tuple(samples[0][0].tolist())] = first.get(tuple(samples[0][0].tolist()), 0) + 1
@@ -171,10 +173,26 @@ def test_sampling_follows_the_lattice():
         assert abs(first.get(k, 0) / n - q) < 5 * np.sqrt(q * (1 - q) / n) + 1e-3
         pair = q + sum(r * q / (1 - r) for j, r in p.items() if j != k and r < 1)
         assert abs(both.get(k, 0) / n - pair) < 5 * np.sqrt(pair * (1 - pair) / n + 1e-9) + 1e-3
-    few = sample_slice(v, X.text_of(pa.array(["a"] * 5)), np.arange(5, dtype=np.uint64), 50, 1.0)
+    few = sample_slice(v, lattices, X.text_of(pa.array(["a"] * 5)), np.arange(5, dtype=np.uint64), 50)
     assert all(len(s) == len(all_segmentations(v, "a")) and all(x[2] == 0.0 for x in s) for s in few)
 
 
+def test_kept_lattices_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    from tremolo.llm import _text as X, sampled_pieces as S
+
+    v = S.vocabulary(S.MODEL)
+    texts = [X.text_of(pa.array(x)) for x in (["some words here", "other words"], ["words again", "日本 some", "x" * 50], ["here they are, some words"])]
+    keys = [np.arange(len(t), dtype=np.uint64) for t in texts]
+    kept, got = S.Lattices(v, 1.0), []
+    for limit in (10**6, 30):  # with the second limit the store begins again and again
+        monkeypatch.setattr(S, "KEPT_NODES", limit)
+        got += [[[(x.tolist(), y, z) for x, y, z in s] for s in S.sample_slice(v, kept, t, k, 3)] for t, k in zip(texts, keys)]
+    alone = [[[(x.tolist(), y, z) for x, y, z in s] for s in S.sample_slice(v, S.Lattices(v, 1.0), t, k, 3)] for t, k in zip(texts, keys)]
+    assert got == alone + alone
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 

@@ -14,8 +14,10 @@ queue gives each sample's inclusion probability, 1 - exp(-exp(log_prob - left)),
 logarithm. All draws are a hash of the row's key and a counter, so reruns agree.
 
 A BPE vocabulary has merge ranks for scores; the log probability of a piece is then taken
-from its rank by Zipf's law. Lattices are built for the distinct units of a slice of texts
-and all units are drawn at once, in array steps. Decoding puts the pieces' bytes one after
+from its rank by Zipf's law. Lattices are built for distinct units, kept from one slice of
+texts to the next, and all units of a slice are drawn at once, in array steps. Probabilities
+and draws are in double precision, the mass of siblings is summed without cancellation: a
+segmentation is out of reach only if its probability can't be told from 0 in a double. Decoding puts the pieces' bytes one after
 another and gives back every text exactly.
 
 Defined cases: null and empty texts have one sample without pieces, log_prob 0 and
@@ -37,6 +39,8 @@ from tremolo.llm import _text as X
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE_BYTES = 2 << 20
+#: Nodes of lattices that a process keeps, or those of one slice if it has more.
+KEPT_NODES = 1_500_000
 U64 = np.uint64
 _MARK, _LITERAL = 0x2581, 0x110001
 
@@ -128,86 +132,148 @@ def uniforms(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Lattices of units: codes[offsets[i]:offsets[i + 1]]; node of unit i at place p: offsets[i] + i + p.
+    """Lattices of units, kept from slice to slice, as words recur.
 
-    A node's arcs are cells by length: upto[node, l - 1] is the probability that the piece
-    ending there has at most l characters, piece[node, l - 1] its number, -1 - code for bytes.
+    Node x has count[x] arcs from base[x] on, by length; roots have none. Of an arc: its
+    probability given its end node summed up to this arc (infinite for the last, so that no
+    draw goes beyond it), log_p, log_rest (of the node's other arcs), length in characters, and
+    its piece's number, or -1 - code for bytes. leaf maps a unit's hash to its last node. Over
+    KEPT_NODES the store begins again with the units of the slice at hand.
     """
 
-    def __init__(self, v: Vocabulary, codes: np.ndarray, offsets: np.ndarray, theta: float):
-        n, m = len(codes), len(offsets) - 1
-        sums = code_sums(codes)
-        unit = np.repeat(np.arange(m), np.diff(offsets))
-        room = offsets[1:][unit] - np.arange(n)
-        found, at, single = [], np.arange(n), np.zeros(n, bool)
-        for length in range(1, v.longest + 1):
-            at = at[room[at] >= length]
-            if not len(at):
-                break
-            near, piece = v.find(X.hash_spans(sums, at, at + length))
-            at = at[near]
-            hit = piece >= 0
-            found.append((at[hit], piece[hit]))
-            if length == 1:
-                single[at[hit]] = True
-        while len(found) > 1 and not len(found[-1][0]):
-            found.pop()
-        self.wide = max(1, len(found))
-        self.roots, self.leaves = offsets[:-1] + np.arange(m), offsets[1:] + np.arange(m)
-        self.piece = np.zeros((n + m, self.wide), np.int32)
-        weight = np.full((n + m, self.wide), -np.inf)
-        node_of = np.arange(n) + unit
-        for k, (start, piece) in enumerate(found):
-            end = node_of[start] + k + 1
-            self.piece[end, k] = piece
-            weight[end, k] = v.log_prob[piece] * theta
-        lone = np.flatnonzero(~single)
-        self.piece[node_of[lone] + 1, 0] = -1 - codes[lone].astype(np.int64)
-        weight[node_of[lone] + 1, 0] = utf8_length(codes[lone]) * v.byte_log_prob * theta
-        # nodes by their place in the unit, so that each place is one array step
-        local = np.ones(n + m, np.int64)
-        local[self.roots] = 0
-        local[self.roots[1:]] = 1 - np.diff(self.roots)
-        local[0] = 0
-        local = np.cumsum(local)
-        local[self.roots] = 0
-        order = np.argsort(local.astype(np.uint16) if local.max(initial=0) < 65536 else local, kind="stable")
-        cuts = np.searchsorted(local[order], np.arange(1, local.max(initial=0) + 2))
-        alpha, back = np.zeros(n + m), np.arange(1, self.wide + 1)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            e = order[a:b]
-            w = weight[e]
-            w += alpha[np.maximum(e[:, None] - back, 0)]
-            top = w.max(axis=1)
-            w -= top[:, None]
-            np.exp(w, out=w)
-            total = w.sum(axis=1)
-            alpha[e] = top + np.log(total)
-            w /= total[:, None]
-            weight[e] = w
-        self.p = weight
-        self.upto = np.cumsum(weight, axis=1, dtype=np.float32)
-        self.root = local == 0
+    def __init__(self, v: Vocabulary, theta: float):
+        self.v, self.theta = v, theta
+        self.hashes, self.leaf = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.base, self.count = np.zeros(0, np.int64), np.zeros(0, np.int8)
+        self.upto = self.log_p = self.log_rest = np.zeros(0)
+        self.length, self.piece = np.zeros(0, np.int8), np.zeros(0, np.int32)
+
+    def leaves(self, hashes: np.ndarray, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Last node of each unit codes[begins:ends]; hashes are sorted and distinct."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        new = np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if not len(new):
+            return self.leaf[at]
+        if len(self.hashes) and len(self.base) + int((ends - begins)[new].sum()) + len(new) > KEPT_NODES:
+            self.__init__(self.v, self.theta)
+            new = np.arange(len(hashes))
+        sizes = (ends - begins)[new]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        take = np.repeat(begins[new] - offsets[:-1], sizes) + np.arange(offsets[-1])
+        made = _built(self.v, codes[take], offsets, self.theta)
+        leaf = np.concatenate([self.leaf, len(self.base) + offsets[1:] + np.arange(len(new))])
+        made["base"] += len(self.piece)
+        for name, x in made.items():
+            setattr(self, name, np.concatenate([getattr(self, name), x]))
+        known = np.concatenate([self.hashes, hashes[new]])
+        order = np.argsort(known, kind="stable")
+        self.hashes, self.leaf = known[order], leaf[order]
+        return self.leaf[np.searchsorted(self.hashes, hashes)]
 
     def draw(self, nodes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Decisions from each node to its unit's root: (index of the start, node, cell), step by step."""
-        who, node, out = np.arange(len(nodes)), nodes, []
-        on = ~self.root[node]
-        who, node, step = who[on], node[on], 0
-        while len(who):
-            row = self.upto[node]
-            u = uniforms(key[who], np.array([step])).astype(np.float32) * row[:, -1]
-            cell = (row >= u[:, None]).argmax(axis=1)
-            out.append((who, node, cell))
-            node = node - cell - 1
-            on = ~self.root[node]
-            who, node = who[on], node[on]
-            step += 1
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        who, node, cell = (np.concatenate(x) for x in zip(*out))
-        order = np.argsort(who, kind="stable")
-        return who[order], node[order], cell[order]
+        """Decisions from each node to its unit's root, start by start: (index of the start, node, arc)."""
+        who, node, out, count = np.arange(len(nodes)), nodes, [], np.zeros(len(nodes), np.int64)
+        while True:
+            on = self.count[node] > 0
+            if not on.all():
+                who, node = who[on], node[on]
+            if not len(who):
+                break
+            arc = self.base[node]
+            u = uniforms(key[who], np.array([len(out)]))
+            more = np.flatnonzero(u >= self.upto[arc])
+            while len(more):
+                arc[more] += 1
+                more = more[u[more] >= self.upto[arc[more]]]
+            out.append((who, node, arc))
+            count[who] += 1
+            node = node - self.length[arc]
+        start = np.cumsum(count) - count
+        by_start = np.empty((3, int(count.sum())), np.int64)
+        for step, columns in enumerate(out):
+            at = start[columns[0]] + step
+            for x, column in zip(by_start, columns):
+                x[at] = column
+        return by_start[0], by_start[1], by_start[2]
+
+
+def _built(v: Vocabulary, codes: np.ndarray, offsets: np.ndarray, theta: float) -> dict[str, np.ndarray]:
+    """Columns of Lattices for units codes[offsets[i]:offsets[i + 1]]; node of unit i at place p: offsets[i] + i + p."""
+    n, m = len(codes), len(offsets) - 1
+    sums = code_sums(codes)
+    unit = np.repeat(np.arange(m), np.diff(offsets))
+    room = offsets[1:][unit] - np.arange(n)
+    at, node_of = np.arange(n), np.arange(n) + unit
+    count = np.zeros(n + m, np.int8)
+    ends, slots, pieces, lengths = [], [], [], []
+    for length in range(1, v.longest + 1):
+        at = at[room[at] >= length]
+        if not len(at):
+            break
+        near, piece = v.find(X.hash_spans(sums, at, at + length))
+        at = at[near]
+        start, piece = at[piece >= 0], piece[piece >= 0]
+        if length == 1:  # what isn't a piece becomes bytes
+            every = -1 - codes.astype(np.int64)
+            every[start] = piece
+            start, piece = np.arange(n), every.astype(np.int32)
+        end = node_of[start] + length
+        ends.append(end)
+        slots.append(count[end])
+        pieces.append(piece)
+        lengths.append(np.full(len(end), length, np.int8))
+        count[end] += 1
+    # nodes by their place in the unit, so that each place is one array step; their arcs lie in this order
+    roots = offsets[:-1] + np.arange(m)
+    place = np.arange(n + m) - np.repeat(roots, np.diff(offsets) + 1)
+    by_place = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 65536 else place, kind="stable")
+    base = np.empty(n + m, np.int64)
+    base[by_place] = np.cumsum(count[by_place], dtype=np.int64) - count[by_place]
+    end = np.concatenate(ends)
+    at = base[end] + np.concatenate(slots)
+    total = len(at)
+    start, length, piece = np.empty(total, np.int64), np.empty(total, np.int8), np.empty(total, np.int32)
+    length[at], piece[at] = np.concatenate(lengths), np.concatenate(pieces)
+    start[at] = end - np.concatenate(lengths)
+    lone = np.flatnonzero(piece < 0)
+    p = v.log_prob[np.maximum(piece, 0)]
+    p[lone] = utf8_length((-1 - piece[lone]).astype(np.uint32)) * v.byte_log_prob
+    p *= theta
+    alpha = np.zeros(n + m)
+    cuts = np.searchsorted(place[by_place], np.arange(1, place.max(initial=0) + 2))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        e = by_place[i:j]
+        a, b = base[e[0]], base[e[-1]] + count[e[-1]]
+        w = p[a:b]
+        w += alpha[start[a:b]]
+        first = base[e] - a
+        top = np.maximum.reduceat(w, first)
+        w -= np.repeat(top, count[e])
+        np.exp(w, out=w)
+        mass = np.add.reduceat(w, first)
+        w /= np.repeat(mass, count[e])
+        alpha[e] = top + np.log(mass)
+    # sums up to an arc, and over the arcs after it, slot by slot
+    upto, after = p.copy(), np.zeros(total)
+    rows = [np.flatnonzero(count > k) for k in range(int(count.max(initial=0)))]
+    for k, r in enumerate(rows[1:], 1):
+        upto[base[r] + k] += upto[base[r] + k - 1]
+    for k, r in reversed(list(enumerate(rows[1:], 1))):
+        after[base[r] + k - 1] = after[base[r] + k] + p[base[r] + k]
+    rest = after
+    for k, r in enumerate(rows[1:], 1):
+        rest[base[r] + k] += upto[base[r] + k - 1]
+    last = np.flatnonzero(count)
+    upto[base[last] + count[last] - 1] = np.inf
+    with np.errstate(divide="ignore"):
+        return {"base": base, "count": count, "upto": upto, "log_p": np.log(p), "log_rest": np.log(rest), "length": length, "piece": piece}
+
+
+@lru_cache(2)
+def lattices_of(path: str, theta: float) -> Lattices:
+    """The store of this process."""
+    return Lattices(vocabulary(path), theta)
 
 
 def utf8_length(codes: np.ndarray) -> np.ndarray:
@@ -220,7 +286,7 @@ _MOST = 38.0
 
 
 class _Sample:
-    """One text's queue of subtrees. A leaf is its decisions from the text's end on: nodes, cells, units, probabilities."""
+    """One text's queue of subtrees. A leaf is its decisions from the text's end on: nodes, arcs, units."""
 
     def __init__(self, key: int):
         self.key, self.count = U64(key), 0
@@ -234,31 +300,29 @@ class _Sample:
         return -np.log(-np.log(uniforms(self.gumbel_key, at)))
 
     def add(self, lattices: Lattices, leaf: tuple, value: float, since: int, used: set[int]) -> None:
-        """A leaf whose decisions from `since` on leave siblings; at `since` the cells `used` are taken too.
+        """A leaf whose decisions from `since` on leave siblings; at `since` the arcs `used` are taken too.
 
         Decisions are opened in growing stretches, until what is left of the mass can't reach
         the best value even with the largest draw, or there are none left.
         """
-        _, cells, _, p = leaf
-        before = np.concatenate([[0.0], np.cumsum(np.log(p))])
+        arcs = leaf[1]
+        before = np.zeros(len(arcs) + 1)
+        np.cumsum(lattices.log_p[arcs], out=before[1:])
         self.leaves.append((*leaf, float(before[-1]), value, before))
-        own = used | {int(cells[since])} if since < len(p) else used
+        own = used | {int(arcs[since])} if since < len(arcs) else used
         self.queue.append([np.zeros(0), since, len(self.leaves) - 1, own])
         self.open(lattices, len(self.queue) - 1)
 
     def open(self, lattices: Lattices, k: int) -> None:
         """Opens the next stretch of entry k's decisions."""
         values, since, leaf, own = self.queue[k]
-        nodes, _, _, p, _, value, before = self.leaves[leaf]
+        nodes, arcs, _, _, value, before = self.leaves[leaf]
         a = since + len(values)
-        b = min(len(p), a + max(384, len(values)))
-        q = p[a:b]
-        with np.errstate(divide="ignore"):
-            mass = before[a:b] + np.log1p(-q)
-        mass[q > 1 - 1e-12] = -np.inf
-        if a == since and b > a:
-            rest = 1.0 - float(lattices.p[nodes[since], list(own)].sum())
-            mass[0] = before[since] + np.log(rest) if rest > 1e-12 else -np.inf
+        b = min(len(arcs), a + max(256, len(values)))
+        mass = before[a:b] + lattices.log_rest[arcs[a:b]]
+        if a == since and b > a and len(own) > 1:
+            rest = np.exp(lattices.log_p[_others(lattices, nodes[since], own)]).sum()
+            mass[0] = before[since] + np.log(rest) if rest > 0 else -np.inf
         new, ok = np.full(b - a, -np.inf), np.isfinite(mass)
         high = mass[ok] + self.gumbel(int(ok.sum()))
         new[ok] = -np.logaddexp(-value, -high)
@@ -274,7 +338,7 @@ class _Sample:
                     if values[i] > out[0]:
                         out = (float(values[i]), k, since + i)
             for k, (values, since, leaf, _) in enumerate(self.queue):
-                at, before = since + len(values), self.leaves[leaf][6]
+                at, before = since + len(values), self.leaves[leaf][5]
                 if at < len(before) - 1 and before[at] + _MOST >= out[0]:
                     open_at = k
             if open_at < 0:
@@ -282,7 +346,13 @@ class _Sample:
             self.open(lattices, open_at)
 
 
-def sample_slice(v: Vocabulary, s: X.Text, keys: np.ndarray, k: int, theta: float) -> list[list[tuple[np.ndarray, float, float]]]:
+def _others(lattices: Lattices, node: int, used: set[int]) -> list[int]:
+    """A node's arcs but for those used."""
+    first = int(lattices.base[node])
+    return [x for x in range(first, first + int(lattices.count[node])) if x not in used]
+
+
+def sample_slice(v: Vocabulary, lattices: Lattices, s: X.Text, keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples: (piece ids, log probability, log inclusion)."""
     out: list[list] = [[] for _ in range(len(s))]
     text = s.data.tobytes().decode("utf-8", "replace")
@@ -304,54 +374,49 @@ def sample_slice(v: Vocabulary, s: X.Text, keys: np.ndarray, k: int, theta: floa
     unit_at = np.append(np.flatnonzero(head), len(codes))
     per_text = np.searchsorted(unit_at, np.append(begins, len(codes)))
     h = X.hash_spans(code_sums(codes), unit_at[:-1], unit_at[1:])
-    _, once, kind = np.unique(h, return_index=True, return_inverse=True)
-    lengths = np.diff(unit_at)[once]
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    take = np.repeat(unit_at[once] - offsets[:-1], lengths) + np.arange(offsets[-1])
-    lattices = Lattices(v, codes[take], offsets, theta)
+    known, once, kind = np.unique(h, return_index=True, return_inverse=True)
+    ends = lattices.leaves(known, codes, unit_at[once], unit_at[once + 1])
     # units of a text from its last to its first
     text_of = np.repeat(np.arange(len(full)), np.diff(per_text))
     place = np.arange(len(kind)) - per_text[text_of]
-    leaf = lattices.leaves[kind[(per_text[1:] - 1)[text_of] - place]]
+    leaf = ends[kind[(per_text[1:] - 1)[text_of] - place]]
     text_key = X.mix(keys[full])
     searches = [_Sample(int(x)) for x in text_key]
     for turn in range(k):
         unit_key = X.mix(text_key[text_of] + (place * k + turn).astype(U64) * U64(0xE7037ED1A0B428DB))
-        who, node, cell = lattices.draw(leaf, unit_key)
-        p = lattices.p[node, cell]
+        who, node, arc = lattices.draw(leaf, unit_key)
         cut = np.searchsorted(who, per_text).tolist()
         who -= per_text[text_of[who]]
         for t, search in enumerate(searches):
             a, b = cut[t], cut[t + 1]
             if turn == 0:
-                search.add(lattices, (node[a:b], cell[a:b], who[a:b], p[a:b]), float(search.gumbel(1)[0]), 0, set())
+                search.add(lattices, (node[a:b], arc[a:b], who[a:b]), float(search.gumbel(1)[0]), 0, set())
                 continue
             value, entry, decision = search.best(lattices)
             if entry < 0:
                 continue
             values, since, parent, own = search.queue[entry]
             values[decision - since] = -np.inf
-            nodes, cells, units, old_p = search.leaves[parent][:4]
-            taken = own if decision == since else {int(cells[decision])}
+            nodes, arcs, units = search.leaves[parent][:3]
+            taken = own if decision == since else {int(arcs[decision])}
             # one decision anew, then the rest of its unit, then the units after it
             at, unit = int(nodes[decision]), int(units[decision])
-            weights = lattices.p[at].copy()
-            weights[list(taken)] = 0
-            u = uniforms(search.key + U64(77 + turn), np.array([decision]))[0] * weights.sum()
-            chosen = min(int(np.searchsorted(np.cumsum(weights), u)), int(np.flatnonzero(weights)[-1]))
-            _, more, more_cells = lattices.draw(np.array([at - chosen - 1]), X.mix(np.array([search.key + U64(991 + turn)], U64)))
+            free = _others(lattices, at, taken)
+            weights = np.cumsum(np.exp(lattices.log_p[free]))
+            u = uniforms(search.key + U64(77 + turn), np.array([decision]))[0] * weights[-1]
+            chosen = free[min(int(np.searchsorted(weights, u, "right")), len(free) - 1)]
+            _, more, more_arcs = lattices.draw(np.array([at - int(lattices.length[chosen])]), X.mix(np.array([search.key + U64(991 + turn)], U64)))
             later = a + int(np.searchsorted(who[a:b], unit, "right"))
             new = (
                 np.concatenate([nodes[:decision], [at], more, node[later:b]]),
-                np.concatenate([cells[:decision], [chosen], more_cells, cell[later:b]]),
+                np.concatenate([arcs[:decision], [chosen], more_arcs, arc[later:b]]),
                 np.concatenate([units[:decision], np.full(1 + len(more), unit), who[later:b]]),
-                np.concatenate([old_p[:decision], [lattices.p[at, chosen]], lattices.p[more, more_cells], p[later:b]]),
             )
             search.add(lattices, new, value, decision, taken)
     for t, search in enumerate(searches):
         left = search.best(lattices)[0]
-        for nodes, cells, _, _, log_prob, _, _ in search.leaves:
-            out[full[t]].append((_ids(v, lattices.piece[nodes[::-1], cells[::-1]]), log_prob, log_inclusion(log_prob, left)))
+        for _, arcs, _, log_prob, _, _ in search.leaves:
+            out[full[t]].append((_ids(v, lattices.piece[arcs[::-1]]), log_prob, log_inclusion(log_prob, left)))
     return out
 
 
@@ -388,12 +453,12 @@ def decode(ids: np.ndarray, path: str = MODEL) -> bytes:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, k: int, theta: float) -> Iterator[pa.RecordBatch]:
-    v = vocabulary(path)
+    v, lattices = vocabulary(path), lattices_of(path, theta)
     names = ["doc_id", "sample", "ids", "log_prob", "log_inclusion", "round_trip"]
     for batch in batches:
         t, keys = X.text_of(batch.column(2)), np.asarray(batch.column(1)).view(U64)
         for first, last, s in X.slices(t, SLICE_BYTES):
-            rows = [(first + i, n, *x) for i, samples in enumerate(sample_slice(v, s, keys[first:last], k, theta)) for n, x in enumerate(samples)]
+            rows = [(first + i, n, *x) for i, samples in enumerate(sample_slice(v, lattices, s, keys[first:last], k)) for n, x in enumerate(samples)]
             ids = [r[2] for r in rows]
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             trip = [decode(x, path) == t.bytes(r[0]) for r, x in zip(rows, ids)]
