@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of this machine only where none is set."""
+    """The folder that spark.checkpoint.dir names; where none is set, one of this machine, if Spark is all in it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = _own.setdefault("dir", None) or tempfile.mkdtemp(prefix="ckpt-")
         _own["dir"] = at
     return at

@@ -9,19 +9,23 @@ slice's content; each set goes to the tiles of its non-empty slices, and a set w
 than s empty slices to the tiles of its empty ones too. So every linked pair meets in a
 tile, whatever passages other documents share with it, and no frequency list is needed.
 
-A tile's sets are joined by stars first (smallest and largest member to all others), and
-links found that way make first components. Only tiles that still hold sets of different
-components are compared pair by pair, in blocks, all tiles of one smallest member together:
-first for as few pairs as would join these components, then, with the links among those
-known, for all that is left. In all steps parity bitmaps bound the
-overlap from above: the set bits of the xor of two bitmaps can't outnumber the members
-that the sets don't share. What is left is decided by intersecting the sorted hash arrays
-of the two whole texts.
+Each set is first paired with the smallest and the largest set of its tiles, and links found
+that way make first components. Tiles with the same smallest member are one family. Only
+families that hold sets of different components are compared pair by pair, in blocks: first
+for as few pairs as would join these components, then, in the families where such a pair
+didn't link, for all that is left. In all steps parity bitmaps bound the overlap from above:
+the set bits of the xor of two bitmaps can't outnumber the members that the sets don't share.
+What is left is decided by intersecting the sorted hash arrays of the two whole texts; the
+text that many pairs have in common travels once for a block of them.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with
 nothing and are their own component; repeated rows share a node; texts with under n words
-have their whole sequence as the one member; columns of the input other than the two named
-are ignored. Shingles are compared as 64-bit hashes.
+have their whole sequence as the one member; texts of any length count whole, a task holds
+one at a time; a null id takes part in links, and a component has null for its id only if all
+its ids are null; several texts under one id are nodes of their own, each row has its own
+text's component; an empty table gives an empty one; columns of the input other than the two
+named are ignored. Shingles, and sets as a whole, are compared as 64-bit hashes: among 10^9
+different sets two are expected to be taken for one with a chance of 3 %.
 """
 
 from __future__ import annotations
@@ -41,14 +45,18 @@ from tremolo.llm.components import connected_components
 
 #: Bands of sizes grow by the largest power of 1 / t up to this, or by 1 / t.
 BAND_RATIO = 1.4
-#: Entries of a tile bucket that a task holds at once, about.
+#: Entries of a tile bucket; a task takes one bucket.
 BUCKET = 1_000_000
-#: Sets of a tile that are compared as one block.
-BLOCK = 512
+#: Entries that are dealt out at once.
+DEAL = 1 << 18
+#: Sets of a family that are compared as one block, and the most members they have together.
+BLOCK, BLOCK_MEMBERS = 512, 1 << 24
 #: Nodes in one row of a tile's list.
 LIST = 2048
-
-ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4")])
+#: Blocks of the pairs of one text.
+PAIR_BLOCKS = 1024
+#: Rows of a table of numbers up to which it is broadcast; beyond that the join shuffles.
+BROADCAST_ROWS = 400_000
 
 
 def shingle_sets(t: X.Text, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -164,75 +172,91 @@ def tile_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
 def _read_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, sizes, maps = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
-        for i, h in shingle_sets(X.text_of(batch.column(1)), n):
+        for i, h in shingle_sets(X.text_of(batch.column(2)), n):
             sizes[i] = len(h)
             if len(h):
                 nodes[i], maps[i] = set_id(h), parity_bitmap(h)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(sizes), pa.array(maps, pa.binary())], ["id", "node", "n", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes), pa.array(maps, pa.binary())], ["id", "key", "node", "n", "bitmap"])
 
 
 def _deal_tiles(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Entries of tiles in packed form, a row for each bucket and about a million entries."""
-    bands, seen, held, count = Bands(num, den), set(), [], 0
+    """Entries of tiles, a row for each bucket at a time: the low six bytes of the keys, and the nodes."""
+    bands, seen, keys, nodes, count = Bands(num, den), set(), [], [], 0
+    small = np.uint16 if buckets < 1 << 16 else np.int64
 
     def flush():
-        entries = np.concatenate(held)
-        to = (entries["key"] >> np.uint64(32)).astype(np.int64) % buckets
+        key, node = np.concatenate(keys), np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+        to = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(small)
         order = np.argsort(to, kind="stable")
-        entries, to = entries[order], to[order]
+        to, key, node = to[order], key[order].view(np.uint8).reshape(-1, 8)[:, :6], node[order]
         at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
         ends = np.append(at[1:], len(to))
-        return pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), pa.array([entries[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], ["bucket", "entries"])
+        return pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()) for x in (key, node))], ["bucket", "keys", "nodes"])
 
     for batch in batches:
         for _, h in shingle_sets(X.text_of(batch.column(0)), n):
             if not len(h) or (node := set_id(h)) in seen:
                 continue
+            if len(seen) >= 1_000_000:  # what is dealt twice is found once
+                seen.clear()
             seen.add(node)
-            keys = tile_keys(h, bands)
-            e = np.empty(len(keys), ENTRY)
-            e["key"], e["node"], e["n"] = keys, node, len(h)
-            held.append(e)
-            count += len(e)
-            if count >= BUCKET:
+            k = tile_keys(h, bands)
+            if len(k):
+                keys.append(k)
+                nodes.append(node)
+                count += len(k)
+            if count >= DEAL:
                 yield flush()
-                held, count = [], 0
+                keys, nodes, count = [], [], 0
     if count:
         yield flush()
 
 
 def _find_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of the sets of each tile with two or more; tiles with the same list count once."""
-    parts: list[np.ndarray] = []
+    """Lists of the sets of each tile of a bucket with two or more; tiles with the same list count once."""
+    six, nodes = [], []
     for batch in batches:
-        parts += [np.frombuffer(x.as_buffer(), ENTRY) for x in batch.column(1)]
-    if not parts:
+        six += [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(1)]
+        nodes += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+    if not nodes:
+        return
+    node = np.concatenate(nodes)
+    wide = np.zeros((len(node), 8), np.uint8)
+    wide[:, :6] = np.concatenate(six).reshape(-1, 6)
+    del six, nodes
+    key = wide.view("<u8").ravel()
+    # keys that occur once are most; they go before the rest is sorted by node too
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    same = key[1:] == key[:-1]
+    twice = np.append(same, False) | np.append(False, same)
+    key, node = key[twice], node[twice]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[new], node[new]
+    if not len(key):
         return
-    e = np.concatenate(parts)
-    del parts
-    e = e[np.lexsort((e["node"], e["key"]))]
-    new = np.append(True, (e["key"][1:] != e["key"][:-1]) | (e["node"][1:] != e["node"][:-1]))
-    e = e[new]
-    start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1]))
-    length = np.diff(np.append(start, len(e)))
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    length = np.diff(np.append(start, len(key)))
     start, length = start[length > 1], length[length > 1]
     if not len(start):
         return
-    sums = np.append(np.uint64(0), np.cumsum(X.mix(e["node"].astype("<u8"))))
+    sums = np.append(np.uint64(0), np.cumsum(X.mix(node.astype("<u8"))))
     content = X.mix(sums[start + length] - sums[start] + length.astype(np.uint64))
     _, once = np.unique(content, return_index=True)
-    rows: dict[str, list] = {"tile": [], "part": [], "nodes": [], "sizes": [], "low": [], "high": []}
+    rows: dict[str, list] = {"tile": [], "part": [], "nodes": [], "low": [], "high": []}
     held = 0
-    names = pa.schema([("tile", pa.int64()), ("part", pa.int32()), ("nodes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("low", pa.int64()), ("high", pa.int64())])
+    names = pa.schema([("tile", pa.int64()), ("part", pa.int32()), ("nodes", pa.list_(pa.int64())), ("low", pa.int64()), ("high", pa.int64())])
     for k in once:
-        a, m = start[k], length[k]
-        run = e[a : a + m]
-        for p, i in enumerate(range(0, m, LIST)):
+        run = node[start[k] : start[k] + length[k]]
+        for p, i in enumerate(range(0, len(run), LIST)):
             part = run[i : i + LIST]
-            for name, x in zip(rows, (content[k].astype(np.int64), p, part["node"], part["n"], run["node"][0], run["node"][-1]), strict=True):
+            for name, x in zip(rows, (content[k].astype(np.int64), p, part, run[0], run[-1]), strict=True):
                 rows[name].append(x)
             held += len(part)
-        if held > 200_000:
+        if held > 100_000:
             yield pa.RecordBatch.from_pydict(rows, names)
             rows, held = {x: [] for x in rows}, 0
     if held:
@@ -255,89 +279,132 @@ def _bounded_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Ite
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_block(rows, num: int, den: int, forest: bool):
-    """Pairs of different components within a block, or between two, that bitmaps allow.
+def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (tile, a, b) of each block, or of two blocks of a family; rows come in order of tile, i, j."""
+    held = None
+    for batch in batches:
+        held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held else pa.Table.from_batches([batch])
+        group = [held.column(x).to_numpy() for x in ("tile", "i", "j")]
+        cuts = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in group], axis=0))) if len(held) else []
+        if len(cuts) > 1:
+            yield _compare_groups(held.slice(0, cuts[-1]), cuts, num, den, forest)
+            held = held.slice(cuts[-1])
+    if held:
+        yield _compare_groups(held, np.array([0, len(held)]), num, den, forest)
+
+
+def _compare_groups(rows: pa.Table, cuts: np.ndarray, num: int, den: int, forest: bool) -> pa.RecordBatch:
+    rows = rows.combine_chunks()
+    tile, i, j, side, node, n, comp = (rows.column(x).to_numpy() for x in ("tile", "i", "j", "side", "node", "n", "comp"))
+    comp, bitmaps = comp.copy(), rows.column("bitmap")
+    out: list[tuple] = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if (comp[a:b] == comp[a]).all():
+            continue
+        maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in bitmaps.slice(a, b - a)]
+        width = min(map(len, maps))
+        maps = np.stack([fold(x, width) for x in maps])
+        first, at = int(tile[a]), np.arange(a, b)
+        left, right = (at, at) if i[a] == j[a] else (at[side[at] == 1], at[side[at] == 2])
+        out += [(first, *x) for x in _block_pairs(left, right, i[a] == j[a], node, n, comp, maps, a, num, den, forest)]
+    tiles, x, y = zip(*out) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (tiles, x, y)], ["tile", "a", "b"])
+
+
+def _block_pairs(left, right, own: bool, node, n, comp, maps, zero: int, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of different components, one of left and one of right, that sizes and bitmaps allow.
 
-    forest: only as many as join the components that such pairs join.
+    forest: only as many as join the components that such pairs join. own: left is right.
     """
-    import pandas as pd
-
-    left, right = rows[rows.side <= 1], rows[rows.side != 1]
-    maps = {int(x): np.frombuffer(b, np.uint64) for x, b in zip(rows.node, rows.bitmap)}
-    width = min(len(b) for b in maps.values())
-    r_node, r_n, r_comp = right.node.to_numpy(), right.n.to_numpy(), right.comp.to_numpy().copy()
-    l_comp = left.comp.to_numpy().copy()
-    r_map = np.stack([fold(maps[int(x)], width) for x in r_node]) if len(right) else None
     out = []
-    for k, (node, n) in enumerate(zip(left.node, left.n)):
-        if r_map is None:
-            break
-        comp = l_comp[k]
-        ok = (r_comp != comp) & (np.minimum(n, r_n) * den >= np.maximum(n, r_n) * num)
-        at = np.flatnonzero(ok)
+    for k, x in enumerate(left):
+        to = right[k + 1 :] if own else right
+        at = to[(comp[to] != comp[x]) & (np.minimum(n[x], n[to]) * den >= np.maximum(n[x], n[to]) * num)]
         if len(at):
-            far = np.bitwise_count(r_map[at] ^ fold(maps[int(node)], width)).sum(axis=1, dtype=np.int64)
-            at = at[far <= most_apart(int(n), r_n[at].astype(np.int64), num, den)]
-            if forest and len(at):
-                met, first = np.unique(r_comp[at], return_index=True)
-                at = at[first]
-                r_comp[np.isin(r_comp, met)] = comp
-                l_comp[np.isin(l_comp, met)] = comp
-            out += [(min(node, x), max(node, x)) for x in r_node[at]]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            far = np.bitwise_count(maps[at - zero] ^ maps[x - zero]).sum(axis=1, dtype=np.int64)
+            at = at[far <= most_apart(int(n[x]), n[at], num, den)]
+        if forest and len(at):
+            met, first = np.unique(comp[at], return_index=True)
+            at = at[first]
+            for rows in (left, right):
+                comp[rows[np.isin(comp[rows], met)]] = comp[x]
+        out += [(int(min(node[x], y)), int(max(node[x], y))) for y in node[at]]
+    return out
 
 
 def _linked(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose whole texts' sets share enough."""
-    last: dict[int, np.ndarray] = {}
+    """Pairs whose whole texts' sets share enough; rows come in order of a, block and side, the common text first."""
+    common, x = None, np.zeros(0, np.uint64)
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = np.zeros(len(a), bool)
-        right = X.text_of(batch.column(3))
-        lefts = X.text_of(batch.column(2))
-        for i, y in shingle_sets(right, n):
-            if a[i] not in last:
-                one = X.Text(lefts.data[lefts.offsets[i] : lefts.offsets[i + 1]], lefts.offsets[i : i + 2] - lefts.offsets[i], lefts.valid[i : i + 1])
-                last = {a[i]: next(shingle_sets(one, n))[1]}
-            x = last[a[i]]
-            small, big = (x, y) if len(x) <= len(y) else (y, x)
-            if not len(small) or set_id(x) != a[i] or set_id(y) != b[i]:
+        a, side, node = (batch.column(k).to_pylist() for k in ("a", "side", "node"))
+        keep = np.zeros(len(batch), bool)
+        for i, y in shingle_sets(X.text_of(batch.column("text")), n):
+            if not len(y) or set_id(y) != node[i]:
                 continue
-            at = np.searchsorted(big, small)
-            at[at == len(big)] = 0
-            both = int((big[at] == small).sum())
-            keep[i] = den * both >= num * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep])], ["a", "b"])
+            if side[i] == 0:
+                common, x = a[i], y
+            elif common == a[i]:
+                small, big = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.searchsorted(big, small)
+                at[at == len(big)] = 0
+                both = int((big[at] == small).sum())
+                keep[i] = den * both >= num * (len(x) + len(y) - both)
+        keep = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("node").filter(keep)], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_shingles, node (equal sets share it), component_id (smallest id linked).
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of numbers, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Sets link if den * intersection >= num * union.
+
+def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs(id, key, text), key being the row's own: sets(id, key, node, n) and nodes(node, comp, least).
+
+    least: the smallest id of the node, null only if it has none, and the key of a row with it.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = cut(docs.mapInArrow(partial(_read_sets, n=n), "id long, node long, n long, bitmap binary"))
-    nodes = cut(sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("bitmap").alias("bitmap")))
-    members = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(0.4 * members / BUCKET) + 1)
-    tiles = docs.select("text").mapInArrow(partial(_deal_tiles, n=n, num=num, den=den, buckets=buckets), "bucket int, entries binary")
-    tiles = tiles.repartition(buckets, "bucket").mapInArrow(_find_tiles, "tile long, part int, nodes array<long>, sizes array<int>, low long, high long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bands = Bands(num, den)
+    sets = cut(docs.mapInArrow(partial(_read_sets, n=n), "id long, key long, node long, n long, bitmap binary"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")
+    nodes = cut(sets.where("n > 0").groupBy("node").agg(least, F.max("n").alias("n"), F.first("bitmap").alias("bitmap")))
+    by_band = sets.where("n > 0").groupBy(F.floor(F.log("n") / math.log(bands.ratio) + 1e-9).cast("int").alias("band")).count().collect()
+    entries = sum(r["count"] * (bands.slices_of(r.band)[0] + bands.slices_of(r.band + 1)[0]) for r in by_band)
+    buckets = max(parts, entries // BUCKET + 1)
+    tiles = docs.select("text").mapInArrow(partial(_deal_tiles, n=n, num=num, den=den, buckets=buckets), "bucket int, keys binary, nodes binary")
+    tiles = tiles.repartitionById(buckets, "bucket").mapInArrow(_find_tiles, "tile long, part int, nodes array<long>, low long, high long")
     tiles = cut(tiles.dropDuplicates(["tile", "part"]))
-    each = tiles.select("tile", "low", "high", F.explode("nodes").alias("node"))
-    least = F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
-    stars = each.withColumn("hub", F.explode(F.array("low", "high"))).where("node <> hub").select(*least).distinct()
-    links = cut(_verify(stars, nodes, docs, n, num, den))
+    hubs = tiles.select("low", "high", F.explode("nodes").alias("node")).groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    stars = hubs.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("a"), F.col("node").alias("b")).where("a <> b")
+    sig = nodes.select("node", "n", "bitmap")
+    stars = stars.join(sig.toDF("a", "na", "ma"), "a").join(sig.toDF("b", "nb", "mb"), "b").select("a", "b", "na", "ma", "nb", "mb")
+    stars = stars.mapInArrow(partial(_bounded_pairs, num=num, den=den), "a long, b long")
+    links = cut(_verify(stars, nodes, docs, n, num, den, parts))
     comp = cut(connected_components(links))
     for forest in (True, False):  # the second time what still can link, all of it
-        rest = cut(_rest(tiles, nodes, comp, num, den, forest))
-        if rest.isEmpty():
+        rest = cut(_rest(tiles, nodes, comp, num, den, forest, parts))
+        found = cut(_verify(rest.select("a", "b").distinct(), nodes, docs, n, num, den, parts))
+        links = links.unionByName(found)
+        failed = cut(rest.join(found, ["a", "b"], "left_anti").select("tile").distinct()) if forest else None
+        if not found.isEmpty():
+            comp = cut(connected_components(links))
+        if not forest or failed.isEmpty():
             break
-        links = cut(links.unionByName(_verify(rest, nodes, docs, n, num, den, bounded=True)))
-        comp = cut(connected_components(links))
-    comp = nodes.select("node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = comp.join(ids, "comp").select("node", "component_id")
+        tiles = tiles.join(_small(failed.toDF("low")), "low", "left_semi")
+    nodes = nodes.select("node", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return sets.drop("bitmap"), nodes
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest id linked).
+
+    Sets link if den * intersection >= num * union.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sets, nodes = _components(docs.select("id", F.xxhash64("id", "text").alias("key"), "text"), n, num, den)
+    ids = nodes.groupBy("comp").agg(F.min("least.id").alias("component_id"))
+    ids = nodes.join(ids, "comp").select("node", "component_id")
     return (
         sets.select("id", "n", "node")
         .join(ids, "node", "left")
@@ -345,31 +412,45 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     )
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int, bounded: bool = False) -> DataFrame:
-    """Of pairs of nodes, those that link."""
-    if not bounded:
-        sig = nodes.select("node", "n", "bitmap")
-        pairs = pairs.join(sig.toDF("a", "na", "ma"), "a").join(sig.toDF("b", "nb", "mb"), "b").select("a", "b", "na", "ma", "nb", "mb")
-        pairs = pairs.mapInArrow(partial(_bounded_pairs, num=num, den=den), "a long, b long")
-    rep = nodes.select("node", "rep")
-    pairs = cut(pairs.join(rep.toDF("a", "id_a"), "a").join(rep.toDF("b", "id_b"), "b"))
-    # An id that stands for several rows can stand for several texts: the node tells which.
-    left = pairs.join(docs.toDF("id_a", "text_a"), "id_a").drop("id_a")
-    both = left.join(docs.toDF("id_b", "text_b"), "id_b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(partial(_linked, n=n, num=num, den=den), "a long, b long").distinct()
-
-
-def _rest(tiles: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Pairs of nodes that share a tile, are in different components and may link; none only if there are none."""
-    # Tiles with the same smallest member are one family: near copies share most of their
-    # tiles, and this way their pairs are compared about once and not once for each tile.
-    each = tiles.select(F.col("low").alias("tile"), F.explode("nodes").alias("node")).distinct().join(comp, "node", "left")
-    each = each.withColumn("comp", F.coalesce("comp", "node"))
-    mixed = each.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
-    each = each.join(mixed.select("tile", "m"), "tile").join(nodes.select("node", "n", "bitmap"), "node")
-    each = each.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of the rows of each component the one with the smallest id, all columns as they are.
+
+    Rows without an id come last, ties go by a hash of the whole row, so reruns agree. Rows
+    without words all stay; rows that are alike in every column are one.
+    """
+    key = "_row_key"
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    sets, nodes = _components(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")), n, num, den)
+    first = nodes.groupBy("comp").agg(F.min("least").alias("least")).select(F.col("least.key").alias(key))
+    kept = first.union(sets.where("n = 0").select("key"))
+    return keyed.join(kept, key, "left_semi").dropDuplicates(keyed.columns).select(docs.columns)
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
+    """Of pairs (a, b) of nodes, those that link."""
+    key = nodes.select("node", "least.key")
+    pairs = pairs.join(key.toDF("a", "key_a"), "a").join(key.toDF("b", "key_b"), "b")
+    pairs = cut(pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(PAIR_BLOCKS)).cast("int")))
+    ask = pairs.select(F.col("key_a").alias("key"), "a", "block", F.lit(0).alias("side"), F.col("a").alias("node")).distinct()
+    ask = cut(ask.union(pairs.select("key_b", "a", "block", F.lit(1), "b")))
+    rows = docs.select("key", "text").join(_small(ask), "key").select("a", "block", "side", "node", "text")
+    rows = rows.repartition(parts, "a", "block").sortWithinPartitions("a", "block", "side")
+    return rows.mapInArrow(partial(_linked, n=n, num=num, den=den), "a long, b long").distinct()
+
+
+def _rest(tiles: DataFrame, nodes: DataFrame, comp: DataFrame, num: int, den: int, forest: bool, parts: int) -> DataFrame:
+    """Pairs (tile, a, b) of nodes of a family that are in different components and may link; none only if there are none."""
+    # Near copies share most of their tiles, and by families their pairs are compared about
+    # once and not once for each tile.
+    known = nodes.select("node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    each = cut(tiles.select(F.col("low").alias("tile"), F.explode("nodes").alias("node")).distinct().join(known, "node"))
+    mixed = each.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum("n").alias("members")).where("x <> y")
+    mixed = cut(mixed.select("tile", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("members") / BLOCK_MEMBERS)).cast("int").alias("blocks")))
+    each = each.join(_small(mixed), "tile").join(nodes.select("node", "bitmap"), "node")
+    each = each.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     each = each.withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
     each = each.select("tile", "i", "j", "side", "node", "n", "comp", "bitmap")
-    return each.groupBy("tile", "i", "j").applyInPandas(lambda rows: _compare_block(rows, num, den, forest), "a long, b long").distinct()
+    each = each.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "node")
+    return each.mapInArrow(partial(_compare, num=num, den=den, forest=forest), "tile long, a long, b long")
