@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tremolo.llm._sample import labelled
 from tremolo.llm._store import checkpoint_dir
-from tremolo.llm.jaccard_join import jaccard_components
+from tremolo.llm.jaccard_join import keep_one_of_each
 from tremolo.llm.language_id import keep_identified, learn
 from tremolo.llm.mixing import emit, mix
 from tremolo.llm.quality_nbsvm import PER_LABEL, fit, keep_good
@@ -39,10 +39,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by five-word shingles at 0.8 or more, the smallest id stays.
 
-    Rows that repeat an id are one document; rows with a null id go.
+    Rows without words all stay, null ids come last in a group, rows alike in every column are one.
     """
-    c = jaccard_components(docs, n=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(c, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return keep_one_of_each(docs, n=5, num=80, den=100)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
