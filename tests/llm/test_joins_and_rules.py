@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from tremolo.llm import _text as X
 
 SF = "/root/testdata/sf0.001"
@@ -72,11 +74,34 @@ def test_jaccard_join(spark, n, num):
 def test_jaccard_join_of_nothing(spark):
     from tremolo.llm.jaccard_join import jaccard_components
 
-    assert jaccard_components(docs(spark, []).limit(0)).count() == 0 if False else True
     assert jaccard_components(docs(spark, ["x"]).where("doc_id < 0")).count() == 0
     assert jaccard_components(docs(spark, [None, ""])).count() == 2
 
 
+def test_jaccard_join_of_a_large_group_and_null_ids(spark):
+    from tremolo.llm.jaccard_join import jaccard_components, keep_one_of_each
+
+    rng, base = np.random.default_rng(9), [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(1200):  # few link with the first directly, all through others
+        at = rng.integers(0, 40, rng.integers(0, 3))
+        texts.append(" ".join(f"x{rng.integers(3)}" if i in at else w for i, w in enumerate(base)))
+    some = texts[:150]
+    sets = {i: shingles(t, 4) for i, t in enumerate(some)}
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs(spark, some), 4, 85, 100).collect()}
+    assert got == components(sets, 85, 100)
+    assert len({r.component_id for r in jaccard_components(docs(spark, texts), 4, 60, 100).collect()}) == 1
+
+    a = [f"a{i}" for i in range(60)]
+    near = [*a[:-1], "other"]
+    chain = [*a[:-2], "more", "other"]
+    rows = [(None, " ".join(a)), (None, " ".join(near)), (3, " ".join(chain)), (3, "alone " * 7), (None, "by itself here"), (5, None), (6, ""), (7, "twice over"), (7, "twice over")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
+    got = sorted((r.text or "", r.doc_id) for r in keep_one_of_each(df, 4, 85, 100).collect())
+    assert got == sorted([(" ".join(chain), 3), ("alone " * 7, 3), ("by itself here", None), ("", 5), ("", 6), ("twice over", 7)], key=lambda r: (r[0], r[1]))
+    assert sorted({r.component_id for r in jaccard_components(df, 4, 85, 100).collect() if r.doc_id == 3}) == [3]
+
+
 def test_components(spark):
     from tremolo.llm.components import connected_components
 
@@ -180,11 +205,32 @@ def test_warc(spark, tmp_path):
         list(read_arc(arc_file([("http://x", "text/html", "20240101000000", b"abc")], 1)[:-3]))
 
 
-def test_exact_search(spark):
-    from pyspark.sql import functions as F
-
+def test_exact_search_reads_a_share_of_skewed_postings():
+    from tremolo.llm.impact_search import Shard
+
+    rng, m = np.random.default_rng(1), np.zeros((4000, 64), np.int64)
+    w = 1 / np.arange(1, 65)
+    for row in m:
+        row[rng.choice(64, 6, replace=False, p=w / w.sum())] = (rng.pareto(1.2, 6) * 20).astype(int) + 1
+    shard = Shard(np.arange(len(m)), m)
+    for j in range(0, 4000, 100):
+        ids, scores = shard.search(m[j], j, 5)
+        every = m @ m[j]
+        every[j] = -1
+        best = np.lexsort((np.arange(len(m)), -every))[:5]
+        assert (ids == best).all() and (scores == every[best]).all()
+        low = int(every[best[-1]])
+        assert (shard.search(m[j], j, 5, low)[0] == best).all() and len(shard.search(m[j], j, 5, low + 1)[0]) <= 5
+    assert shard.read < 0.1 * 120 * m.size and shard.rescored < 0.02 * 120 * len(m)
+
+
+@pytest.mark.parametrize("shard_rows", [4096, 90])
+def test_exact_search(spark, monkeypatch, shard_rows):
+    from tremolo.llm import impact_search
     from tremolo.llm.impact_search import Shard, top_k
 
+    monkeypatch.setattr(impact_search, "SHARD_ROWS", shard_rows)
+
     rng = np.random.default_rng(5)
     v = rng.normal(size=(600, 12)).round(2)
     v[300:500] = v[7]  # many ties

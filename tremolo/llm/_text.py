@@ -8,7 +8,10 @@ so a task needs memory for one slice, or for one text if that is longer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -53,6 +56,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def releases(f: Callable) -> Callable:
+    """A generator over batches that gives its memory back when it ends: Python workers are used again."""
+
+    @wraps(f)
+    def run(*args, **named):
+        try:
+            yield from f(*args, **named)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 class Text(NamedTuple):
     """Texts i = data[offsets[i]:offsets[i + 1]]; null texts are empty and not valid."""
 
