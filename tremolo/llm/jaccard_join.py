@@ -169,6 +169,7 @@ def tile_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+@X.releases
 def _read_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, sizes, maps = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
@@ -179,6 +180,7 @@ def _read_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes), pa.array(maps, pa.binary())], ["id", "key", "node", "n", "bitmap"])
 
 
+@X.releases
 def _deal_tiles(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Entries of tiles, a row for each bucket at a time: the low six bytes of the keys, and the nodes."""
     bands, seen, keys, nodes, count = Bands(num, den), set(), [], [], 0
@@ -212,6 +214,7 @@ def _deal_tiles(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, b
         yield flush()
 
 
+@X.releases
 def _find_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists of the sets of each tile of a bucket with two or more; tiles with the same list count once."""
     six, nodes = [], []
@@ -279,6 +282,7 @@ def _bounded_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Ite
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+@X.releases
 def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int, forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs (tile, a, b) of each block, or of two blocks of a family; rows come in order of tile, i, j."""
     held = None
@@ -332,6 +336,7 @@ def _block_pairs(left, right, own: bool, node, n, comp, maps, zero: int, num: in
     return out
 
 
+@X.releases
 def _linked(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole texts' sets share enough; rows come in order of a, block and side, the common text first."""
     common, x = None, np.zeros(0, np.uint64)

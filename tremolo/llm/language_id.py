@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremolo.llm import _text as X
 from tremolo.llm._sample import per_class
 
 BITS = 15
@@ -139,6 +140,7 @@ def _loss(s: np.ndarray, y: np.ndarray) -> float:
     return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
 
+@X.releases
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, rows = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
@@ -150,6 +152,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(df[used], rows))], ["bucket", "n"])
 
 
+@X.releases
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [model.predict(x.as_py()) for x in batch.column(2)]
@@ -178,6 +181,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(partial(_predict, model=model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+@X.releases
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [model.predict(x.as_py()) for x in batch.column(text_at)]

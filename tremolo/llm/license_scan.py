@@ -234,6 +234,7 @@ class Scanner:
         return out
 
 
+@X.releases
 def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str | tuple[str, ...]], phrases: dict[str, str]) -> Iterator[pa.RecordBatch]:
     scanner = Scanner(templates, phrases)
     for batch in batches:

@@ -135,6 +135,7 @@ def sigmoid(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+@X.releases
 def _score(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         s = np.array([model.score(x) for x in indicators(X.text_of(batch.column(2)))], float)
@@ -148,6 +149,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return docs.mapInArrow(partial(_score, model=model, threshold=threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+@X.releases
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [model.score(x) >= threshold for x in indicators(X.text_of(batch.column(text_at)))]

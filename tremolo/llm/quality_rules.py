@@ -182,6 +182,7 @@ def learn(rows: list[tuple]) -> Trees:
     return fit(features(counts), np.array([r[2] for r in rows], float))
 
 
+@X.releases
 def _apply(batches: Iterator[pa.RecordBatch], model: Trees, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         c = statistics(X.text_of(batch.column(1)))

@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from tremolo.llm import _text as X
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 2 << 20
-#: Nodes of lattices that a process keeps, or those of one slice if it has more.
-KEPT_NODES = 1_500_000
+SLICE_BYTES = 1 << 20
+#: Nodes of lattices that a task keeps, or those of one slice if it has more.
+KEPT_NODES = 1_000_000
 U64 = np.uint64
 _MARK, _LITERAL = 0x2581, 0x110001
 
@@ -270,12 +270,6 @@ def _built(v: Vocabulary, codes: np.ndarray, offsets: np.ndarray, theta: float)
         return {"base": base, "count": count, "upto": upto, "log_p": np.log(p), "log_rest": np.log(rest), "length": length, "piece": piece}
 
 
-@lru_cache(2)
-def lattices_of(path: str, theta: float) -> Lattices:
-    """The store of this process."""
-    return Lattices(vocabulary(path), theta)
-
-
 def utf8_length(codes: np.ndarray) -> np.ndarray:
     c = np.where(codes == _LITERAL, _MARK, codes)
     return 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
@@ -452,8 +446,10 @@ def decode(ids: np.ndarray, path: str = MODEL) -> bytes:
     return v.bytes[np.repeat(start - (ends - size), size) + np.arange(ends[-1])].tobytes()[1:]
 
 
+@X.releases
 def _encode(batches: Iterator[pa.RecordBatch], path: str, k: int, theta: float) -> Iterator[pa.RecordBatch]:
-    v, lattices = vocabulary(path), lattices_of(path, theta)
+    v = vocabulary(path)
+    lattices = Lattices(v, theta)
     names = ["doc_id", "sample", "ids", "log_prob", "log_inclusion", "round_trip"]
     for batch in batches:
         t, keys = X.text_of(batch.column(2)), np.asarray(batch.column(1)).view(U64)
