@@ -224,7 +224,7 @@ def test_exact_search_reads_a_share_of_skewed_postings():
     assert shard.read < 0.1 * 120 * m.size and shard.rescored < 0.02 * 120 * len(m)
 
 
-@pytest.mark.parametrize("shard_rows", [4096, 90])
+@pytest.mark.parametrize("shard_rows", [16384, 150, 30])
 def test_exact_search(spark, monkeypatch, shard_rows):
     from tremolo.llm import impact_search
     from tremolo.llm.impact_search import Shard, top_k

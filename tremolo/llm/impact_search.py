@@ -10,8 +10,8 @@ reaches the k-th best exact score known so far are possible members. Processing
 when these are proved to be few, or cost less to rescore than the postings left; they are
 rescored exactly.
 
-A shard stays in place and queries come to it in blocks. Each query first meets one shard;
-its k-th best score there is where the search of all shards begins.
+A shard stays in place and queries come to it in blocks. Where there are many shards, each
+query first meets one of them; its k-th best score there is where the search of all begins.
 
 Defined cases: vectors that are null or have null or non-finite components take no part;
 shorter vectors count as if they had zeros up to the longest; rows with one id count once,
@@ -31,13 +31,17 @@ from pyspark.sql import functions as F
 from tremolo.llm import _text as X
 from tremolo.llm._store import cut
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 16384
 QUERY_BLOCK = 256
-SEGMENT = 64
-#: Segments processed before the first look at the bound; each further stretch doubles them.
-FIRST = 128
+SEGMENT = 256
+#: Segments processed before the first look at the bound; each further stretch adds a share.
+FIRST = 64
 #: Possible members that are rescored without waiting for a tighter bound.
 FEW = 64
+#: What a posting costs, in components of a row that is rescored.
+POSTING = 3
+#: From so many shards on, each query first meets one of them; with fewer that costs too large a share.
+CARRY = 16
 NONE = np.iinfo(np.int64).min
 
 
@@ -51,10 +55,11 @@ class Shard:
         count = -(-n // SEGMENT)
         order = np.argsort(impacts, axis=0, kind="stable").T  # ascending in each dimension
         pad = count * SEGMENT - n
-        self.rows = np.stack([np.pad(o, ((0, 0), (0, pad)), constant_values=n).reshape(d, count, SEGMENT) for o in (order[:, ::-1], order)]).astype(np.int32)
+        self.rows = np.stack([np.pad(o, ((0, 0), (0, pad)), constant_values=n).reshape(d, count, SEGMENT) for o in (order[:, ::-1], order)])
         full = np.vstack([self.impacts, np.zeros((1, d), np.int64)]).astype(np.float64)
-        self.values = full[self.rows, np.arange(d)[:, None, None]]
         self.last = np.stack([self.impacts.min(axis=0), self.impacts.max(axis=0)]).astype(np.float64)
+        self.over = full[self.rows, np.arange(d)[:, None, None]] - self.last[:, :, None, None]
+        self.floats = full[:-1]
         self.largest = int(np.abs(self.impacts).max(initial=0))
 
     def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -62,14 +67,14 @@ class Shard:
         self.rescored += len(rows)
         if self.largest * int(np.abs(q).max(initial=0)) * len(q) >= 2**53:
             return self.impacts[rows] @ q
-        return (self.impacts[rows].astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+        return (self.floats[rows] @ q.astype(np.float64)).astype(np.int64)
 
     def search(self, q: np.ndarray, own: int, k: int, floor: int = NONE) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best rows of at least floor, without the query's own."""
         n, d = self.impacts.shape
         side, dims = (q < 0).astype(int), np.arange(d)
         least = self.last[side, dims] * q
-        excess = self.values[side, dims, :, 0] * q[:, None] - least[:, None]
+        excess = self.over[side, dims, :, 0] * q[:, None]
         count = excess.shape[1]
         order = np.argsort(-excess, axis=None, kind="stable")[: int((excess > 0).sum())]
         dim, place = order // count, order % count
@@ -77,9 +82,9 @@ class Shard:
         partial, done, at, reach = np.zeros(n + 1), np.zeros(d, np.int64), 0, floor
         mine = self.ids == own
         while True:
-            upto = min(len(order), max(FIRST, 2 * at))
+            upto = min(len(order), max(FIRST, at + max(at // 4, len(order) // 8)))
             i, s = dim[at:upto], place[at:upto]
-            weights = self.values[side[i], i, s] * q[i, None] - least[i, None]
+            weights = self.over[side[i], i, s] * q[i, None]
             partial += np.bincount(self.rows[side[i], i, s].ravel(), weights=weights.ravel(), minlength=n + 1)
             done += np.bincount(i, minlength=d)
             self.read += SEGMENT * len(i)
@@ -92,7 +97,7 @@ class Shard:
             if len(first) >= k:
                 reach = max(reach, int(np.sort(self.exact(q, first))[-k]))
             possible = np.flatnonzero((seen + to_come + slack >= reach) & ~mine)
-            if at == len(order) or len(possible) <= max(FEW, SEGMENT * (len(order) - at) // d):
+            if at == len(order) or len(possible) <= FEW or (2 * len(possible) <= n and len(possible) * d <= POSTING * SEGMENT * (len(order) - at)):
                 break
         exact = self.exact(q, possible)
         possible, exact = possible[exact >= reach], exact[exact >= reach]
@@ -169,7 +174,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
         return both.mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long")
 
     floor = F.lit(NONE).alias("floor")
-    if shards > 1:
+    if shards >= CARRY:
         near = pack(ask.select(spread(blocks, 2).alias("key"), "vec_id", "impacts", floor), blocks)
         kth = search(near, F.pmod("key", F.lit(shards))).groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("least")).where(F.col("found") == k)
         ask = ask.join(kth.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left")
