@@ -88,7 +88,9 @@ def test_bits(spark):
 
 def test_model_without_attack_and_inverted(spark):
     e = C.embedding_clips(C.table(spark, "/root/testdata/sf0.001", "embeddings")).limit(50)
-    stats = {r.attack: r.accuracy_mean for r in benchmark.mean_accuracy(benchmark.run(e, attack_types=["SignInversionAttack", "SameModelAttack", "Unknown"])).collect()}
+    with pytest.warns(UserWarning, match="Unknown"):
+        results = benchmark.run(e, attack_types=["SignInversionAttack", "SameModelAttack", "Unknown"])
+    stats = {r.attack: r.accuracy_mean for r in benchmark.mean_accuracy(results).collect()}
     assert stats["SignInversionAttack"] == 0.0 and set(stats) == {"SignInversionAttack", "SameModelAttack"}
     plain = catalog.bind(e, "audio", SPREAD_A.embed(F.col("audio"), bits.message("m", 16)))
     assert plain.select(metrics.accuracy(bits.message("m", 16).cast("array<double>"), SPREAD_A.detect(F.col("audio"))).alias("a")).agg(F.min("a")).first()[0] == 100.0
@@ -110,9 +112,14 @@ def test_wav_round_trip(spark, tmp_path):
     (tmp_path / "a.WAV").write_bytes(files.encode_wav(x, 16000))
     (tmp_path / "b.txt").write_bytes(b"no")
     r = files.read_clips(spark, str(tmp_path)).collect()
-    assert len(r) == 1 and r[0].sampling_rate == 16000 and max(abs(a - b) for a, b in zip(r[0].audio, x)) < 1e-4
+    assert len(r) == 1 and r[0].error is None and r[0].sampling_rate == 16000 and max(abs(a - b) for a, b in zip(r[0].audio, x)) < 1e-4
     made = files.write_clips(files.read_clips(spark, str(tmp_path)), str(tmp_path / "out"), "attacked").collect()
     assert [m["name"] for m in made] == ["a_attacked.wav"]
+    for name, content in (("c.wav", b"RIFF"), ("d.wav", b"no wav at all"), ("e.mp3", b"x")):
+        (tmp_path / name).write_bytes(content)
+    bad = {x.clip_id: x for x in files.read_clips(spark, str(tmp_path)).collect()}
+    assert sorted(bad) == ["a.WAV", "c.wav", "d.wav", "e.mp3"] and bad["a.WAV"].error is None
+    assert all(bad[x].error and bad[x].audio is None for x in ("c.wav", "d.wav", "e.mp3"))
     with pytest.raises(FileNotFoundError):
         files.read_config(str(tmp_path / "none.json"))
     with pytest.raises(ValueError):
@@ -136,6 +143,9 @@ def test_remote(spark):
     got = m.detect(c).orderBy("clip_id").collect()
     assert got[0].detected == [1.0, 0.0] and got[1].detected is None and got[1].score == 0.5
     assert [len(r.audio) for r in RemoteAttack("A", "http://x", multiple=2, transport=_echo_service)(c).orderBy("clip_id").collect()] == [2, 0]
+    # 5 samples are cut to 4 at their own rate and come back as 4
+    five = clip(spark, [0.1, 0.2, 0.3, 0.4, 0.5])
+    assert [len(r.audio) for r in RemoteAttack("A", "http://x", 48000, 4, transport=_echo_service)(five).collect()] == [4]
     with pytest.raises(Exception, match="no audio"):
         RemoteAttack("A", "http://broken", transport=_echo_service)(c).collect()
     with pytest.raises(ValueError):

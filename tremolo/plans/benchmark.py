@@ -7,6 +7,8 @@ there is no product join, no union of scans and no shuffle before the final aver
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +23,15 @@ from tremolo.operators.catalog import Clip, attack, attacked, bind, choose, mode
 def run(clips: DataFrame, model_name: str = "SpreadA", attack_types: list[str] | None = None, seed: str = "7", per_clip: bool = False, quality: bool = False, params: dict[str, dict] | None = None, bits: Column | None = None) -> DataFrame:
     """clip_id, attack, accuracy, accuracy_cross_model, snr, psnr, si_sdr[, stoi, pesq] for clips(clip_id, sampling_rate, audio).
 
-    attack_types: None for all that need no service; unknown names are left out. per_clip:
+    attack_types: None for all that need no service and no ffmpeg; unknown names are left out
+    with a warning. per_clip:
     a message for each clip instead of one for the run. quality: STOI of the attack on the
     unmarked clip, with draws of its own; PESQ stays null, there is no public reference of it.
     """
     m = model(model_name)
-    names, _ = choose(attack_types)
+    names, unknown = choose(attack_types)
+    if unknown:
+        warnings.warn(f"unknown attacks are left out: {', '.join(sorted(unknown))}", stacklevel=2)
     if not attack_types:
         names = [n for n in names if n != "Mp3CompressionAttack"]
     sent = bits if bits is not None else message(f"{seed}:message", m.bits, *([F.col("clip_id")] if per_clip else []))

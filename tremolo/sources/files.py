@@ -55,23 +55,29 @@ def encode_wav(x, rate: int) -> bytes:
 
 
 def read_clips(spark: SparkSession, folder: str, rate: int | None = None) -> DataFrame:
-    """clip_id (file name), sampling_rate, audio of the wav files in a folder, not below it.
+    """clip_id (file name), sampling_rate, audio, error of the wav and mp3 files in a folder, not below it.
 
-    mp3 files are listed with a null clip, as nothing here decodes them.
+    Files that can't be decoded have a null clip and say why in error: mp3 files, which nothing
+    here decodes, and broken ones. Other files are not opened; Spark doesn't list files of no bytes.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).where(has_audio_suffix(F.col("path")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.{[wW][aA][vV],[mM][pP]3}").load(folder).where(has_audio_suffix(F.col("path")))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
-                x, r = decode_wav(content) if path.lower().endswith(".wav") else (None, None)
+                x, r, error = None, None, "not a wav file"
+                if path.lower().endswith(".wav"):
+                    try:
+                        (x, r), error = decode_wav(content), None
+                    except (wave.Error, EOFError, KeyError, ValueError) as e:
+                        error = f"{type(e).__name__}: {e}"
                 if x is not None and rate and rate != r:
                     x, r = dsp.resample(x, r, rate), rate
-                rows.append((os.path.basename(path), r, x))
-            yield pd.DataFrame(rows, columns=["clip_id", "sampling_rate", "audio"]).astype({"sampling_rate": "Int32"})
+                rows.append((os.path.basename(path), r, x, error))
+            yield pd.DataFrame(rows, columns=["clip_id", "sampling_rate", "audio", "error"]).astype({"sampling_rate": "Int32"})
 
-    return files.select("path", "content").mapInPandas(decode, "clip_id string, sampling_rate int, audio array<double>")
+    return files.select("path", "content").mapInPandas(decode, "clip_id string, sampling_rate int, audio array<double>, error string")
 
 
 def write_clips(clips: DataFrame, folder: str, suffix: str) -> DataFrame:

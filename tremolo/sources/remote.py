@@ -74,7 +74,7 @@ class RemoteModel:
 
 @dataclass(frozen=True)
 class RemoteAttack:
-    """rate: what the service works at (null: the clip's); multiple: lengths are cut to a multiple of it."""
+    """rate: what the service works at (null: the clip's); multiple: lengths are cut to a multiple of it, before resampling."""
 
     name: str
     url: str
@@ -94,8 +94,7 @@ class RemoteAttack:
         def one(a: np.ndarray, r: int) -> np.ndarray:
             x = np.asarray(a, float)
             to = self.rate or r
-            x = dsp.resample(x, r, to)
-            x = x[: len(x) // self.multiple * self.multiple]
+            x = dsp.resample(x[: len(x) // self.multiple * self.multiple], r, to)
             y = answered(self.transport(f"{self.url}/attack", {"audio": x.tolist(), "sampling_rate": int(to)} | params, self.timeout), "audio")
             return dsp.resample(np.asarray(y, float), to, r)
 
