@@ -34,7 +34,7 @@ def test_zero_crossings_and_inserts(spark):
     c = clip(spark, [1, 0, -1, -2, 3])
     assert c.select(attacks.crossings(F.col("audio")).alias("z")).first().z == [0, 1, 3]
     got = out(catalog.apply(c, "ZeroCrossInsertsAttack", zero_cross_pause_length=2, zero_cross_min_distance=2 / 16000))[0]
-    assert got == [0, 0, 1, 0, -1, 0, 0, -2, 3] or sum(1 for v in got if v == 0) >= 4
+    assert got == [0, 0, 1, 0, -1, 0, 0, -2, 3]
 
 
 def test_silent_clips(spark):
@@ -152,6 +152,74 @@ def test_remote(spark):
         neural_attacks()["DiffusionAttack"](c, diffusion_steps=151)
 
 
+def test_services_in_a_run(spark, monkeypatch):
+    from tremolo.sources.remote import register_services
+
+    def service(url, payload, timeout):
+        assert payload["sampling_rate"] in (16000, 48000, 44100)
+        if url.endswith("/embed"):
+            return {"watermarked_audio": payload["audio"]}
+        if url.endswith("/detect"):
+            return {"watermark": 0.25 if "perth" in url.lower() else [1.0] * 16}
+        return {"audio": payload["audio"]}
+
+    monkeypatch.setattr(catalog, "ATTACKS", dict(catalog.ATTACKS))
+    monkeypatch.setattr(catalog, "MODELS", dict(catalog.MODELS))
+    register_services("http://x", transport=service)
+    c = clip(spark, [0.1, -0.2] * 1500)
+    ones = F.array_repeat(F.lit(1), 16)
+    for name, want in (("AudioSealModel", 100.0), ("PerthModel", 0.25)):
+        got = benchmark.run(c, name, ["VAEAttack", "SpeechEnhancementAttack", "SignInversionAttack"], bits=ones).collect()
+        assert {r.attack: r.accuracy for r in got} == {"VAEAttack": want, "SpeechEnhancementAttack": want, "SignInversionAttack": want}
+    with pytest.raises(ValueError, match="at most"):
+        benchmark.run(c, "AudioSealModel", ["DiffusionAttack"], params={"DiffusionAttack": {"diffusion_steps": 151}})
+    assert "VAEAttack" not in catalog.choose(None)[0]
+
+
+def test_run_is_at_the_models_rate(spark):
+    c = clip(spark, [0.1, -0.2] * 400, rate=8000)
+    seen = benchmark.run(c, "SpreadA", ["SignInversionAttack"])
+    assert "go(" in seen._jdf.queryExecution().toString() and seen.count() == 1
+    plain = benchmark.run(clip(spark, [0.1, -0.2] * 400).withColumn("sampling_rate", F.lit(16000)), "SpreadA", ["SignInversionAttack"])
+    assert "ArrowEvalPython" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_of_unlike_lengths(spark):
+    import numpy as np
+
+    from tremolo.functions import dsp
+
+    rng = np.random.default_rng(3)
+    xs = [rng.normal(size=n) for n in (1, 2, 37, 40, 63, 64, 200)]
+    low = dsp.polynomials(kernels.filter_for("lowpass", 5000.0, 5, 16000))
+    for got, x in zip(out(catalog.apply(clip(spark, *xs), "LowpassFilterAttack")), xs):
+        assert np.array_equal(got, dsp.iir(*low, x)[0])
+    for got, x in zip(out(catalog.apply(clip(spark, *xs), "EqualizerAttack")), xs):
+        y = x[None]
+        for b, a in kernels.equalizer_stages([10, 10, 10, 10, 0, 0, -5, -10], 16000):
+            y = y + dsp.iir(b, a, y)
+        assert np.allclose(got, y[0] / np.abs(y).max())
+
+
+def test_block_distances_are_those_of_the_attack(spark):
+    import numpy as np
+
+    from tremolo.functions.psychoacoustics import MaskingModel
+    from tremolo.operators import blocks
+
+    x, size, hop = np.random.default_rng(4).normal(size=160), 32, 8
+    f = C.frames(clip(spark, x), size, hop)
+    each = {r.m: np.abs(np.fft.fft(r.block)) for r in f.collect()}
+    got = {(r.m, r.other): r.dist for r in blocks.distances(blocks.spectra(f, size), 4).collect()}
+    want = {(i, j): np.linalg.norm(each[i] - each[j]) for i in each for j in each if abs(i - j) > 4}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+    half = {i: s[: size // 2 + 1] for i, s in each.items()}
+    t = {i: MaskingModel(size, 16000).threshold(s)[0] for i, s in half.items()}
+    want = {(i, j): np.linalg.norm(half[i] * (half[i] > t[i]) - half[j] * (half[j] > np.maximum(t[i], t[j]))) for i, j in want}
+    got = {(r.m, r.other): r.dist for r in blocks.distances(blocks.spectra(f, size, 16000), 4, masked=True).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+
+
 def test_stream_of_chunks_equals_whole(spark, tmp_path):
     import numpy as np
 

@@ -1,25 +1,66 @@
-"""The block self-join by its relational steps: distances, exclusion band, first k, nearest, overlap-add.
+"""The block self-join by its relational steps: spectra, distances, exclusion band, first k, nearest, overlap-add.
 
-The join is within a clip, so it is an equi-join on clip_id with a residual condition and
-never a product of all blocks. Distances are symmetric: pairs are made once and mirrored.
+Distances are between magnitudes of spectra, with or without what masking hides. The join is
+within a clip, so it is an equi-join on clip_id with a residual condition and never a product
+of all blocks. Each pair is made once and gives both directions.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def distances(blocks: DataFrame, band: int) -> DataFrame:
-    """(clip_id, m, other, dist) for blocks of a clip more than band apart, both ways."""
-    a, b = blocks.select("clip_id", "m", F.col("block").alias("x")), blocks.select("clip_id", F.col("m").alias("other"), F.col("block").alias("y"))
+def spectra(blocks: DataFrame, size: int, rate: int | None = None) -> DataFrame:
+    """blocks(clip_id, m, block) with arrays x, magnitudes of half the spectrum, and limit.
+
+    Without rate the inner bins, which a whole spectrum has twice, are scaled by the root of
+    two, so that distances are those of whole spectra; limit is null. With the rate the block's
+    masking thresholds are in limit, and magnitudes not above them are 0 in x.
+    """
+    twice = np.where(np.arange(size // 2 + 1) % (size / 2) == 0, 1.0, math.sqrt(2))
+
+    @F.pandas_udf("x array<double>, limit array<double>")
+    def go(block: pd.Series) -> pd.DataFrame:
+        from tremolo.functions.psychoacoustics import MaskingModel
+
+        if not len(block):
+            return pd.DataFrame({"x": [], "limit": []})
+        m = np.abs(np.fft.rfft(np.stack(block), axis=1))
+        if rate is None:
+            return pd.DataFrame({"x": list(m * twice), "limit": [None] * len(m)})
+        limit = MaskingModel(size, rate).threshold(m)
+        return pd.DataFrame({"x": list(m * (m > limit)), "limit": list(limit)})
+
+    return blocks.select("clip_id", "m", go("block").alias("s")).select("clip_id", "m", "s.x", "s.limit")
+
+
+def _norm(gaps: Column) -> Column:
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v * v))
+
+
+def distances(spectra: DataFrame, band: int, masked: bool = False) -> DataFrame:
+    """(clip_id, m, other, dist) for blocks of a clip more than band apart, both ways.
+
+    masked: the other block's magnitudes count only above the thresholds of both blocks, so
+    the two directions differ.
+    """
+    a = spectra.select("clip_id", "m", "x", F.col("limit").alias("t"))
+    b = spectra.select("clip_id", F.col("m").alias("other"), F.col("x").alias("y"), F.col("limit").alias("u"))
     pairs = a.join(b, "clip_id").where(F.col("other") - F.col("m") > band)
-    gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    pairs = pairs.select("clip_id", "m", "other", F.sqrt(gap).alias("dist"))
-    both = F.explode(F.array(F.struct("m", "other"), F.struct(F.col("other").alias("m"), F.col("m").alias("other"))))
-    return pairs.select("clip_id", both.alias("p"), "dist").select("clip_id", "p.m", "p.other", "dist")
+    if masked:
+        above = lambda v, limit: F.zip_with(v, limit, lambda p, q: F.when(p > q, p).otherwise(0.0))
+        there = _norm(F.zip_with("x", above("y", "t"), lambda p, q: p - q))
+        back = _norm(F.zip_with("y", above("x", "u"), lambda p, q: p - q))
+    else:
+        there = back = _norm(F.zip_with("x", "y", lambda p, q: p - q))
+    pairs = pairs.select("clip_id", "m", "other", there.alias("there"), back.alias("back"))
+    both = F.explode(F.array(F.struct("m", "other", F.col("there").alias("dist")), F.struct(F.col("other").alias("m"), F.col("m").alias("other"), F.col("back").alias("dist"))))
+    return pairs.select("clip_id", both.alias("p")).select("clip_id", "p.m", "p.other", "p.dist")
 
 
 def candidates(dist: DataFrame, upper: float) -> DataFrame:

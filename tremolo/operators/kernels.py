@@ -1,7 +1,8 @@
 """Attacks that need a recursion or a transform: NumPy on Arrow batches.
 
-Clips of one length and rate are stacked, so a recursive filter runs over all of them at
-once, and filters are designed once for each rate.
+Clips of one rate and of similar lengths are stacked, so a recursive filter runs over all of
+them at once (one that runs backward too needs equal lengths), and filters are designed once
+for each rate.
 """
 
 from __future__ import annotations
@@ -19,23 +20,34 @@ from tremolo.operators.attacks import check
 from tremolo.operators.catalog import Clip, register_attack
 
 
-def stacked(audio: pd.Series, rates: pd.Series, run) -> pd.Series:
-    """run(rows, rate) for each group of equal length and rate; nulls and empty clips stay."""
+def stacked(audio: pd.Series, rates: pd.Series, run, causal: bool = False) -> pd.Series:
+    """run(rows, rate) for each group of one length and rate; nulls and empty clips stay.
+
+    A causal run takes lengths within a factor of two together, zeros behind the shorter
+    clips, and what it gives for those is cut off.
+    """
     groups: dict[tuple, list[int]] = {}
     for i, (a, r) in enumerate(zip(audio, rates)):
         if a is not None and len(a):
-            groups.setdefault((len(a), r), []).append(i)
+            groups.setdefault((len(a).bit_length() if causal else len(a), r), []).append(i)
     out: list = list(audio)
     for (_, r), rows in groups.items():
-        for i, y in zip(rows, run(np.stack([audio.iloc[i] for i in rows]).astype(float), int(r))):
-            out[i] = y
+        lengths = [len(audio.iloc[i]) for i in rows]
+        many = np.zeros((len(rows), max(lengths)))
+        for k, i in enumerate(rows):
+            many[k, : lengths[k]] = audio.iloc[i]
+        for i, n, y in zip(rows, lengths, run(many, int(r))):
+            out[i] = y[:n] if causal else y
     return pd.Series(out, index=audio.index)
 
 
-def kernel(c: Clip, run) -> Column:
+def kernel(c: Clip, run, causal: bool = False, finish=None) -> Column:
+    """finish: a function of each whole clip after run."""
+
     @F.pandas_udf("array<double>")
     def go(audio: pd.Series, rate: pd.Series) -> pd.Series:
-        return stacked(audio, rate, run)
+        out = stacked(audio, rate, run, causal)
+        return out if finish is None else out.map(lambda y: y if y is None or not len(y) else finish(y))
 
     return go(c.audio, c.rate)
 
@@ -52,12 +64,12 @@ def filter_for(kind: str, cutoff, order: int, rate: int):
 
 @register_attack("LowpassFilterAttack", "kernel", cutoff_freq_lowpass=5000.0, order=5)
 def lowpass(c: Clip, cutoff_freq_lowpass, order) -> Column:
-    return kernel(c, lambda x, r: dsp.iir(*dsp.polynomials(filter_for("lowpass", float(cutoff_freq_lowpass), order, r)), x))
+    return kernel(c, lambda x, r: dsp.iir(*dsp.polynomials(filter_for("lowpass", float(cutoff_freq_lowpass), order, r)), x), causal=True)
 
 
 @register_attack("HighpassFilterAttack", "kernel", cutoff_freq_highpass=50.0, order=4)
 def highpass(c: Clip, cutoff_freq_highpass, order) -> Column:
-    return kernel(c, lambda x, r: dsp.iir(*dsp.polynomials(filter_for("highpass", float(cutoff_freq_highpass), order, r)), x))
+    return kernel(c, lambda x, r: dsp.iir(*dsp.polynomials(filter_for("highpass", float(cutoff_freq_highpass), order, r)), x), causal=True)
 
 
 @register_attack("BandstopFilterAttack", "kernel", freq_range=[200.0, 300.0], order=4)
@@ -117,10 +129,9 @@ def equalizer(c: Clip, gains) -> Column:
     def run(x: np.ndarray, r: int) -> np.ndarray:
         for b, a in equalizer_stages(gains, r):
             x = x + dsp.iir(b, a, x)
-        top = np.abs(x).max(axis=1, keepdims=True)
-        return x / np.where(top == 0, 1, top)
+        return x
 
-    return kernel(c, run)
+    return kernel(c, run, causal=True, finish=lambda y: y / (np.abs(y).max() or 1.0))
 
 
 @register_attack("ResamplingPolyAttack", "kernel", down_factor=2)
@@ -179,14 +190,9 @@ def pink_noise(c: Clip, amplitude) -> Column:
 
     @F.pandas_udf("array<double>")
     def go(key: pd.Series, audio: pd.Series) -> pd.Series:
-        out = []
-        for k, a in zip(key, audio):
-            if a is None or not len(a):
-                out.append(a)
-                continue
-            noise = dsp.iir(*PINK, normals_of(seed, k, len(a)))[0]
-            out.append(np.asarray(a) + noise / (np.abs(noise).max() or 1.0) * float(amplitude))
-        return pd.Series(out)
+        white = pd.Series([None if a is None else normals_of(seed, k, len(a)) for k, a in zip(key, audio)])
+        pink = stacked(white, pd.Series([0] * len(white)), lambda x, r: dsp.iir(*PINK, x), causal=True)
+        return pd.Series([a if a is None or not len(a) else np.asarray(a) + p / (np.abs(p).max() or 1.0) * float(amplitude) for a, p in zip(audio, pink)])
 
     return go(c.id.cast("string"), c.audio)
 

@@ -23,6 +23,12 @@ class SpreadModel:
     bits: int = 16
     rate: int = 16000
     alpha: float = 0.05
+    #: Whether detection gives one score in place of a message.
+    scores: bool = False
+
+    def at(self, rate: int) -> SpreadModel:
+        """The model for clips of a rate; this one works alike at all."""
+        return self
 
     def chip(self, i: Column) -> Column:
         """+1 or -1 for a position, by integer arithmetic alone."""
@@ -51,5 +57,5 @@ class SpreadModel:
 SPREAD_A = register_model(SpreadModel("SpreadA", 1))
 SPREAD_B = register_model(SpreadModel("SpreadB", 2))
 
-#: Rates and message lengths of services that RemoteModel can talk to.
+#: Rates and message lengths of services that sources.remote.register_services makes known.
 SERVICES = {"AudioSealModel": (16000, 16), "WavMarkModel": (16000, 16), "SilentCipherModel": (16000, 40), "TimbreWMModel": (22050, 10), "PerthModel": (16000, 10)}

@@ -16,17 +16,20 @@ from pyspark.sql import functions as F
 from tremolo.functions import dsp, metrics
 from tremolo.functions.bits import message
 from tremolo.operators import attacks as _expressions
-from tremolo.operators import kernels as _kernels  # noqa: F401
+from tremolo.operators import kernels as _kernels
 from tremolo.operators.catalog import Clip, attack, attacked, bind, choose, model
 
 
-def run(clips: DataFrame, model_name: str = "SpreadA", attack_types: list[str] | None = None, seed: str = "7", per_clip: bool = False, quality: bool = False, params: dict[str, dict] | None = None, bits: Column | None = None) -> DataFrame:
+def run(clips: DataFrame, model_name: str = "SpreadA", attack_types: list[str] | None = None, seed: str = "7", per_clip: bool = False, quality: bool = False, params: dict[str, dict] | None = None, bits: Column | None = None, sampling_rate: int | None = None) -> DataFrame:
     """clip_id, attack, accuracy, accuracy_cross_model, snr, psnr, si_sdr[, stoi, pesq] for clips(clip_id, sampling_rate, audio).
 
     attack_types: None for all that need no service and no ffmpeg; unknown names are left out
     with a warning. per_clip:
     a message for each clip instead of one for the run. quality: STOI of the attack on the
     unmarked clip, with draws of its own; PESQ stays null, there is no public reference of it.
+    sampling_rate: clips of another rate are resampled to it first; None for the model's rate.
+    Attacks and models that are services can be named after sources.remote.register_services;
+    the accuracy of a model that detects one score is that score.
     """
     m = model(model_name)
     names, unknown = choose(attack_types)
@@ -34,7 +37,13 @@ def run(clips: DataFrame, model_name: str = "SpreadA", attack_types: list[str] |
         warnings.warn(f"unknown attacks are left out: {', '.join(sorted(unknown))}", stacklevel=2)
     if not attack_types:
         names = [n for n in names if n != "Mp3CompressionAttack"]
+    to = sampling_rate or m.rate
+    m = m.at(to)
     sent = bits if bits is not None else message(f"{seed}:message", m.bits, *([F.col("clip_id")] if per_clip else []))
+    here = Clip(F.col("clip_id"), F.col("audio"), F.col("sampling_rate"))
+    # a clip column of one literal rate folds this away where there is nothing to do
+    audio = F.when(F.col("sampling_rate") == to, F.col("audio")).otherwise(_kernels.each(here, lambda x, r: dsp.resample(x, r, to)))
+    clips = clips.withColumn("audio", audio).withColumn("sampling_rate", F.lit(to))
     marked = clips.withColumn("bits", sent).withColumn("original", F.col("audio"))
     marked = bind(marked, "audio", m.embed(F.col("original"), F.col("bits")))
     params = params or {}
@@ -43,7 +52,7 @@ def run(clips: DataFrame, model_name: str = "SpreadA", attack_types: list[str] |
 
 
 def _scored(marked: DataFrame, clip: Clip, names: list[str], params: dict, m, quality: bool) -> DataFrame:
-    kernel = [n for n in names if attack(n).kind == "kernel"]
+    kernel = [n for n in names if attack(n).kind != "expression"]
     wide = marked
     for k, n in enumerate(kernel):
         wide = wide.withColumn(f"k{k}", attacked(n, clip, **params.get(n, {})))
@@ -74,10 +83,10 @@ def _scored(marked: DataFrame, clip: Clip, names: list[str], params: dict, m, qu
     cross = F.lit(None).cast("double")
     if "CrossModelAttack" in names:
         other = model(attack("CrossModelAttack").params(params.get("CrossModelAttack"))["different_model_name"])
-        cross = F.when(F.col("cross_bits").isNotNull(), metrics.accuracy(F.col("cross_bits").cast("array<double>"), other.detect(F.col("attacked"))))
+        cross = F.when(F.col("cross_bits").isNotNull(), _agreement(F.col("cross_bits"), other, F.col("attacked")))
     a, b = F.col("audio"), F.col("attacked")
     out = [
-        "clip_id", "attack", metrics.accuracy(F.col("bits").cast("array<double>"), m.detect(b)).alias("accuracy"), cross.alias("accuracy_cross_model"),
+        "clip_id", "attack", _agreement(F.col("bits"), m, b).alias("accuracy"), cross.alias("accuracy_cross_model"),
         metrics.snr(a, b).alias("snr"), metrics.psnr(a, b).alias("psnr"), metrics.si_sdr(a, b).alias("si_sdr"),
     ]
     if quality:
@@ -85,6 +94,11 @@ def _scored(marked: DataFrame, clip: Clip, names: list[str], params: dict, m, qu
     return each.select(*out)
 
 
+def _agreement(sent: Column, m, audio: Column) -> Column:
+    found = m.detect(audio)
+    return F.get(found, F.lit(0)) if m.scores else metrics.accuracy(sent.cast("array<double>"), found)
+
+
 def stoi(clean: Column, degraded: Column, rate: Column) -> Column:
     """Short-time objective intelligibility; null for clips of under about 0.4 s of loud frames."""
     @F.pandas_udf("double")

@@ -192,13 +192,23 @@ SQL["atk_cross_model"] = y("x", MARKED + ", " + embed("w", "v", 2, OWN_BIT("0:cr
 _FRAMES = f"""{E}, c AS (SELECT clip_id, ceil((max(i) + 1 - 16) / 4e0)::INTEGER + 1 AS blocks FROM e GROUP BY clip_id),
 f AS (SELECT c.clip_id, m, j, coalesce(e.x, 0) * (5e-1 - 5e-1 * cos({PI2} * (j + 1) / 17)) AS v
   FROM (SELECT clip_id, unnest(range(blocks))::INTEGER AS m FROM c) AS c, (SELECT unnest(range(16))::INTEGER AS j) AS k LEFT JOIN e ON e.clip_id = c.clip_id AND e.i = m * 4 + j)"""
-_DIST = f"{_FRAMES}, d AS (SELECT a.clip_id, a.m, b.m AS other, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS dist FROM f AS a JOIN f AS b ON a.clip_id = b.clip_id AND a.j = b.j AND abs(a.m - b.m) > 4 GROUP BY ALL)"
+_MAGNITUDES = f"""{_FRAMES}, s AS (SELECT clip_id, m, k, sqrt(sum(v * cos({PI2} / 16 * j * k)) ** 2 + sum(v * sin({PI2} / 16 * j * k)) ** 2) AS x
+  FROM f, (SELECT unnest(range(16))::INTEGER AS k) GROUP BY ALL)"""
+_DIST = f"{_MAGNITUDES}, d AS (SELECT a.clip_id, a.m, b.m AS other, {r('sqrt(sum((a.x - b.x) * (a.x - b.x)))', 8)} AS dist FROM s AS a JOIN s AS b ON a.clip_id = b.clip_id AND a.k = b.k AND abs(a.m - b.m) > 4 GROUP BY ALL)"
+_MASKED = f"""{_MAGNITUDES}, h AS (SELECT *, round_even(6e0 * asinh(k * 1000e0 / 600e0) / {lit(6 * math.asinh(8000 / 600) / 23)}, 0)::INTEGER AS band FROM s WHERE k <= 8),
+l AS (SELECT clip_id, m, band, sum(x) AS x, count(*) AS n FROM h GROUP BY ALL),
+t AS (SELECT a.clip_id, a.m, a.band, pow(sum(CASE WHEN a.band = b.band THEN 0e0 ELSE pow(b.x / (pow(10e0, 14.5e0 / 20) * pow(10e0, 12e0 / 20)) *
+  pow(1 / pow(10e0, CASE WHEN b.band < a.band THEN 7.5e0 ELSE 26e0 END / 20), abs(a.band - b.band)::DOUBLE), 9e-1) END), 1 / 9e-1) / sqrt(any_value(a.n)) AS t
+  FROM l AS a JOIN l AS b ON a.clip_id = b.clip_id AND a.m = b.m GROUP BY ALL),
+g AS (SELECT h.clip_id, h.m, k, x, t FROM h JOIN t USING (clip_id, m, band))"""
 SQL["frame_blocks"] = f"WITH {_FRAMES} SELECT clip_id, m, j, {r('v')} AS v FROM f"
 SQL["stft_magnitude"] = f"WITH {_FRAMES}, s AS (SELECT clip_id, m, k, sum(v * cos({PI2} / 16 * j * k)) AS a, sum(v * sin({PI2} / 16 * j * k)) AS b FROM f, (SELECT unnest(range(9))::INTEGER AS k) GROUP BY ALL) SELECT clip_id, m, k, {r('sqrt(a * a + b * b)', 8)} AS magnitude FROM s"
-SQL["block_distance"] = f"WITH {_DIST} SELECT clip_id, m, other, {r('dist')} AS dist FROM d"
-SQL["block_candidates"] = f"WITH {_DIST} SELECT clip_id, m, count(*) AS n FROM d WHERE dist <= 0.5 GROUP BY ALL"
-SQL["block_topk_first"] = f"WITH {_DIST}, k AS (SELECT clip_id, m, other, (row_number() OVER (PARTITION BY clip_id, m ORDER BY other))::INTEGER AS rank FROM d WHERE dist <= 0.5) SELECT * FROM k WHERE rank <= 3"
-SQL["block_nearest"] = f"WITH {_DIST}, k AS (SELECT *, row_number() OVER (PARTITION BY clip_id, m ORDER BY dist, other) AS rank FROM d) SELECT clip_id, m, other, {r('dist')} AS dist FROM k WHERE rank = 1"
+SQL["block_distance"] = f"WITH {_DIST} SELECT * FROM d"
+SQL["block_distance_masked"] = f"""WITH {_MASKED}, p AS (SELECT a.clip_id, a.m, b.m AS other, CASE WHEN a.x > a.t THEN a.x ELSE 0e0 END - CASE WHEN b.x > greatest(a.t, b.t) THEN b.x ELSE 0e0 END AS v FROM g AS a JOIN g AS b ON a.clip_id = b.clip_id AND a.k = b.k AND abs(a.m - b.m) > 4)
+SELECT clip_id, m, other, {r("sqrt(sum(v * v))", 8)} AS dist FROM p GROUP BY ALL"""
+SQL["block_candidates"] = f"WITH {_DIST} SELECT clip_id, m, count(*) AS n FROM d WHERE dist <= 1 GROUP BY ALL"
+SQL["block_topk_first"] = f"WITH {_DIST}, k AS (SELECT clip_id, m, other, (row_number() OVER (PARTITION BY clip_id, m ORDER BY other))::INTEGER AS rank FROM d WHERE dist <= 1) SELECT * FROM k WHERE rank <= 3"
+SQL["block_nearest"] = f"WITH {_DIST}, k AS (SELECT *, row_number() OVER (PARTITION BY clip_id, m ORDER BY dist, other) AS rank FROM d) SELECT clip_id, m, other, dist FROM k WHERE rank = 1"
 SQL["overlap_add"] = f"WITH {_FRAMES}, o AS (SELECT clip_id, m * 4 + j AS i, v, 5e-1 - 5e-1 * cos({PI2} * (j + 1) / 17) AS w FROM f) SELECT clip_id, i, {r('sum(v * w) / sum(w * w)', 8)} AS y FROM o GROUP BY clip_id, i"
 SQL["hz_to_bark"] = f"SELECT p_partkey, {r('6e0 * asinh(p_retailprice / 600e0)')} AS bark FROM part"
 SQL["bark_to_hz"] = f"SELECT p_partkey, {r('650e0 * sinh(p_size / 2e0 / 7e0)', 6)} AS hz FROM part"

@@ -147,28 +147,36 @@ def frame_blocks(spark: SparkSession, d: str) -> DataFrame:
     return f.select("clip_id", "m", F.posexplode("block").alias("j", "v")).select("clip_id", "m", "j", clean(F.col("v")).alias("v"))
 
 
-def _distances(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.distances(C.frames(_e(spark, d), SMALL["size"], SMALL["hop"]), SMALL["band"])
+def _distances(spark: SparkSession, d: str, masked: bool = False) -> DataFrame:
+    """Distances of spectra, rounded, so that equal ones stay equal however they were summed."""
+    f = C.frames(_e(spark, d), SMALL["size"], SMALL["hop"])
+    got = blocks.distances(blocks.spectra(f, SMALL["size"], C.RATE if masked else None), SMALL["band"], masked)
+    return got.withColumn("dist", clean(F.col("dist"), 8))
 
 
 @query
 def block_distance(spark: SparkSession, d: str) -> DataFrame:
-    return _distances(spark, d).withColumn("dist", clean(F.col("dist")))
+    return _distances(spark, d)
+
+
+@query
+def block_distance_masked(spark: SparkSession, d: str) -> DataFrame:
+    return _distances(spark, d, masked=True)
 
 
 @query
 def block_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.candidates(_distances(spark, d), 0.5).groupBy("clip_id", "m").agg(F.count("*").alias("n"))
+    return blocks.candidates(_distances(spark, d), 1.0).groupBy("clip_id", "m").agg(F.count("*").alias("n"))
 
 
 @query
 def block_topk_first(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.first_k(blocks.candidates(_distances(spark, d), 0.5), 3).select("clip_id", "m", "other", "rank")
+    return blocks.first_k(blocks.candidates(_distances(spark, d), 1.0), 3).select("clip_id", "m", "other", "rank")
 
 
 @query
 def block_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.nearest(_distances(spark, d)).withColumn("dist", clean(F.col("dist")))
+    return blocks.nearest(_distances(spark, d))
 
 
 @query
@@ -446,7 +454,7 @@ def bench_long(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bench_quality(spark: SparkSession, d: str) -> DataFrame:
     clips = C.lineitem_clips(C.table(spark, d, "lineitem"), 500)
-    r = benchmark.run(clips, attack_types=["SignInversionAttack", "GaussianNoiseAttack"], quality=True)
+    r = benchmark.run(clips, attack_types=["SignInversionAttack", "GaussianNoiseAttack"], quality=True, sampling_rate=500)
     return r.select("clip_id", "attack", "accuracy", "stoi", "pesq")
 
 
@@ -481,13 +489,17 @@ def results_nested_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream until its input is used up and returns its rows."""
+    """Runs a stream until its input is used up and returns its rows, from Parquet in the shared folder.
+
+    In mode complete each batch writes the whole result anew, so the last one stands.
+    """
     import uuid
 
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    at = f"{files.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    write = lambda rows, batch: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/rows")
+    out.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:

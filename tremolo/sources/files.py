@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import shutil
 import subprocess
 import tempfile
@@ -19,6 +20,16 @@ from pyspark.sql import functions as F
 from tremolo.functions import dsp
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of this machine only where Spark is all in it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tremolo-")
+
+
 def has_audio_suffix(path):
     return F.lower(path).rlike(r"\.(wav|mp3)$")
 

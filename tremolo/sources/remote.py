@@ -9,13 +9,16 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tremolo.functions import dsp
+from tremolo.operators import catalog
+from tremolo.operators.models import SERVICES
 
 Transport = Callable[[str, dict, float], dict]
 
@@ -42,12 +45,20 @@ class RemoteModel:
     timeout: float = 300.0
     transport: Transport = post
 
+    def mark(self, a, w, r) -> list:
+        return answered(self.transport(f"{self.url}/embed", {"audio": list(map(float, a)), "watermark_data": list(map(int, w)), "sampling_rate": int(r)}, self.timeout), "watermarked_audio")
+
+    def find(self, a, r) -> tuple[list | None, float | None]:
+        """Detected message (or null) and score (or null)."""
+        got = self.transport(f"{self.url}/detect", {"audio": list(map(float, a)), "sampling_rate": int(r)}, self.timeout).get("watermark")
+        return (None, float(got)) if isinstance(got, (int, float)) else (got, None)
+
     def embed(self, clips: DataFrame) -> DataFrame:
         """clips(clip_id, sampling_rate, audio, bits) with marked audio."""
 
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["audio"] = [answered(self.transport(f"{self.url}/embed", {"audio": list(map(float, a)), "watermark_data": list(map(int, w)), "sampling_rate": int(r)}, self.timeout), "watermarked_audio") for a, w, r in zip(b["audio"], b["bits"], b["sampling_rate"])]
+                b["audio"] = [self.mark(a, w, r) for a, w, r in zip(b["audio"], b["bits"], b["sampling_rate"])]
                 yield b
 
         return clips.select("clip_id", "sampling_rate", "audio", "bits").mapInPandas(go, f"clip_id {clips.schema['clip_id'].dataType.simpleString()}, sampling_rate int, audio array<double>, bits array<int>")
@@ -58,20 +69,51 @@ class RemoteModel:
         A single number as answer is a confidence: it goes to score and detected is null.
         """
 
-        def one(a, r):
-            got = self.transport(f"{self.url}/detect", {"audio": list(map(float, a)), "sampling_rate": int(r)}, self.timeout).get("watermark")
-            if isinstance(got, (int, float)):
-                return None, float(got)
-            return got, None
-
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                got = [one(a, r) for a, r in zip(b["audio"], b["sampling_rate"])]
+                got = [self.find(a, r) for a, r in zip(b["audio"], b["sampling_rate"])]
                 yield pd.DataFrame({"clip_id": b["clip_id"], "detected": [g[0] for g in got], "score": [g[1] for g in got]})
 
         return clips.select("clip_id", "sampling_rate", "audio").mapInPandas(go, f"clip_id {clips.schema['clip_id'].dataType.simpleString()}, detected array<double>, score double")
 
 
+@dataclass(frozen=True)
+class ServiceModel:
+    """A remote model by columns, for benchmark runs; clips are at rate. scores: it detects one number, not a message."""
+
+    remote: RemoteModel
+    scores: bool = False
+    rate: int = 0
+
+    @property
+    def name(self) -> str:
+        return self.remote.name
+
+    @property
+    def bits(self) -> int:
+        return self.remote.bits
+
+    def at(self, rate: int) -> ServiceModel:
+        return replace(self, rate=rate)
+
+    def embed(self, audio: Column, bits: Column) -> Column:
+        @F.pandas_udf("array<double>")
+        def mark(audio: pd.Series, bits: pd.Series) -> pd.Series:
+            return pd.Series([None if a is None else self.remote.mark(a, w, self.rate) for a, w in zip(audio, bits)], dtype=object)
+
+        return mark(audio, bits)
+
+    def detect(self, audio: Column) -> Column:
+        """The message, or the score alone; null if the service found nothing."""
+
+        @F.pandas_udf("array<double>")
+        def find(audio: pd.Series) -> pd.Series:
+            found = [(None, None) if a is None else self.remote.find(a, self.rate) for a in audio]
+            return pd.Series([bits if score is None else [score] for bits, score in found], dtype=object)
+
+        return find(audio)
+
+
 @dataclass(frozen=True)
 class RemoteAttack:
     """rate: what the service works at (null: the clip's); multiple: lengths are cut to a multiple of it, before resampling."""
@@ -85,26 +127,40 @@ class RemoteAttack:
     limits: dict = field(default_factory=dict)
     transport: Transport = post
 
-    def __call__(self, clips: DataFrame, **given) -> DataFrame:
+    def settled(self, given: dict) -> dict:
         params = self.params | {k: v for k, v in given.items() if v is not None}
         for k, most in self.limits.items():
             if abs(params[k]) > most:
                 raise ValueError(f"{self.name}: {k} must be at most {most}")
+        return params
+
+    def one(self, a: np.ndarray, r: int, params: dict) -> np.ndarray:
+        x = np.asarray(a, float)
+        to = self.rate or r
+        x = dsp.resample(x[: len(x) // self.multiple * self.multiple], r, to)
+        y = answered(self.transport(f"{self.url}/attack", {"audio": x.tolist(), "sampling_rate": int(to)} | params, self.timeout), "audio")
+        return dsp.resample(np.asarray(y, float), to, r)
 
-        def one(a: np.ndarray, r: int) -> np.ndarray:
-            x = np.asarray(a, float)
-            to = self.rate or r
-            x = dsp.resample(x[: len(x) // self.multiple * self.multiple], r, to)
-            y = answered(self.transport(f"{self.url}/attack", {"audio": x.tolist(), "sampling_rate": int(to)} | params, self.timeout), "audio")
-            return dsp.resample(np.asarray(y, float), to, r)
+    def __call__(self, clips: DataFrame, **given) -> DataFrame:
+        params = self.settled(given)
 
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["audio"] = [one(a, int(r)) for a, r in zip(b["audio"], b["sampling_rate"])]
+                b["audio"] = [self.one(a, int(r), params) for a, r in zip(b["audio"], b["sampling_rate"])]
                 yield b
 
         return clips.select("clip_id", "sampling_rate", "audio").mapInPandas(go, f"clip_id {clips.schema['clip_id'].dataType.simpleString()}, sampling_rate int, audio array<double>")
 
+    def column(self, c: catalog.Clip, **given) -> Column:
+        """The attacked audio as a column, for the registry of attacks."""
+        params = self.settled(given)
+
+        @F.pandas_udf("array<double>")
+        def ask(audio: pd.Series, rate: pd.Series) -> pd.Series:
+            return pd.Series([None if a is None else self.one(a, int(r), params) for a, r in zip(audio, rate)], dtype=object)
+
+        return ask(c.audio, c.rate)
+
 
 def neural_attacks(base: str = "http://localhost", transport: Transport = post) -> dict[str, RemoteAttack]:
     """The attacks that are services, with the rates and limits of their contracts."""
@@ -118,3 +174,17 @@ def neural_attacks(base: str = "http://localhost", transport: Transport = post)
             RemoteAttack("SpeechTokenizationAttack", f"{base}/tokenization", 16000, timeout=180.0, transport=transport),
         )
     }
+
+
+def register_services(base: str, transport: Transport = post, urls: dict[str, str] | None = None) -> None:
+    """Makes the models and attacks that are services known to benchmark runs; urls: where one isn't at base/name.
+
+    Attacks so registered run when they are named, never as part of all.
+    """
+    urls = urls or {}
+    for name, (rate, bits) in SERVICES.items():
+        remote = RemoteModel(name, urls.get(name, f"{base}/{name.removesuffix('Model').lower()}"), rate, bits, transport=transport)
+        catalog.register_model(ServiceModel(remote, name == "PerthModel", rate))
+    for name, a in neural_attacks(base, transport).items():
+        a = replace(a, url=urls.get(name, a.url))
+        catalog.register_attack(name, "remote", **a.params)(a.column)
