@@ -79,7 +79,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremolo.llm.warc import archive_pages
 
-    return archive_pages(_table(spark, sf_dir, "pages")).drop("url")
+    return archive_pages(_table(spark, sf_dir, "pages")).drop("url", "error")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

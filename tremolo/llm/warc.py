@@ -4,26 +4,33 @@ An ARC file starts with a version block whose second line gives the version and
 names the fields of the header lines; each record is one header line, as many bytes as its
 last field declares, and a newline. Versions 1 (URL IP-address Archive-date Content-type
 Archive-length) and 2 (with Result-code Checksum Location Offset Filename before the length)
-are read by the fields their own block names. Records are cut by declared length alone, so
+are read by the fields their own block names; a URL with blanks keeps them, as the other
+fields are counted from the line's end. Records are cut by declared length alone, so
 a payload may hold anything, header lines included.
 
 Each ARC record becomes a WARC record: a name-based UUID as identifier, the archive date as
-WARC-Date, SHA-1 digests, and the type. Of records with equal payloads of at
-least 1000 bytes the one with the largest page_id is the response and the others revisit it.
+WARC-Date, the server's address, SHA-1 digests of payload and block, and the type: warcinfo
+for the version block, resource for blocks that aren't HTTP, response for the rest. Of
+responses with equal payloads of at least 1000 bytes the one with the largest page_id is the
+response and the others revisit it.
 WARC files are written as text files whose row separator is the blank line that ends a
 record, so the archive is written and retried by Spark itself, wherever its store is.
 
-Defined cases: null html is an empty payload and null urls are written as `-`; empty and
-short payloads are always responses; rows that repeat page_id and payload are each written,
-and all with the largest page_id are responses; extra columns are ignored.
+Defined cases: null html is an empty payload; null and empty urls are written as `-`, control
+characters of urls percent-encoded; empty and short payloads are always responses; rows that
+repeat page_id and payload are each written, and all with the largest page_id are responses;
+extra columns are ignored; an empty table gives no rows. Where an archive can't be read on (a record cut short, a length that is no
+number, a missing field), what came before is kept and a row with the reason in error stands
+for the rest. Very long payloads are held whole, one record at a time: a file of
+RECORDS_PER_FILE records must stay below the 2 GB that a row can hold.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +51,8 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 END = "\r\n\r\n"
+#: What a header line can't hold.
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
 def arc_file(records: list[tuple], version: int, name: str = "pages.arc") -> bytes:
@@ -64,28 +73,33 @@ def arc_file(records: list[tuple], version: int, name: str = "pages.arc") -> byt
     return b"".join(out)
 
 
-def read_arc(content: bytes) -> Iterator[dict]:
-    """Fields of each header line, by the names in the file's version block, and the block."""
-    names, at, first = None, 0, True
+def read_arc(content: bytes, about: bool = False) -> Iterator[dict]:
+    """Fields of each header line, by the names in the file's version block, and the block.
+
+    about: the version block comes first. ValueError where the archive can't be read on.
+    """
+    names, at = None, 0
     while at < len(content):
         end = content.index(b"\n", at)
-        line = content[at:end].decode("utf-8", "replace").split(" ")
-        n = int(line[-1])
+        line = content[at:end].decode("utf-8", "replace")
+        n = int(line.rpartition(" ")[2])
         block = content[end + 1 : end + 1 + n]
-        if len(block) < n:
+        if n < 0 or len(block) < n:
             raise ValueError(f"record at {at} declares {n} bytes, {len(block)} are there")
-        at = end + 1 + n
-        if content[at : at + 1] == b"\n":
-            at += 1
+        first = names is None
         if first:
-            names = block.split(b"\n")[1].decode().split(" ")
+            lines = block.split(b"\n")
+            names = lines[1].decode().split(" ") if len(lines) > 1 else []
             if int(block.split(b" ", 1)[0]) not in ARC_FIELDS or len(names) < 5:
                 raise ValueError("unknown archive version")
-            first = False
-            continue
-        if len(line) != len(names):
-            raise ValueError(f"header line has {len(line)} fields, the version block names {len(names)}")
-        yield dict(zip(names, line)) | {"block": block}
+        values = line.rsplit(" ", len(names) - 1)
+        if len(values) != len(names):
+            raise ValueError(f"header line at {at} has {len(values)} fields, the version block names {len(names)}")
+        at = end + 1 + n
+        if content[at : at + 1] == b"\n":
+            at += 1
+        if about or not first:
+            yield dict(zip(names, values)) | {"block": block}
 
 
 def _pages_to_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +112,7 @@ def _pages_to_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\n\r\n".encode()
-            held.append((quote(url or "-", safe=":/?#[]@!$&'()*+,;=%~|{}^`\"<>\\"), "text/html", FETCHED, head + (html or b"")))
+            held.append((_CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "-"), "text/html", FETCHED, head + (html or b"")))
             size += len(held[-1][3])
             if size >= ARC_BYTES:
                 yield flush()
@@ -107,27 +121,47 @@ def _pages_to_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
+_CONVERTED = "page_id long, type string, uri string, ip string, mime string, date string, head string, payload binary, error string"
+_TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (x.split(" ") for x in schema.split(", "))])
+
+
+def _as_warc(r: dict, is_about: bool) -> dict:
+    """One ARC record as a row; head is null where the block isn't HTTP."""
+    d = r["Archive-date"]
+    if len(d) < 14 or not d.isdigit():
+        raise ValueError(f"{d} is no date")
+    out = {"page_id": None, "uri": r["URL"], "ip": r.get("IP-address"), "mime": r["Content-type"], "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", "head": None, "payload": r["block"], "error": None}
+    if is_about:
+        version = r["block"].split(b" ", 1)[0].decode()
+        return out | {"type": "warcinfo", "mime": "application/warc-fields", "payload": f"format: WARC File Format 1.1\r\nisPartOf: {r['URL']}\r\ndescription: converted from ARC version {version}\r\n".encode()}
+    if not r["block"].startswith(b"HTTP/"):
+        return out | {"type": "resource"}
+    head, _, payload = r["block"].partition(b"\r\n\r\n")
+    fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)
+    page = fields.get(b"X-Page-Id", b"").strip()
+    return out | {"type": "response", "page_id": int(page) if page else None, "mime": "application/http; msgtype=response", "head": head.decode("utf-8", "replace"), "payload": payload}
+
+
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ARC records as rows: page_id, uri, date, HTTP head, payload."""
+    schema = _arrow(_CONVERTED)
     for batch in batches:
         for arc in batch.column(0):
-            rows: dict[str, list] = {"page_id": [], "uri": [], "date": [], "head": [], "payload": []}
-            for r in read_arc(arc.as_py()):
-                head, _, payload = r["block"].partition(b"\r\n\r\n")
-                fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)
-                page = fields.get(b"X-Page-Id", b"").strip()
-                d = r["Archive-date"]
-                rows["page_id"].append(int(page) if page else None)
-                rows["uri"].append(r["URL"])
-                rows["date"].append(f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z")
-                rows["head"].append(head.decode())
-                rows["payload"].append(payload)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("head", pa.string()), ("payload", pa.binary())]))
+            rows = []
+            try:
+                for k, r in enumerate(read_arc(arc.as_py(), about=True)):
+                    rows.append(_as_warc(r, k == 0))
+            except (ValueError, KeyError) as e:
+                rows.append({"error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def convert_arcs(arcs: DataFrame) -> DataFrame:
-    """arcs(arc binary) as rows page_id, uri, date, head, payload, digest (hex), n."""
-    rows = arcs.select("arc").mapInArrow(_convert, "page_id long, uri string, date string, head string, payload binary")
+    """arcs(arc binary) as rows page_id, type, uri, ip, mime, date, head, payload, error, digest (hex), n."""
+    rows = arcs.select("arc").mapInArrow(_convert, _CONVERTED)
     return rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
 
 
@@ -141,7 +175,7 @@ def with_revisits(records: DataFrame, payloads: DataFrame, least: int = LEAST_BY
     if best.count() <= SMALL:  # then the payloads needn't move
         best = F.broadcast(best)
     rows = records.join(best, "digest", "left")
-    differs = F.col("best").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("best")))
+    differs = (F.col("type") == "response") & F.col("best").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("best")))
     return rows.withColumn("refers_to", F.when(differs & (F.col("n") >= least), F.col("best"))).drop("best")
 
 
@@ -156,30 +190,33 @@ def render(records: DataFrame) -> DataFrame:
     c = F.col
     revisit = c("refers_to").isNotNull()
     head = F.concat(c("head"), F.lit(END))
-    block = F.when(revisit, head).otherwise(F.concat(head, c("payload").cast("string")))
+    block = F.when(revisit, head).otherwise(F.concat(F.coalesce(head, F.lit("")), c("payload").cast("string")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     header = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _urn(c("page_id"), c("digest"))),
+        line("WARC-Type", F.when(revisit, "revisit").otherwise(c("type"))),
+        line("WARC-Record-ID", F.when(c("type") == "response", _urn(c("page_id"), c("digest"))).otherwise(_urn(c("uri"), c("digest")))),
         F.when(revisit, line("WARC-Refers-To", _urn(c("refers_to"), c("digest")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        line("WARC-Target-URI", c("uri")),
+        F.when(c("type") != "warcinfo", line("WARC-Target-URI", c("uri"))),
+        F.when(~c("ip").isin("0.0.0.0", "-"), line("WARC-IP-Address", c("ip"))),
         line("WARC-Date", c("date")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), c("digest"))),
-        F.lit("Content-Type: application/http; msgtype=response"),
+        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(block.cast("binary")))),
+        line("Content-Type", c("mime")),
         line("Content-Length", F.octet_length(block).cast("string")),
     )
     return records.select(F.concat(header, F.lit(END), block).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    render(records).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Rows with an error are left out."""
+    render(records.where("error is null")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def read_warc(content: bytes) -> Iterator[dict]:
-    """Header fields of each record, and its block, cut by declared length."""
+    """Header fields of each record, and its block, cut by declared length. ValueError or KeyError where it can't be read on."""
     at = 0
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
@@ -188,7 +225,10 @@ def read_warc(content: bytes) -> Iterator[dict]:
             raise ValueError(f"no record at {at}")
         fields = dict(x.split(": ", 1) for x in lines[1:])
         n = int(fields["Content-Length"])
-        yield fields | {"block": content[end + 4 : end + 4 + n]}
+        block = content[end + 4 : end + 4 + n]
+        if n < 0 or len(block) < n:
+            raise ValueError(f"record at {at} declares {n} bytes, {len(block)} are there")
+        yield fields | {"block": block}
         at = end + 4 + n + 4
 
 
@@ -198,27 +238,36 @@ def _sha1_hex(digest: str) -> str:
     return value.lower() if len(value) == 40 else base64.b32decode(value).hex()
 
 
+_BACK = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string, url string, error string"
+
+
+def _back(r: dict) -> dict:
+    head, _, payload = r["block"].partition(b"\r\n\r\n") if r["WARC-Type"] != "resource" else (b"", b"", r["block"])
+    page = head.rpartition(b"X-Page-Id: ")[2].split(b"\r\n")[0].strip()
+    return {"record_id": r["WARC-Record-ID"], "page_id": int(page) if page.isdigit() or page[:1] == b"-" else None, "payload_bytes": len(payload), "payload_digest": _sha1_hex(r["WARC-Payload-Digest"]),
+            "record_type": r["WARC-Type"], "refers_to_id": r.get("WARC-Refers-To"), "url": r["WARC-Target-URI"]}
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string()), ("url", pa.string())])
+    schema = _arrow(_BACK)
     for batch in batches:
         for content in batch.column(0):
-            rows: dict[str, list] = {x: [] for x in names.names}
-            for r in read_warc(content.as_buffer().to_pybytes()):
-                head, _, payload = r["block"].partition(b"\r\n\r\n")
-                page = head.rpartition(b"X-Page-Id: ")[2].split(b"\r\n")[0].strip()
-                for name, x in zip(rows, (r["WARC-Record-ID"], int(page) if page else None, len(payload), _sha1_hex(r["WARC-Payload-Digest"]), r["WARC-Type"], r.get("WARC-Refers-To"), unquote(r["WARC-Target-URI"]))):
-                    rows[name].append(x)
-            yield pa.RecordBatch.from_pydict(rows, names)
+            rows = []
+            try:
+                rows.extend(_back(r) for r in read_warc(content.as_buffer().to_pybytes()) if r["WARC-Type"] != "warcinfo")
+            except (ValueError, KeyError) as e:
+                rows.append({"error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record; revisits get size and page_id of the record that they refer to."""
+    """A row for each record but warcinfo; revisits get size and page_id of the record that they refer to."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = files.mapInArrow(_read_back, "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string, url string")
+    rows = files.mapInArrow(_read_back, _BACK)
     of = rows.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("full_bytes"))
     rows = rows.join(of.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
     size = F.when(F.col("record_type") == "revisit", F.col("full_bytes")).otherwise(F.col("payload_bytes"))
-    return rows.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
+    return rows.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url", "error")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
