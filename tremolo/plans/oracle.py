@@ -89,6 +89,46 @@ for _k, (_bb, _aa) in enumerate(kernels.equalizer_stages([10, 10, 10, 10, 0, 0,
 SQL["atk_equalizer"] = y("x / max(abs(x)) OVER (PARTITION BY clip_id)", ", ".join(_stages), _from)
 _pink = f"g AS (SELECT clip_id, i, {normal('0:pink', 'clip_id', 'i')} AS x FROM e), " + iir("g", "p", *kernels.PINK)
 SQL["atk_pink_noise"] = y("e.x + p.x / (max(abs(p.x)) OVER (PARTITION BY clip_id)) * 3e-2", f"{E}, {_pink}", "e JOIN p USING (clip_id, i)")
+
+
+def _settled(source: str, name: str, b, a) -> str:
+    """iir() of source(clip_id, i, x, lv) as if x had been lv for ever; lv of the result is what it then had been."""
+    gain, k = lit(float(sum(b) / sum(a))), len(a) - 1
+    terms = [f"{lit(float(c))} * CASE WHEN i + 2 - {j} >= 1 THEN xs[i + 2 - {j}] ELSE lv END" for j, c in enumerate(b)]
+    terms += [f"{lit(-float(c))} * ys[{j}]" for j, c in enumerate(a) if j]
+    return f"""{name}_l AS (SELECT clip_id, list(x ORDER BY i) AS xs, any_value(lv) AS lv FROM {source} GROUP BY clip_id),
+{name}_r AS (
+  SELECT clip_id, -1 AS i, xs, lv, [{", ".join([f"lv * {gain}"] * k)}] AS ys, 0e0 AS y FROM {name}_l
+  UNION ALL
+  SELECT clip_id, i + 1, xs, lv, list_prepend(v, ys[1:{k - 1}]), v FROM (SELECT clip_id, i, xs, lv, ys, {' + '.join(terms)} AS v FROM {name}_r WHERE i + 1 < len(xs))
+), {name} AS (SELECT clip_id, i, y AS x, lv * {gain} AS lv FROM {name}_r WHERE i >= 0)"""
+
+
+def _bandstop() -> str:
+    """Forward and backward through the sections, the clip extended by 27 samples mirrored through each end."""
+    parts = dsp.sections(dsp.butter(4, [200 / 8000, 300 / 8000], "bandstop"))
+    whole = "OVER (PARTITION BY clip_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    ctes = [E, "xl AS (SELECT clip_id, list(x ORDER BY i) AS xs, len(list(x)) AS n FROM e GROUP BY clip_id)", "xt AS (SELECT *, unnest(range(-27, n + 27)) AS t FROM xl)",
+        "s0 AS (SELECT clip_id, (t + 27)::INTEGER AS i, CASE WHEN t < 0 THEN 2 * xs[1] - xs[1 - t] WHEN t < n THEN xs[t + 1] ELSE 2 * xs[n] - xs[2 * n - 1 - t] END AS x, 2 * xs[1] - xs[28] AS lv FROM xt)"]
+    at = "s0"
+    for way in ("f", "g"):
+        for k, (b, a) in enumerate(parts):
+            ctes.append(_settled(at, f"{way}{k}", b, a))
+            at = f"{way}{k}"
+        ctes.append(f"{way}t AS (SELECT clip_id, (max(i) {whole} - i)::INTEGER AS i, x, last_value(x) {whole} AS lv FROM {at})")
+        at = f"{way}t"
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT clip_id, (i - 27)::INTEGER AS i, {r('x', 6)} AS y FROM gt JOIN xl USING (clip_id) WHERE i BETWEEN 27 AND n + 26"
+
+
+SQL["atk_bandstop"] = _bandstop()
+_HANN = f"(5e-1 - 5e-1 * cos({PI2} * j / 16))"
+SQL["atk_stft_quant"] = f"""WITH {E}, c AS (SELECT clip_id, (max(i) + 1)::INTEGER AS n FROM e GROUP BY clip_id),
+f AS (SELECT c.clip_id, m, j, coalesce(e.x, 0) * {_HANN} AS v FROM (SELECT clip_id, unnest(range(n // 8 + 1))::INTEGER AS m FROM c) AS c, (SELECT unnest(range(16))::INTEGER AS j) AS k LEFT JOIN e ON e.clip_id = c.clip_id AND e.i = m * 8 + j - 8),
+s AS (SELECT clip_id, m, k, sum(v * cos({PI2} / 16 * j * k)) / 8 AS a, -sum(v * sin({PI2} / 16 * j * k)) / 8 AS b FROM f, (SELECT unnest(range(9))::INTEGER AS k) GROUP BY ALL),
+h AS (SELECT *, sqrt(a * a + b * b) AS x, min(sqrt(a * a + b * b)) OVER w AS low, max(sqrt(a * a + b * b)) OVER w AS high FROM s WINDOW w AS (PARTITION BY clip_id)),
+q AS (SELECT *, (round_even((x - low) / (high - low + 1e-8) * 63, 0) / 63 * (high - low) + low) / x AS g FROM h),
+b AS (SELECT clip_id, m, j, {_HANN} AS w, sum(CASE WHEN k IN (0, 8) THEN a * cos({PI2} / 16 * j * k) ELSE 2 * (a * cos({PI2} / 16 * j * k) - b * sin({PI2} / 16 * j * k)) END * g) / 2 AS v FROM q, (SELECT unnest(range(16))::INTEGER AS j) GROUP BY ALL)
+SELECT b.clip_id, (m * 8 + j - 8)::INTEGER AS i, {r("sum(v * w) / sum(w * w)")} AS y FROM b JOIN c ON b.clip_id = c.clip_id WHERE m * 8 + j - 8 BETWEEN 0 AND n - 1 GROUP BY b.clip_id, m * 8 + j - 8"""
 SQL["atk_lpc"] = f"""WITH {E}, z AS (
   SELECT clip_id, i, x, lag(x) OVER w AS p, lag(x, 2) OVER w AS q, max(i) OVER (PARTITION BY clip_id) AS n FROM e WINDOW w AS (PARTITION BY clip_id ORDER BY i)
 ), k1 AS (SELECT clip_id, -2 * sum(x * p) / sum(x * x + p * p) AS k, sum(x * x + p * p) AS den FROM z WHERE i >= 1 GROUP BY clip_id),
@@ -126,6 +166,11 @@ down AS (SELECT o.clip_id, o.i // 2 AS m, sum(h.c * e.x) AS x FROM (SELECT clip_
 n AS (SELECT clip_id, 2 * max(m) + 1 AS last FROM down GROUP BY clip_id)
 SELECT n.clip_id, o.i::INTEGER AS i, {r("sum(g.c * down.x)")} AS y FROM n JOIN (SELECT unnest(range(1000)) AS i) AS o ON o.i <= n.last JOIN down ON down.clip_id = n.clip_id JOIN g ON g.j = o.i - 2 * down.m + {len(_g) // 2} GROUP BY ALL"""
 
+_h = dsp.resampling_taps(441, 320)
+SQL["resample_audio"] = f"""WITH {E}, h AS (SELECT unnest(range({len(_h)})) AS j, unnest({_numbers(_h)}) AS c), n AS (SELECT clip_id, ceil((max(i) + 1) * 441 / 320e0)::INTEGER AS n FROM e GROUP BY clip_id),
+o AS (SELECT clip_id, unnest(range(n))::INTEGER AS i FROM n), t AS (SELECT o.clip_id, o.i, e.x, o.i * 320 + {len(_h) // 2} - e.i * 441 AS j FROM o JOIN e ON e.clip_id = o.clip_id)
+SELECT clip_id, i, {r("sum(c * x)")} AS y FROM t JOIN h USING (j) GROUP BY clip_id, i"""
+
 _levels, _s2 = [E.replace("e AS", "a0 AS", 1)], "sqrt(2e0)"
 for _k in range(6):
     _levels.append(f"p{_k} AS (SELECT clip_id, i // 2 AS i, sum(CASE WHEN i % 2 = 0 THEN x ELSE 0 END) AS u, sum(CASE WHEN i % 2 = 1 THEN x ELSE 0 END) AS v FROM a{_k} GROUP BY ALL)")
@@ -282,6 +327,9 @@ _BENCH = f"""{MARKED}, a AS (
 ), st AS (SELECT attack, count(*) AS n, avg(accuracy) AS accuracy_mean FROM v GROUP BY attack)"""
 _BAND = "CASE WHEN accuracy_mean >= 95 THEN 'excellent' WHEN accuracy_mean >= 85 THEN 'good' WHEN accuracy_mean >= 70 THEN 'fair' ELSE 'poor' END"
 SQL["bench_results"] = f"WITH {_BENCH}, sn AS (SELECT clip_id, attack, 10 * log10(sum(s * s) / sum((x - s) * (x - s))) AS snr FROM a GROUP BY ALL) SELECT clip_id, attack, {r('accuracy')} AS accuracy, {r('snr', 6)} AS snr FROM v JOIN sn USING (clip_id, attack)"
+SQL["results_nested_json"] = f"""WITH {_BENCH}, sn AS (SELECT clip_id, attack, round(10 * log10(sum(s * s) / sum((x - s) * (x - s))))::INTEGER AS snr FROM a GROUP BY ALL)
+SELECT clip_id, '{{' || string_agg('"' || attack || '":{{"accuracy":' || trunc(accuracy)::INTEGER || ',"snr":' || snr || '}}', ',' ORDER BY attack) || '}}' AS scores
+FROM v JOIN sn USING (clip_id, attack) WHERE attack IN ('SignInversionAttack', 'PCMQuantizationAttack') GROUP BY clip_id"""
 SQL["mean_accuracy"] = f"WITH {_BENCH} SELECT attack, n, {r('accuracy_mean', 6)} AS accuracy_mean FROM st"
 SQL["overall_mean"] = f"WITH {_BENCH} SELECT {r('coalesce(avg(accuracy_mean), 0)', 6)} AS overall FROM st"
 SQL["accuracy_bands"] = f"WITH {_BENCH} SELECT {_BAND} AS band, count(*) AS n FROM st GROUP BY ALL"
