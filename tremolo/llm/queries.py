@@ -97,6 +97,18 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit([r[1:] for r in rows]))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.collocations import mine
+
+    return mine(_table(spark, sf_dir, "documents"), max_n=4, least=30, scale=2_000_000, share=(80, 100), top=2000)
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_preference_pairs": op2_preference_pairs,
@@ -109,6 +121,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_license_scan": op9_license_scan,
     "op10_quality_nbsvm": op10_quality_nbsvm,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
 }
 
 _OP2_SQL = """
@@ -250,10 +264,75 @@ FROM r
 """
 
 
+_OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), b AS (
+  SELECT doc_id, part, (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END)::INTEGER AS failed
+  FROM d
+), l AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS fs, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f AS a, f AS b, f AS c, f AS d, f AS e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT array_to_string(fs, '') AS filter_order, k AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INTEGER AS applied
+  FROM o, (SELECT unnest(range(1, 6)) AS k)
+), r AS (
+  SELECT part, filter_order, step, bit,
+    count(*) FILTER (WHERE failed & (applied | bit) = 0) AS kept,
+    count(*) FILTER (WHERE failed & applied = 0 AND failed & bit > 0) AS removed,
+    count(*) FILTER (WHERE failed & applied > 0 AND failed & bit > 0) AS redundant,
+    count(*) FILTER (WHERE failed = bit) AS unique_fails,
+    count(*) FILTER (WHERE failed & applied = 0 AND failed & bit > 0 AND good) AS good_lost,
+    count(*) FILTER (WHERE failed & applied = 0 AND failed & bit > 0 AND toxic) AS toxic_lost
+  FROM b LEFT JOIN l USING (doc_id), s GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+_OP12_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 5)) AS k)
+), f AS (
+  SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM g GROUP BY lang, phrase
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, phrase, f AS a, k AS words, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30
+), x AS (
+  SELECT lang, phrase, a, words, unnest(range(1, words)) AS k, w FROM c
+), y AS (
+  SELECT x.lang, x.phrase, a, x.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+  FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:x.k], ' ') JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(w[x.k + 1:], ' ')
+), z AS (
+  SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), h AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS whole
+  FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < words AND i + m - 1 <= words GROUP BY ALL
+), k AS (
+  SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM z LEFT JOIN h USING (lang, phrase) WHERE whole IS NULL OR 100 * whole < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_preference_pairs": _OP2_SQL,
     "op2_every_answer": _OP2_EVERY_SQL,
     "op4_impact_search": _OP4_SQL,
     "op6_mixing": _mix_sql(),
     "op8_warc": _OP8_SQL,
+    "op11_filter_audit": _OP11_SQL,
+    "op12_collocations": _OP12_SQL,
 }
