@@ -24,6 +24,10 @@ def quality_fold() -> Column:
     return crc32_mod(F.col("doc_id"), 4) == 2
 
 
+def model_fold() -> Column:
+    return crc32_mod(F.col("doc_id"), 10) == 0
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremolo.llm.jaccard_join import jaccard_components
 
@@ -109,6 +113,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(_table(spark, sf_dir, "documents"), max_n=4, least=30, scale=2_000_000, share=(80, 100), top=2000)
 
 
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.context_mixing import learn, score
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", model_fold())
+    return score(docs, learn(docs.where(~F.col("held_out"))))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_preference_pairs": op2_preference_pairs,
@@ -123,6 +134,7 @@ QUERIES = {
     "op10_quality_nbsvm": op10_quality_nbsvm,
     "op11_filter_audit": op11_filter_audit,
     "op12_collocations": op12_collocations,
+    "op13_context_mixing": op13_context_mixing,
 }
 
 _OP2_SQL = """
