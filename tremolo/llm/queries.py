@@ -312,21 +312,28 @@ FROM r
 _OP12_SQL = r"""
 WITH t AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t
+), o AS (
+  SELECT lang, p, unnest(w) AS w, unnest(range(len(w))) AS i FROM p
 ), w AS (
-  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t
+  SELECT lang, w AS w1, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4 FROM o WINDOW x AS (PARTITION BY p ORDER BY i)
 ), g AS (
-  SELECT lang, k, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 5)) AS k)
-), f AS (
+  SELECT lang, 1 AS k, w1 AS phrase FROM w UNION ALL SELECT lang, 2, concat_ws(' ', w1, w2) FROM w WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, concat_ws(' ', w1, w2, w3) FROM w WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, concat_ws(' ', w1, w2, w3, w4) FROM w WHERE w4 IS NOT NULL
+), f AS MATERIALIZED (
   SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM g GROUP BY lang, phrase
 ), n AS (
   SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
 ), c AS (
   SELECT lang, phrase, f AS a, k AS words, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30
-), x AS (
-  SELECT lang, phrase, a, words, unnest(range(1, words)) AS k, w FROM c
+), u AS (
+  SELECT lang, phrase, a, unnest(range(1, words)) AS k, w FROM c
+), x AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS q FROM u
 ), y AS (
   SELECT x.lang, x.phrase, a, x.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
-  FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:x.k], ' ') JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(w[x.k + 1:], ' ')
+  FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = x.p JOIN f AS r ON r.lang = x.lang AND r.phrase = x.q
 ), z AS (
   SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), h AS (
