@@ -28,15 +28,12 @@ def test_zero_phase_keeps_constants():
 
 
 def test_iir_carries_state_over_chunks():
-    from tremolo.streaming.running import _memory
-
     b, a = dsp.polynomials(dsp.butter(3, 0.4, "lowpass"))
     x = np.random.default_rng(0).normal(size=50)
     whole = dsp.iir(b, a, x)[0]
     memory, parts = np.zeros(3), []
     for c in (x[:20], x[20:23], x[23:]):
-        y = dsp.iir(b, a, c, memory[None])[0]
-        memory = _memory(b, a, c, y, memory)
+        y, memory = (v[0] for v in dsp.iir_with_state(b, a, c, memory[None]))
         parts.append(y)
     assert np.allclose(np.concatenate(parts), whole)
 
@@ -94,3 +91,43 @@ def test_stoi_of_itself():
     assert dsp.stoi(x, x, 16000) > 0.99
     assert dsp.stoi(x, np.random.default_rng(6).normal(size=16000), 16000) < 0.4
     assert dsp.stoi(x[:100], x[:100], 16000) is None
+
+
+def by_sample(b, a, x, state):
+    """Direct form II transposed, a sample at a time."""
+    n = max(len(b), len(a))
+    b, a, s, out = np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a))), np.append(state, 0.0), []
+    for v in x:
+        y = b[0] * v + s[0]
+        s[:-1] = s[1:] + v * b[1:] - y * a[1:]
+        out.append(y)
+    return np.array(out), s[:-1]
+
+
+def test_blocked_filters_equal_the_loop():
+    from tremolo.operators.kernels import PINK, equalizer_stages
+
+    rng = np.random.default_rng(5)
+    sharp = dsp.butter(4, 50 / 8000, "highpass")
+    assert not dsp.blocked(*dsp.polynomials(sharp)).calm and all(dsp.blocked(b, a).calm for b, a in dsp.sections(sharp))
+    designs = [dsp.polynomials(dsp.butter(5, 5000 / 8000, "lowpass")), dsp.polynomials(sharp), *dsp.sections(sharp), (np.array(PINK[0]), np.array(PINK[1])), *equalizer_stages([10, 10, 10, 10, 0, 0, -5, -10], 16000.0)[:3]]
+    for b, a in designs:
+        for n in (0, 1, 63, 64, 65, 1000, 160_000 if len(b) == 6 else 4096):
+            x, state = rng.normal(size=n), rng.normal(size=len(a) - 1) * 0.1
+            want, last = by_sample(b, a, x, state)
+            got, end = dsp.iir_with_state(b, a, x, state)
+            assert np.allclose(got[0], want, atol=1e-6 * max(1.0, np.abs(want).max(initial=0))) and np.allclose(end[0], last, atol=1e-6 * max(1.0, np.abs(last).max()))
+    x = rng.normal(size=160_000)  # ten seconds
+    want = by_sample(*dsp.polynomials(sharp), x, np.zeros(4))[0]
+    assert np.allclose(dsp.cascade(dsp.sections(sharp), x)[0], want, atol=1e-7)
+
+
+def test_fits_equal_least_squares():
+    rng = np.random.default_rng(2)
+    x, near = rng.normal(size=(5, 16)), rng.normal(size=(5, 4, 16))
+    near[1, 2] = near[1, 0]  # dependent
+    near[2, 1] = 0
+    for block, basis, fit in zip(x, near, dsp.fit_blocks(x, near)):
+        spectra = np.fft.fft(basis, axis=1).T
+        want = spectra @ np.linalg.lstsq(spectra, np.fft.fft(block), rcond=None)[0]
+        assert np.allclose(np.fft.fft(fit), want, atol=1e-9)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 
@@ -74,19 +76,100 @@ def response(b: np.ndarray, a: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.polyval(b[::-1], e) / np.polyval(a[::-1], e)
 
 
+#: Samples that a filter takes at once.
+BLOCK = 64
+
+
+class Blocked(NamedTuple):
+    """A filter over BLOCK samples as matrices: outputs from samples and state, the next state from both."""
+
+    through: np.ndarray
+    seen: np.ndarray
+    feed: np.ndarray
+    power: np.ndarray
+    calm: bool
+
+
+#: Over this largest entry of the powers of its step, composed states of a filter cancel too many digits.
+CALM = 1e3
+
+
+@lru_cache(256)
+def _blocked(b: tuple, a: tuple, size: int) -> Blocked:
+    """Direct form II transposed: s' = A s + B x, y = s_0 + b_0 x, run over size unit impulses and states."""
+    n = len(a) - 1
+    step = np.zeros((n, n))
+    step[:, 0] = -np.array(a[1:])
+    step[:-1, 1:] += np.eye(n - 1)
+    into = np.array(b[1:]) - np.array(a[1:]) * b[0]
+    powers = [np.eye(n)]
+    while len(powers) <= size:
+        powers.append(step @ powers[-1])
+    seen = np.array([p[0] for p in powers[:size]])
+    response = np.concatenate([[b[0]], seen[: size - 1] @ into])
+    gap = np.arange(size)[:, None] - np.arange(size)
+    through = np.where(gap >= 0, response[np.maximum(gap, 0)], 0.0)
+    feed = np.stack([powers[size - 1 - k] @ into for k in range(size)], axis=1)
+    return Blocked(through, seen, feed, powers[size], bool(np.abs(powers).max() <= CALM))
+
+
+def blocked(b, a, size: int = BLOCK) -> Blocked:
+    b, a = np.atleast_1d(np.asarray(b, float)) / a[0], np.atleast_1d(np.asarray(a, float)) / a[0]
+    n = max(len(b), len(a), 2)
+    return _blocked(tuple(np.pad(b, (0, n - len(b)))), tuple(np.pad(a, (0, n - len(a)))), size)
+
+
+def carried(fed: np.ndarray, power: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """States before each block and after the last, fed[:, k] being what block k adds: a prefix composition by doubling."""
+    s = np.concatenate([first[:, None], fed], axis=1)
+    gap = 1
+    while gap < s.shape[1]:
+        s[:, gap:] = s[:, gap:] + s[:, :-gap] @ power.T
+        power, gap = power @ power, 2 * gap
+    return s
+
+
+def iir_with_state(b, a, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered rows, and their states at the end, by blocks of samples.
+
+    Filters of high order whose poles crowd near 1 aren't calm and go sample by sample; as a cascade of
+    second-order sections they are.
+    """
+    m, x = blocked(b, a), np.atleast_2d(np.asarray(x, float))
+    rows, n = x.shape
+    count, order = -(-n // BLOCK), m.power.shape[0]
+    first = np.zeros((rows, order)) if state is None else np.atleast_2d(np.asarray(state, float))
+    first = np.pad(first, ((0, 0), (0, order - first.shape[1])))
+    if not m.calm:
+        one, y = blocked(b, a, 1), np.empty_like(x)
+        for i in range(n):
+            y[:, i] = one.through[0, 0] * x[:, i] + first[:, 0]
+            first = first @ one.power.T + x[:, i : i + 1] * one.feed[:, 0]
+        return y, first
+    whole = n // BLOCK
+    cut = x[:, : whole * BLOCK].reshape(rows, whole, BLOCK)
+    s = carried(cut @ m.feed.T, m.power, first)
+    y = (cut @ m.through.T + s[:, :-1] @ m.seen.T).reshape(rows, -1)
+    last = s[:, -1]
+    if count > whole:
+        rest = x[:, whole * BLOCK :]
+        k = rest.shape[1]
+        y = np.concatenate([y, rest @ m.through[:k, :k].T + last @ m.seen[:k].T], axis=1)
+        e = blocked(b, a, k)
+        last = rest @ e.feed.T + last @ e.power.T
+    return y, last
+
+
 def iir(b, a, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
     """Direct form II transposed along the last axis; rows are separate signals."""
-    b, a, x = np.atleast_1d(b) / a[0], np.atleast_1d(a) / a[0], np.atleast_2d(np.asarray(x, float))
-    n = max(len(b), len(a))
-    b, a = np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a)))
-    s = np.zeros((x.shape[0], n)) if state is None else np.pad(state, ((0, 0), (0, 1)))
-    y = np.empty_like(x)
-    for i in range(x.shape[1]):
-        v = x[:, i]
-        out = b[0] * v + s[:, 0]
-        s[:, :-1] = s[:, 1:] + v[:, None] * b[1:] - out[:, None] * a[1:]
-        y[:, i] = out
-    return y
+    return iir_with_state(b, a, x, state)[0]
+
+
+def cascade(parts: list, x: np.ndarray) -> np.ndarray:
+    """Sections one after the other, each by blocks of samples; rows are separate signals."""
+    for b, a in parts:
+        x = iir(b, a, x)
+    return np.atleast_2d(x)
 
 
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -279,6 +362,16 @@ def wavelet_denoise(x: np.ndarray, wavelet: str = "db1", mode: str = "soft", fac
 # Block replacement
 
 
+def fit_blocks(blocks: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Least-squares fits of blocks (n, size) from their near ones (n, k, size), the shortest solution where these depend on each other.
+
+    Spectra of real blocks have real inner products, so that the fit of the blocks is that of their spectra.
+    """
+    basis = np.swapaxes(near, 1, 2)
+    solved = np.linalg.pinv(basis, rcond=np.finfo(float).eps * max(basis.shape[1:])) @ blocks[:, :, None]
+    return (basis @ solved)[:, :, 0]
+
+
 def replace_blocks(x: np.ndarray, size: int, hop: int, upper: float, k: int, model=None) -> np.ndarray:
     """Each windowed spectrum by its least-squares fit from the first k near blocks outside its own neighbourhood."""
     n, count = len(x), max(0, -(-(len(x) - size) // hop)) + 1
@@ -293,20 +386,26 @@ def replace_blocks(x: np.ndarray, size: int, hop: int, upper: float, k: int, mod
             return np.linalg.norm(one - many, axis=1)
         return np.linalg.norm(one * (one > one_limit) - many * (many > np.maximum(one_limit, many_limit)), axis=1)
 
-    out = s.copy()
+    out, chosen, best = s.copy(), {}, np.full(count, np.inf)
     for i in range(count):
         far = np.flatnonzero(np.abs(np.arange(count) - i) > size // hop)
         if not len(far):
             continue
         d = distances(m[i], None if limits is None else limits[i], m[far], None if limits is None else limits[far])
         near = far[d <= upper][:k]
-        if not len(near):
-            continue
-        basis = s[near].T
-        fit = basis @ np.linalg.lstsq(basis, s[i], rcond=None)[0]
-        f = np.abs(fit)[None, : m.shape[1]]
-        if distances(m[i], None if limits is None else limits[i], f, None if limits is None else model.threshold(f))[0] <= d.min():
-            out[i] = fit
+        if len(near):
+            chosen.setdefault(len(near), []).append((i, near))
+            best[i] = d.min()
+    windowed = y[np.arange(count)[:, None] * hop + np.arange(size)] * w
+    for found in chosen.values():
+        at = np.array([i for i, _ in found])
+        for part in range(0, len(found), 64):
+            own = at[part : part + 64]
+            fit = np.fft.fft(fit_blocks(windowed[own], windowed[np.array([near for _, near in found[part : part + 64]])]), axis=1)
+            for i, f in zip(own, fit):
+                g = np.abs(f)[None, : m.shape[1]]
+                if distances(m[i], None if limits is None else limits[i], g, None if limits is None else model.threshold(g))[0] <= best[i]:
+                    out[i] = f
     total, norm = np.zeros((count - 1) * hop + size), np.zeros((count - 1) * hop + size)
     for i, block in enumerate(np.real(np.fft.ifft(out, axis=1)) * w):
         total[i * hop : i * hop + size] += block

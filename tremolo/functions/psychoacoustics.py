@@ -47,6 +47,18 @@ def masking(levels: Column, bands: int) -> Column:
     return F.transform(positions(F.lit(bands)), of)
 
 
+#: Lowest and highest edge (Hz) and width (Bark) of the fractional bands, by the published rule of quarter Bark.
+LOWEST, HIGHEST, WIDE, SCALE = 80.0, 18000.0, 0.25, 650.0
+
+
+def fractional_bands() -> list[tuple[int, float, float]]:
+    """(band, low, high) in Hz of the 109 bands of a quarter Bark each, the last cut at the highest edge."""
+    z = [7 * float(np.arcsinh(f / SCALE)) for f in (LOWEST, HIGHEST)]
+    n = int(np.ceil((z[1] - z[0]) / WIDE))
+    edge = [SCALE * float(np.sinh((z[0] + k * WIDE) / 7)) for k in range(n)] + [HIGHEST]
+    return [(k, edge[k], edge[k + 1]) for k in range(n)]
+
+
 class MaskingModel:
     """The same over arrays of half spectra (rows), for block distances."""
 

@@ -84,3 +84,54 @@ def overlap_add(blocks: DataFrame, size: int, hop: int) -> DataFrame:
     w = F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2 * math.pi) * (F.col("j") + 1) / F.lit(size + 1))
     each = blocks.select("clip_id", "m", F.posexplode("block").alias("j", "v")).withColumn("w", w)
     return each.groupBy("clip_id", (F.col("m") * hop + F.col("j")).alias("i")).agg((F.sum(F.col("v") * F.col("w")) / F.sum(F.col("w") * F.col("w"))).alias("x"))
+
+
+def fits(blocks: DataFrame, chosen: DataFrame, near: DataFrame, size: int, rate: int | None = None) -> DataFrame:
+    """Least-squares fits of blocks(clip_id, m, block) from their chosen ones, and whether they are kept.
+
+    chosen(clip_id, m, other, rank) has a bounded number of rows for each block, near(clip_id, m, dist) its
+    smallest distance. A row for each block with chosen ones: n_used, fit, fit_dist (distance of spectra,
+    with what masking hides left out where rate is given), best_dist and kept: the fit is no
+    farther than the nearest block.
+    """
+
+    @F.pandas_udf("fit array<double>, fit_dist double")
+    def solve(block: pd.Series, basis: pd.Series) -> pd.DataFrame:
+        from tremolo.functions import dsp
+        from tremolo.functions.psychoacoustics import MaskingModel
+
+        fit, dist = [None] * len(block), np.zeros(len(block))
+        count = np.array([len(b) for b in basis], int)
+        half = lambda x: np.abs(np.fft.rfft(x, axis=1))
+        for k in np.unique(count):
+            at = np.flatnonzero(count == k)
+            x, a = np.stack(block.iloc[at]), np.stack([np.stack(basis.iloc[i]) for i in at])
+            y = dsp.fit_blocks(x, a)
+            p, q = half(x), half(y)
+            if rate is None:
+                dist[at] = np.linalg.norm((p - q) * np.where(np.arange(size // 2 + 1) % (size / 2) == 0, 1.0, math.sqrt(2)), axis=1)
+            else:
+                model = MaskingModel(size, rate)
+                t = model.threshold(p)
+                dist[at] = np.linalg.norm(p * (p > t) - q * (q > np.maximum(t, model.threshold(q))), axis=1)
+            for i, v in zip(at, y):
+                fit[i] = v
+        return pd.DataFrame({"fit": fit, "fit_dist": dist})
+
+    others = blocks.select("clip_id", F.col("m").alias("other"), F.col("block").alias("near"))
+    basis = chosen.join(others, ["clip_id", "other"]).groupBy("clip_id", "m").agg(F.sort_array(F.collect_list(F.struct("rank", "near"))).alias("basis"))
+    rows = blocks.join(basis, ["clip_id", "m"]).select("clip_id", "m", F.size("basis").alias("n_used"), solve("block", F.col("basis.near")).alias("s"))
+    rows = rows.select("clip_id", "m", "n_used", "s.fit", F.col("s.fit_dist").alias("fit_dist")).join(near.select("clip_id", "m", F.col("dist").alias("best_dist")), ["clip_id", "m"])
+    return rows.withColumn("kept", F.col("fit_dist") <= F.col("best_dist"))
+
+
+def replaced(blocks: DataFrame, fitted: DataFrame) -> DataFrame:
+    """blocks(clip_id, m, block) with the kept fits in place, and whether each was replaced."""
+    kept = fitted.where("kept").select("clip_id", "m", "fit")
+    return blocks.join(kept, ["clip_id", "m"], "left").select("clip_id", "m", F.coalesce("fit", "block").alias("block"), F.col("fit").isNotNull().alias("replaced"))
+
+
+def replaced_share(done: DataFrame) -> DataFrame:
+    """(clip_id, n_blocks, n_replaced, per_cent) of replaced()."""
+    n = done.groupBy("clip_id").agg(F.count("*").alias("n_blocks"), F.sum(F.col("replaced").cast("long")).alias("n_replaced"))
+    return n.withColumn("per_cent", F.col("n_replaced") * 100.0 / F.col("n_blocks"))

@@ -64,12 +64,12 @@ def filter_for(kind: str, cutoff, order: int, rate: int):
 
 @register_attack("LowpassFilterAttack", "kernel", cutoff_freq_lowpass=5000.0, order=5)
 def lowpass(c: Clip, cutoff_freq_lowpass, order) -> Column:
-    return kernel(c, lambda x, r: dsp.iir(*dsp.polynomials(filter_for("lowpass", float(cutoff_freq_lowpass), order, r)), x), causal=True)
+    return kernel(c, lambda x, r: dsp.cascade(dsp.sections(filter_for("lowpass", float(cutoff_freq_lowpass), order, r)), x), causal=True)
 
 
 @register_attack("HighpassFilterAttack", "kernel", cutoff_freq_highpass=50.0, order=4)
 def highpass(c: Clip, cutoff_freq_highpass, order) -> Column:
-    return kernel(c, lambda x, r: dsp.iir(*dsp.polynomials(filter_for("highpass", float(cutoff_freq_highpass), order, r)), x), causal=True)
+    return kernel(c, lambda x, r: dsp.cascade(dsp.sections(filter_for("highpass", float(cutoff_freq_highpass), order, r)), x), causal=True)
 
 
 @register_attack("BandstopFilterAttack", "kernel", freq_range=[200.0, 300.0], order=4)

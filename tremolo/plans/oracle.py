@@ -254,6 +254,28 @@ SELECT clip_id, m, other, {r("sqrt(sum(v * v))", 8)} AS dist FROM p GROUP BY ALL
 SQL["block_candidates"] = f"WITH {_DIST} SELECT clip_id, m, count(*) AS n FROM d WHERE dist <= 1 GROUP BY ALL"
 SQL["block_topk_first"] = f"WITH {_DIST}, k AS (SELECT clip_id, m, other, (row_number() OVER (PARTITION BY clip_id, m ORDER BY other))::INTEGER AS rank FROM d WHERE dist <= 1) SELECT * FROM k WHERE rank <= 3"
 SQL["block_nearest"] = f"WITH {_DIST}, k AS (SELECT *, row_number() OVER (PARTITION BY clip_id, m ORDER BY dist, other) AS rank FROM d) SELECT clip_id, m, other, dist FROM k WHERE rank = 1"
+# The fit from one or two blocks by normal equations; spectra of real blocks have the blocks' inner products.
+SQL["block_fit"] = f"""WITH {_DIST}, k AS (SELECT clip_id, m, other, row_number() OVER (PARTITION BY clip_id, m ORDER BY other) AS rank FROM d WHERE dist <= 1),
+b AS (SELECT clip_id, m, min(dist) AS best_dist FROM d GROUP BY ALL),
+v AS (SELECT k1.clip_id, k1.m, f.j, f.v AS x, p.v AS p, q.v AS q FROM k AS k1 LEFT JOIN k AS k2 ON k2.clip_id = k1.clip_id AND k2.m = k1.m AND k2.rank = 2
+  JOIN f ON f.clip_id = k1.clip_id AND f.m = k1.m JOIN f AS p ON p.clip_id = k1.clip_id AND p.m = k1.other AND p.j = f.j
+  LEFT JOIN f AS q ON q.clip_id = k1.clip_id AND q.m = k2.other AND q.j = f.j WHERE k1.rank = 1),
+g AS (SELECT clip_id, m, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * x) AS px, sum(q * x) AS qx FROM v GROUP BY ALL),
+co AS (SELECT clip_id, m, CASE WHEN qq IS NULL THEN 1 ELSE 2 END::INTEGER AS n_used, CASE WHEN qq IS NULL THEN px / pp ELSE (px * qq - qx * pq) / (pp * qq - pq * pq) END AS a, CASE WHEN qq IS NULL THEN 0e0 ELSE (qx * pp - px * pq) / (pp * qq - pq * pq) END AS b FROM g),
+y AS (SELECT v.clip_id, v.m, n_used, j, x, co.a * p + co.b * coalesce(q, 0e0) AS y FROM v JOIN co USING (clip_id, m)),
+z AS (SELECT clip_id, m, k, any_value(n_used) AS n_used, sqrt(sum(x * cos({PI2} / 16 * j * k)) ** 2 + sum(x * sin({PI2} / 16 * j * k)) ** 2) - sqrt(sum(y * cos({PI2} / 16 * j * k)) ** 2 + sum(y * sin({PI2} / 16 * j * k)) ** 2) AS gap
+  FROM y, (SELECT unnest(range(16))::INTEGER AS k) GROUP BY ALL),
+w AS (SELECT clip_id, m, any_value(n_used) AS n_used, {r('sqrt(sum(gap * gap))', 6)} AS fit_dist FROM z GROUP BY ALL)
+SELECT w.clip_id, w.m, n_used, fit_dist, best_dist, fit_dist <= best_dist AS kept FROM w JOIN b ON b.clip_id = w.clip_id AND b.m = w.m"""
+SQL["fractional_band_levels"] = f"""WITH {_MAGNITUDES}, b AS (SELECT band, 650e0 * sinh((7e0 * asinh(80e0 / 650) + band * 25e-2) / 7) AS low, CASE WHEN band = 108 THEN 18000e0 ELSE 650e0 * sinh((7e0 * asinh(80e0 / 650) + (band + 1) * 25e-2) / 7) END AS high FROM (SELECT unnest(range(109))::INTEGER AS band))
+SELECT clip_id, m, band, {r('sum(x * (least(high, (k + 5e-1) * 1000) - greatest(low, (k - 5e-1) * 1000)) / 1000)', 8)} AS level FROM s JOIN b ON least(high, (k + 5e-1) * 1000) > greatest(low, (k - 5e-1) * 1000) WHERE k <= 8 GROUP BY ALL"""
+_EVENTS = "s AS (SELECT user_id AS clip_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS i, value AS x FROM events)"
+SQL["cut_intervals"] = f"""WITH {_EVENTS}, n AS (SELECT clip_id, count(*) AS n, unnest(range(5))::INTEGER AS nr FROM s GROUP BY clip_id),
+a AS (SELECT clip_id, nr, floor(({u('3:cut', 'clip_id', 'nr')}) * n)::BIGINT AS start FROM n),
+c AS (SELECT clip_id, nr, start, start + floor(({u('3:length', 'clip_id', 'nr')}) * 7)::BIGINT + 1 AS stop FROM a)
+SELECT s.clip_id, i, count(*) AS n_cuts, min(nr) AS first_cut FROM s JOIN c ON c.clip_id = s.clip_id AND i >= start AND i < stop GROUP BY ALL"""
+_bb, _aa = dsp.polynomials(dsp.butter(5, 5000 / 8000, "lowpass"))
+SQL["lowpass_long"] = f"WITH RECURSIVE {_EVENTS}, {iir('s', 'g', _bb, _aa)} SELECT clip_id, i::BIGINT AS i, {r('x', 6)} AS y FROM g"
 SQL["overlap_add"] = f"WITH {_FRAMES}, o AS (SELECT clip_id, m * 4 + j AS i, v, 5e-1 - 5e-1 * cos({PI2} * (j + 1) / 17) AS w FROM f) SELECT clip_id, i, {r('sum(v * w) / sum(w * w)', 8)} AS y FROM o GROUP BY clip_id, i"
 SQL["hz_to_bark"] = f"SELECT p_partkey, {r('6e0 * asinh(p_retailprice / 600e0)')} AS bark FROM part"
 SQL["bark_to_hz"] = f"SELECT p_partkey, {r('650e0 * sinh(p_size / 2e0 / 7e0)', 6)} AS hz FROM part"

@@ -179,6 +179,70 @@ def block_nearest(spark: SparkSession, d: str) -> DataFrame:
     return blocks.nearest(_distances(spark, d))
 
 
+def _fitted(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of each clip, and the fits of those that have near ones from the first k of them."""
+    f = C.frames(_e(spark, d), SMALL["size"], SMALL["hop"])
+    dist = _distances(spark, d)
+    return f, blocks.fits(f, blocks.first_k(blocks.candidates(dist, 1.0), k), blocks.nearest(dist), SMALL["size"])
+
+
+@query
+def block_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Least-squares fits from up to two near blocks, and whether they are kept."""
+    fitted = _fitted(spark, d, 2)[1].withColumn("fit_dist", clean(F.col("fit_dist"), 6))
+    return fitted.select("clip_id", "m", "n_used", "fit_dist", "best_dist", (F.col("fit_dist") <= F.col("best_dist")).alias("kept"))
+
+
+@query
+def replaced_share(spark: SparkSession, d: str) -> DataFrame:
+    """The share of blocks that fits from up to eight near ones replace, by clip."""
+    return blocks.replaced_share(blocks.replaced(*_fitted(spark, d, 8)))
+
+
+@query
+def fractional_band_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Magnitudes of each block's spectrum dealt to the 109 bands by the share of a bin in each."""
+    from tremolo.operators.intervals import overlaps
+
+    step = C.RATE / SMALL["size"]
+    bins = spark.range(SMALL["size"] // 2 + 1).select(F.col("id").cast("int").alias("k"), ((F.col("id") - 0.5) * step).alias("low"), ((F.col("id") + 0.5) * step).alias("high"))
+    bands = spark.createDataFrame(bark.fractional_bands(), "band int, `from` double, `to` double")
+    weights = overlaps(bins, bands, step).select("k", "band", (F.col("overlap") / step).alias("weight"))
+    s = blocks.spectra(C.frames(_e(spark, d), SMALL["size"], SMALL["hop"]), SMALL["size"])
+    inner = F.when((F.col("k") > 0) & (F.col("k") < SMALL["size"] // 2), F.sqrt(F.lit(2.0))).otherwise(F.lit(1.0))
+    s = s.select("clip_id", "m", F.posexplode("x").alias("k", "x")).withColumn("x", F.col("x") / inner)
+    # At most one row for each bin and band that overlap.
+    levels = s.join(F.broadcast(weights), "k").groupBy("clip_id", "m", "band").agg(F.sum(F.col("x") * F.col("weight")).alias("level"))
+    return levels.select("clip_id", "m", "band", clean(F.col("level"), 8).alias("level"))
+
+
+@query
+def cut_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of long clips inside cuts drawn for each clip, by a range join; some cuts overlap."""
+    from tremolo.functions.rng import uniform
+    from tremolo.operators.intervals import range_join
+
+    s = C.event_samples(C.table(spark, d, "events"))
+    n = s.groupBy("clip_id").agg(F.count("*").alias("n"))
+    drawn = n.select("clip_id", "n", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("nr"))
+    drawn = drawn.withColumn("start", F.floor(uniform("3:cut", F.col("clip_id"), F.col("nr")) * F.col("n")))
+    cuts = drawn.select("clip_id", "nr", "start", (F.col("start") + F.floor(uniform("3:length", F.col("clip_id"), F.col("nr")) * 7) + 1).alias("stop"))
+    got = range_join(s, cuts, width=8)
+    return got.groupBy("clip_id", "i").agg(F.count("*").alias("n_cuts"), F.min("nr").alias("first_cut"))
+
+
+@query
+def lowpass_long(spark: SparkSession, d: str) -> DataFrame:
+    """The low pass over each user's events in blocks of 16, their states composed along the user."""
+    from tremolo.functions import dsp
+    from tremolo.operators.scan import filter_blocks, sample_blocks
+
+    b, a = dsp.polynomials(dsp.butter(5, 5000 / (C.RATE / 2), "lowpass"))
+    got = filter_blocks(sample_blocks(C.event_samples(C.table(spark, d, "events")), 16), b, a, 16)
+    got = got.select("clip_id", "block", F.posexplode("audio").alias("j", "y"))
+    return got.select("clip_id", (F.col("block") * 16 + F.col("j")).alias("i"), clean(F.col("y"), 6).alias("y"))
+
+
 @query
 def overlap_add(spark: SparkSession, d: str) -> DataFrame:
     """Unchanged blocks added up again give the clip back."""

@@ -47,21 +47,10 @@ def filtered(chunks: DataFrame, b, a) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for seq, x in zip(rows["seq"], rows["audio"]):
-            y = dsp.iir(b, a, np.asarray(x), memory[None])[0]
-            memory = _memory(b, a, np.asarray(x, float), y, memory)
+            y, memory = (v[0] for v in dsp.iir_with_state(b, a, np.asarray(x, float), memory[None]))
             out.append((key[0], seq, y))
         state.update((memory.tolist(),))
         yield pd.DataFrame(out, columns=["clip_id", "seq", "audio"])
 
     return chunks.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, seq long, audio array<double>", "memory array<double>", "append", GroupStateTimeout.NoTimeout)
 
-
-def _memory(b, a, x, y, before):
-    """Filter memory after a chunk."""
-    import numpy as np
-
-    n = max(len(a), len(b))
-    b, a, s = np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a))), np.append(before, 0.0)
-    for v, w in zip(x, y):
-        s[:-1] = s[1:] + v * b[1:] - w * a[1:]
-    return s[:-1]
