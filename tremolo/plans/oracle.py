@@ -283,7 +283,7 @@ _step = lit(6 * math.asinh(8000 / 600) / 23)
 SQL["bark_bands"] = f"""WITH b AS (SELECT k, round_even(6e0 * asinh(k * 15.625e0 / 600e0) / {_step}, 0)::INTEGER AS band FROM (SELECT unnest(range(513))::INTEGER AS k)),
 g AS (SELECT band, count(*) AS n, min(k) AS first, 650e0 * sinh((band * {_step} + 1) / 7e0) / 1000 AS f FROM b GROUP BY band)
 SELECT band, n, first, {r("3.64e0 * pow(f, -8e-1) - 6.5e0 * exp(-6e-1 * (f - 3.3e0) * (f - 3.3e0)) + 1e-3 * pow(f, 4e0)", 6)} AS limit_db FROM g"""
-SQL["masking_threshold"] = f"""WITH {E}, l AS (SELECT clip_id, i AS m, abs(x) AS x FROM e WHERE i < 8)
+SQL["masking_threshold"] = f"""WITH {E}, n AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS n FROM e), l AS (SELECT clip_id, (i * 8 // n)::INTEGER AS m, sum(abs(x)) AS x FROM n GROUP BY ALL)
 SELECT a.clip_id, a.m AS band, {r("pow(sum(pow(b.x / (pow(10e0, 14.5e0 / 20) * pow(10e0, 12e0 / 20)) * CASE WHEN b.m < a.m THEN pow(1 / pow(10e0, 7.5e0 / 20), (a.m - b.m)::DOUBLE) ELSE pow(1 / pow(10e0, 26e0 / 20), (b.m - a.m)::DOUBLE) END, 9e-1)), 1 / 9e-1)")} AS threshold
 FROM l AS a JOIN l AS b ON a.clip_id = b.clip_id AND a.m <> b.m GROUP BY a.clip_id, a.m"""
 SQL["masking_threshold_frames"] = f"""WITH {_FRAMES}, s AS (SELECT clip_id, m, k, sum(v * cos({PI2} / 16 * j * k)) AS a, sum(v * sin({PI2} / 16 * j * k)) AS b FROM f, (SELECT unnest(range(9))::INTEGER AS k) GROUP BY ALL),

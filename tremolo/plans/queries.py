@@ -272,8 +272,9 @@ def bark_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def masking_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """Thresholds of eight bands, from the first eight magnitudes of each clip."""
-    e = _e(spark, d).select("clip_id", F.transform(F.slice("audio", 1, 8), F.abs).alias("levels"))
+    """Thresholds of eight bands, from the magnitudes of each eighth of a clip, summed."""
+    level = lambda b: total(F.filter("audio", lambda x, i: F.floor(i * 8 / F.size("audio")) == b), F.abs)
+    e = catalog.bind(_e(spark, d), "levels", F.transform(positions(F.lit(8)), level))
     return e.select("clip_id", F.posexplode(bark.masking(F.col("levels"), 8)).alias("band", "t")).select("clip_id", "band", clean(F.col("t")).alias("threshold"))
 
 
