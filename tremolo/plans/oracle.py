@@ -349,8 +349,8 @@ _BENCH = f"""{MARKED}, a AS (
 ), st AS (SELECT attack, count(*) AS n, avg(accuracy) AS accuracy_mean FROM v GROUP BY attack)"""
 _BAND = "CASE WHEN accuracy_mean >= 95 THEN 'excellent' WHEN accuracy_mean >= 85 THEN 'good' WHEN accuracy_mean >= 70 THEN 'fair' ELSE 'poor' END"
 SQL["bench_results"] = f"WITH {_BENCH}, sn AS (SELECT clip_id, attack, 10 * log10(sum(s * s) / sum((x - s) * (x - s))) AS snr FROM a GROUP BY ALL) SELECT clip_id, attack, {r('accuracy')} AS accuracy, {r('snr', 6)} AS snr FROM v JOIN sn USING (clip_id, attack)"
-SQL["results_nested_json"] = f"""WITH {_BENCH}, sn AS (SELECT clip_id, attack, round(10 * log10(sum(s * s) / sum((x - s) * (x - s))))::INTEGER AS snr FROM a GROUP BY ALL)
-SELECT clip_id, '{{' || string_agg('"' || attack || '":{{"accuracy":' || trunc(accuracy)::INTEGER || ',"snr":' || snr || '}}', ',' ORDER BY attack) || '}}' AS scores
+SQL["results_nested_json"] = f"""WITH {_BENCH}, sn AS (SELECT clip_id, attack, {r('10 * log10(sum(s * s) / sum((x - s) * (x - s)))', 3)} AS snr FROM a GROUP BY ALL)
+SELECT clip_id, '{{' || string_agg('"' || attack || '":{{"accuracy":' || ({r('accuracy', 6)})::VARCHAR || ',"snr":' || snr || '}}', ',' ORDER BY attack) || '}}' AS scores
 FROM v JOIN sn USING (clip_id, attack) WHERE attack IN ('SignInversionAttack', 'PCMQuantizationAttack') GROUP BY clip_id"""
 SQL["mean_accuracy"] = f"WITH {_BENCH} SELECT attack, n, {r('accuracy_mean', 6)} AS accuracy_mean FROM st"
 SQL["overall_mean"] = f"WITH {_BENCH} SELECT {r('coalesce(avg(accuracy_mean), 0)', 6)} AS overall FROM st"

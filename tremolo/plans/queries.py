@@ -546,8 +546,8 @@ def display_name(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def results_nested_json(spark: SparkSession, d: str) -> DataFrame:
-    r = _bench(spark, d, ["SignInversionAttack", "PCMQuantizationAttack"]).withColumn("snr", F.round("snr").cast("int"))
-    return report.nested_results(r.withColumn("accuracy", F.col("accuracy").cast("int")))
+    r = _bench(spark, d, ["SignInversionAttack", "PCMQuantizationAttack"])
+    return report.nested_results(r.withColumn("snr", clean(F.col("snr"), 3)).withColumn("accuracy", clean(F.col("accuracy"), 6)))
 
 
 # Streams: the state at the end of a stream over the whole table

@@ -33,9 +33,13 @@ def report_rows(stats: DataFrame) -> DataFrame:
     return stats.select("attack", display_name(F.col("attack")).alias("name"), F.format_string("%.2f", "accuracy_mean").alias("accuracy"), band(F.col("accuracy_mean")).alias("band")).orderBy("attack")
 
 
+#: Scores of a record of results, where a run has them.
+SCORES = ("accuracy", "accuracy_cross_model", "snr", "stoi", "pesq")
+
+
 def nested_results(results: DataFrame) -> DataFrame:
-    """clip_id and JSON of attack -> scores, attacks in order of name."""
-    item = F.struct(F.col("attack").alias("key"), F.struct("accuracy", "snr").alias("value"))
+    """clip_id and JSON of attack -> scores, attacks in order of name; scores that are null are left out."""
+    item = F.struct(F.col("attack").alias("key"), F.struct(*(s for s in SCORES if s in results.columns)).alias("value"))
     return results.groupBy("clip_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(item)))).alias("scores"))
 
 
