@@ -241,6 +241,50 @@ def test_warc_fields_and_broken_archives(spark, tmp_path):
     assert sorted((r.record_type or "-", r.page_id or 0, r.error is None) for r in back) == [("-", 0, False), ("resource", 0, True), ("response", 5, True)]
 
 
+def test_warc_of_real_legacy_archives(spark, tmp_path):
+    from tremolo.llm.warc import arc_file, convert_arcs, read_warcs, render, with_revisits, write_warc
+
+    bare = b"HTTP/1.0 200 OK\nServer: x\n\nhello\r\n\r\nthere"
+    latin = "HTTP/1.0 200 D\u00e9j\u00e0\r\nX-Page-Id: abc\r\n\r\n".encode("latin-1") + b"\xff\xfe"
+    records = [("http://a", "text/html", "199612312359", bare), ("http://b", "text/html", "19961231", latin), ("http://bad", "text/html", "never", b"HTTP/1.0 200 OK\n\nx"), ("http://c", "text/html", "19961231235958", b"HTTP/1.0 204 No"),
+               ("http://d", "text/html", "19970101000000", bare), ("dns:a", "text/dns", "19970101000000", b"1.2.3.4"), ("dns:a", "text/dns", "19970101000000", b"1.2.3.4")]
+    arc = arc_file(records, 1).replace(b"1 0 tremolo", b"1 0 Archive")
+    at = arc.index(b"http://d ")
+    arc = arc[:at] + b"few 3\nabc\n" + arc[at:]
+    rows = convert_arcs(spark.createDataFrame([(arc,)], "arc binary")).cache()
+    assert sorted(r.error or "-" for r in rows.collect() if r.error)[0].startswith("ValueError: never") and rows.where("error is not null").count() == 2
+    good = {r.uri: r for r in rows.where("type <> 'warcinfo'").collect()}
+    assert [good[k].date for k in ("http://a", "http://b", "http://c")] == ["1996-12-31T23:59:00Z", "1996-12-31T00:00:00Z", "1996-12-31T23:59:58Z"]
+    assert (bytes(good["http://a"].payload), bytes(good["http://c"].payload)) == (b"hello\r\n\r\nthere", b"") and all(r.page_id is None for r in good.values())
+    whole = rows.where("error is null")
+    marked = with_revisits(whole, whole.where("false").select("page_id", "digest", "n"))
+    write_warc(marked, str(tmp_path / "w"))
+    written = b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*"))
+    assert all(b"\r\n\r\n" + r[3] + b"\r\n\r\n" in written for r in records if r[0] != "http://bad")
+    ids = [line for line in written.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == 7 and render(marked).count() == 7
+    (tmp_path / "w" / "part-0.txt").write_bytes(written.replace(b"hello", b"jello", 1).replace(b"WARC-Type: resource", b"WARC-Type: metadata"))
+    back = read_warcs(spark, str(tmp_path / "w" / "part-0.txt")).collect()
+    assert sorted((r.url or "-", r.record_type or "-", r.error is None) for r in back) == [("-", "-", False), ("dns:a", "metadata", True), ("dns:a", "metadata", True), ("http://b", "response", True), ("http://c", "response", True), ("http://d", "response", True)]
+    assert next(r for r in back if r.url == "http://b").payload_digest == hashlib.sha1(b"\xff\xfe").hexdigest()
+
+
+def test_warc_revisits_of_what_is_not_there(spark, tmp_path):
+    from tremolo.llm.warc import archive_pages, read_warcs
+
+    pages = spark.createDataFrame([(i, "u", "x" * 2000) for i in (1, 2, None, None)], "page_id long, url string, html string").coalesce(1)
+    got = archive_pages(pages, str(tmp_path / "w")).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes, r.error) for r in got) == [(0, "revisit", 2, 2000, None), (0, "revisit", 2, 2000, None), (1, "revisit", 2, 2000, None), (2, "response", None, 2000, None)]
+    file = next((tmp_path / "w").glob("part-*"))
+    written = file.read_bytes()
+    ids = [line for line in written.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(set(ids)) == len(ids) == 5
+    response = next(x for x in written.split(b"WARC/1.1\r\n") if b"WARC-Type: response" in x)
+    (tmp_path / "lost.warc").write_bytes(written.replace(b"WARC/1.1\r\n" + response, b""))
+    lost = read_warcs(spark, str(tmp_path / "lost.warc")).collect()
+    assert len(lost) == 3 and all(r.error == "the record referred to isn't here" for r in lost)
+
+
 def test_exact_search_reads_a_share_of_skewed_postings():
     from tremolo.llm.impact_search import Shard
 

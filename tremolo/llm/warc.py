@@ -8,26 +8,34 @@ are read by the fields their own block names; a URL with blanks keeps them, as t
 fields are counted from the line's end. Records are cut by declared length alone, so
 a payload may hold anything, header lines included.
 
-Each ARC record becomes a WARC record: a name-based UUID as identifier, the archive date as
-WARC-Date, the server's address, SHA-1 digests of payload and block, and the type: warcinfo
+Each ARC record becomes a WARC record: a name-based UUID as identifier (of page_id and payload digest
+where there is a page_id, so rows that repeat both are one record written twice; of the archive's digest
+and the place in it otherwise), the archive date as WARC-Date, 8 to 13 digits filled up with zeros, the server's address, SHA-1 digests of payload and block, and the type: warcinfo
 for the version block, resource for blocks that aren't HTTP, response for the rest. Of
 responses with equal payloads of at least 1000 bytes the one with the largest page_id is the
 response and the others revisit it.
+An HTTP block ends its head at the first blank line, of CR LF or of LF alone, and is kept byte by byte. The page_id
+is read from the head only in archives that this module wrote, and goes on in a header field of its own.
+On the way back every block and payload is hashed again and held against its digest; revisits take size
+and digest of the record that they refer to.
 WARC files are written as text files whose row separator is the blank line that ends a
 record, so the archive is written and retried by Spark itself, wherever its store is.
 
 Defined cases: null html is an empty payload; null and empty urls are written as `-`, control
 characters of urls percent-encoded; empty and short payloads are always responses; rows that
 repeat page_id and payload are each written, and all with the largest page_id are responses;
-extra columns are ignored; an empty table gives no rows. Where an archive can't be read on (a record cut short, a length that is no
-number, a missing field), what came before is kept and a row with the reason in error stands
-for the rest. Very long payloads are held whole, one record at a time: a file of
+extra columns are ignored; an empty table gives no rows. A record that can't be taken (a date that is
+none, fields missing from its header line, a digest that doesn't fit) becomes a row with the reason in
+error, and reading goes on behind its declared length. Where an archive can't be read on (a record cut
+short, a length that is no number), what came before is kept and such a row stands for the rest.
+Very long payloads are held whole, one record at a time: a file of
 RECORDS_PER_FILE records must stay below the 2 GB that a row can hold.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -51,13 +59,18 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 END = "\r\n\r\n"
+#: The line of a WARC header that carries the page_id.
+PAGE = "X-Page-Id"
+#: Who wrote an archive, in its version block.
+AUTHOR = b"tremolo"
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 #: What a header line can't hold.
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
 def arc_file(records: list[tuple], version: int, name: str = "pages.arc") -> bytes:
     """records: (url, content type, date, block as bytes)."""
-    about = f"{version} 0 tremolo\n{ARC_FIELDS[version]}\n".encode()
+    about = f"{version} 0 {AUTHOR.decode()}\n{ARC_FIELDS[version]}\n".encode()
     out, at = [], 0
 
     def add(url: str, kind: str, date: str, block: bytes) -> None:
@@ -76,7 +89,8 @@ def arc_file(records: list[tuple], version: int, name: str = "pages.arc") -> byt
 def read_arc(content: bytes, about: bool = False) -> Iterator[dict]:
     """Fields of each header line, by the names in the file's version block, and the block.
 
-    about: the version block comes first. ValueError where the archive can't be read on.
+    about: the version block comes first. A header line with fields missing gives only an error.
+    ValueError where the archive can't be read on.
     """
     names, at = None, 0
     while at < len(content):
@@ -93,13 +107,14 @@ def read_arc(content: bytes, about: bool = False) -> Iterator[dict]:
             if int(block.split(b" ", 1)[0]) not in ARC_FIELDS or len(names) < 5:
                 raise ValueError("unknown archive version")
         values = line.rsplit(" ", len(names) - 1)
-        if len(values) != len(names):
-            raise ValueError(f"header line at {at} has {len(values)} fields, the version block names {len(names)}")
-        at = end + 1 + n
+        bad = None if len(values) == len(names) else f"header line at {at} has {len(values)} fields, the version block names {len(names)}"
+        here, at = at, end + 1 + n
         if content[at : at + 1] == b"\n":
             at += 1
-        if about or not first:
-            yield dict(zip(names, values)) | {"block": block}
+        if bad:
+            yield {"error": bad}
+        elif about or not first:
+            yield dict(zip(names, values)) | {"block": block, "at": here}
 
 
 def _pages_to_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +136,7 @@ def _pages_to_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-_CONVERTED = "page_id long, type string, uri string, ip string, mime string, date string, head string, payload binary, error string"
+_CONVERTED = "page_id long, type string, key string, uri string, ip string, mime string, date string, head binary, payload binary, error string"
 _TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -129,38 +144,58 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(name, _TYPES[kind]) for name, kind in (x.split(" ") for x in schema.split(", "))])
 
 
-def _as_warc(r: dict, is_about: bool) -> dict:
+def _split_http(block: bytes) -> tuple[bytes, bytes]:
+    """Head with the blank line that ends it, and payload; without one all is head."""
+    end = _HEAD_END.search(block)
+    return (block, b"") if end is None else (block[: end.end()], block[end.end() :])
+
+
+def _number(text: str) -> int | None:
+    """A 64-bit whole number, or None."""
+    return int(text) if re.fullmatch(r"-?[0-9]{1,19}", text) and -(1 << 63) <= int(text) < 1 << 63 else None
+
+
+def _as_warc(r: dict, is_about: bool, ours: bool) -> dict:
     """One ARC record as a row; head is null where the block isn't HTTP."""
     d = r["Archive-date"]
-    if len(d) < 14 or not d.isdigit():
+    if not re.fullmatch(r"[0-9]{8,}", d):
         raise ValueError(f"{d} is no date")
+    d = d[:14].ljust(14, "0")
     out = {"page_id": None, "uri": r["URL"], "ip": r.get("IP-address"), "mime": r["Content-type"], "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", "head": None, "payload": r["block"], "error": None}
     if is_about:
         version = r["block"].split(b" ", 1)[0].decode()
         return out | {"type": "warcinfo", "mime": "application/warc-fields", "payload": f"format: WARC File Format 1.1\r\nisPartOf: {r['URL']}\r\ndescription: converted from ARC version {version}\r\n".encode()}
     if not r["block"].startswith(b"HTTP/"):
         return out | {"type": "resource"}
-    head, _, payload = r["block"].partition(b"\r\n\r\n")
-    fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)
-    page = fields.get(b"X-Page-Id", b"").strip()
-    return out | {"type": "response", "page_id": int(page) if page else None, "mime": "application/http; msgtype=response", "head": head.decode("utf-8", "replace"), "payload": payload}
+    head, payload = _split_http(r["block"])
+    page = re.search(rb"^X-Page-Id: *(.*?) *\r?$", head, re.M) if ours else None
+    return out | {"type": "response", "page_id": _number(page[1].decode("latin-1")) if page else None, "mime": "application/http; msgtype=response", "head": head, "payload": payload}
+
+
+def _rows_of_arc(arc: bytes) -> list[dict]:
+    rows, name, ours = [], hashlib.sha1(arc).hexdigest(), False
+    try:
+        for k, r in enumerate(read_arc(arc, about=True)):
+            if k == 0:
+                ours = r.get("block", b"").split(b"\n", 1)[0].split(b" ")[2:3] == [AUTHOR]
+            try:
+                rows.append(r if "error" in r else _as_warc(r, k == 0, ours) | {"key": f"{name}:{r['at']}"})
+            except (ValueError, KeyError) as e:
+                rows.append({"error": f"{type(e).__name__}: {e}"})
+    except (ValueError, KeyError) as e:
+        rows.append({"error": f"{type(e).__name__}: {e}"})
+    return rows
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _arrow(_CONVERTED)
     for batch in batches:
         for arc in batch.column(0):
-            rows = []
-            try:
-                for k, r in enumerate(read_arc(arc.as_py(), about=True)):
-                    rows.append(_as_warc(r, k == 0))
-            except (ValueError, KeyError) as e:
-                rows.append({"error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_pylist(_rows_of_arc(arc.as_py()), schema)
 
 
 def convert_arcs(arcs: DataFrame) -> DataFrame:
-    """arcs(arc binary) as rows page_id, type, uri, ip, mime, date, head, payload, error, digest (hex), n."""
+    """arcs(arc binary) as rows page_id, type, key, uri, ip, mime, date, head, payload, error, digest (hex), n."""
     rows = arcs.select("arc").mapInArrow(_convert, _CONVERTED)
     return rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
 
@@ -179,35 +214,40 @@ def with_revisits(records: DataFrame, payloads: DataFrame, least: int = LEAST_BY
     return rows.withColumn("refers_to", F.when(differs & (F.col("n") >= least), F.col("best"))).drop("best")
 
 
-def _urn(page, digest):
-    h = F.sha1(F.concat_ws("|", F.lit("page"), page.cast("string"), digest).cast("binary"))
+def _urn(*named):
+    h = F.sha1(F.concat_ws("|", *named).cast("binary"))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
 
 
+def _page_urn(page):
+    return _urn(F.lit("page"), page.cast("string"), F.col("digest"))
+
+
 def render(records: DataFrame) -> DataFrame:
-    """One column, value: WARC records without the blank line that ends them."""
+    """One column, value (bytes as they are, UTF-8 or not): WARC records without the blank line that ends them."""
     c = F.col
     revisit = c("refers_to").isNotNull()
-    head = F.concat(c("head"), F.lit(END))
-    block = F.when(revisit, head).otherwise(F.concat(F.coalesce(head, F.lit("")), c("payload").cast("string")))
+    none = F.lit(b"")
+    block = F.concat(F.coalesce(c("head"), none), F.when(revisit, none).otherwise(c("payload")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     header = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise(c("type"))),
-        line("WARC-Record-ID", F.when(c("type") == "response", _urn(c("page_id"), c("digest"))).otherwise(_urn(c("uri"), c("digest")))),
-        F.when(revisit, line("WARC-Refers-To", _urn(c("refers_to"), c("digest")))),
+        line("WARC-Record-ID", F.when(c("page_id").isNotNull(), _page_urn(c("page_id"))).otherwise(_urn(c("key")))),
+        line(PAGE, c("page_id").cast("string")),
+        F.when(revisit, line("WARC-Refers-To", _page_urn(c("refers_to")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(c("type") != "warcinfo", line("WARC-Target-URI", c("uri"))),
         F.when(~c("ip").isin("0.0.0.0", "-"), line("WARC-IP-Address", c("ip"))),
         line("WARC-Date", c("date")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), c("digest"))),
-        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(block.cast("binary")))),
+        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(block))),
         line("Content-Type", c("mime")),
         line("Content-Length", F.octet_length(block).cast("string")),
     )
-    return records.select(F.concat(header, F.lit(END), block).alias("value"))
+    return records.select(F.concat(F.concat(header, F.lit(END)).cast("binary"), block).cast("string").alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -223,7 +263,7 @@ def read_warc(content: bytes) -> Iterator[dict]:
         lines = content[at:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at {at}")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
+        fields = {name: value.strip() for name, _, value in (x.partition(":") for x in lines[1:])}
         n = int(fields["Content-Length"])
         block = content[end + 4 : end + 4 + n]
         if n < 0 or len(block) < n:
@@ -232,9 +272,11 @@ def read_warc(content: bytes) -> Iterator[dict]:
         at = end + 4 + n + 4
 
 
-def _sha1_hex(digest: str) -> str:
-    """Hex of a labelled SHA-1 in hex or base 32."""
-    value = digest.partition(":")[2]
+def _sha1_hex(digest: str | None) -> str | None:
+    """Hex of a labelled SHA-1 in hex or base 32; None of other digests."""
+    label, _, value = (digest or "").partition(":")
+    if label.lower() != "sha1":
+        return None
     return value.lower() if len(value) == 40 else base64.b32decode(value).hex()
 
 
@@ -242,32 +284,57 @@ _BACK = "record_id string, page_id long, payload_bytes long, payload_digest stri
 
 
 def _back(r: dict) -> dict:
-    head, _, payload = r["block"].partition(b"\r\n\r\n") if r["WARC-Type"] != "resource" else (b"", b"", r["block"])
-    page = head.rpartition(b"X-Page-Id: ")[2].split(b"\r\n")[0].strip()
-    return {"record_id": r["WARC-Record-ID"], "page_id": int(page) if page.isdigit() or page[:1] == b"-" else None, "payload_bytes": len(payload), "payload_digest": _sha1_hex(r["WARC-Payload-Digest"]),
-            "record_type": r["WARC-Type"], "refers_to_id": r.get("WARC-Refers-To"), "url": r["WARC-Target-URI"]}
+    block, kind = r["block"], r["WARC-Type"]
+    payload = _split_http(block)[1] if block.startswith(b"HTTP/") else block
+    out = {"record_id": r["WARC-Record-ID"], "page_id": _number(r.get(PAGE, "")), "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(),
+           "record_type": kind, "refers_to_id": r.get("WARC-Refers-To"), "url": r.get("WARC-Target-URI")}
+    payload_digest = _sha1_hex(r.get("WARC-Payload-Digest"))
+    if kind == "revisit":  # its payload is elsewhere: what is declared is held against that
+        out["payload_digest"] = payload_digest
+    elif payload_digest not in (None, out["payload_digest"]):
+        raise ValueError(f"payload of {out['record_id']} doesn't have the digest declared")
+    if _sha1_hex(r.get("WARC-Block-Digest")) not in (None, hashlib.sha1(block).hexdigest()):
+        raise ValueError(f"block of {out['record_id']} doesn't have the digest declared")
+    return out
+
+
+def _rows_of_warc(content: bytes) -> list[dict]:
+    rows = []
+    try:
+        for r in read_warc(content):
+            try:
+                if r["WARC-Type"] != "warcinfo":
+                    rows.append(_back(r))
+            except (ValueError, KeyError) as e:
+                rows.append({"error": f"{type(e).__name__}: {e}"})
+    except (ValueError, KeyError) as e:
+        rows.append({"error": f"{type(e).__name__}: {e}"})
+    return rows
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _arrow(_BACK)
     for batch in batches:
         for content in batch.column(0):
-            rows = []
-            try:
-                rows.extend(_back(r) for r in read_warc(content.as_buffer().to_pybytes()) if r["WARC-Type"] != "warcinfo")
-            except (ValueError, KeyError) as e:
-                rows.append({"error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_pylist(_rows_of_warc(content.as_buffer().to_pybytes()), schema)
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record but warcinfo; revisits get size and page_id of the record that they refer to."""
+    """A row for each record but warcinfo, error rows included.
+
+    Revisits get size, digest and page_id of the record that they refer to, and an error where
+    that isn't there or has another digest; foreign ones without a WARC-Refers-To stay as they are.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = files.mapInArrow(_read_back, _BACK)
-    of = rows.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("full_bytes"))
-    rows = rows.join(of.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
-    size = F.when(F.col("record_type") == "revisit", F.col("full_bytes")).otherwise(F.col("payload_bytes"))
-    return rows.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url", "error")
+    of = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("full_bytes"), F.max("payload_digest").alias("full_digest"))
+    rows = rows.join(of, "refers_to_id", "left")
+    c = F.col
+    revisit = (c("record_type") == "revisit") & c("refers_to_id").isNotNull()
+    lost = F.when(revisit & c("full_digest").isNull(), F.lit("the record referred to isn't here"))
+    other = F.when(revisit & (c("full_digest") != c("payload_digest")), F.lit("the record referred to has another digest"))
+    return rows.select("page_id", F.when(revisit, c("full_bytes")).otherwise(c("payload_bytes")).alias("payload_bytes"), F.when(revisit, c("full_digest")).otherwise(c("payload_digest")).alias("payload_digest"),
+                       "record_type", "refers_to", "url", F.coalesce("error", lost, other).alias("error"))
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
