@@ -326,15 +326,16 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
     that isn't there or has another digest; foreign ones without a WARC-Refers-To stay as they are.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = files.mapInArrow(_read_back, _BACK)
-    of = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("full_bytes"), F.max("payload_digest").alias("full_digest"))
-    rows = rows.join(of, "refers_to_id", "left")
+    rows = cut(files.mapInArrow(_read_back, _BACK))  # the files are read and hashed once
+    of = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("of_id")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("full_bytes"), F.max("payload_digest").alias("full_digest"))
+    # rows that refer to nothing meet their own id, so that nulls don't gather in one task
+    rows = rows.join(of, F.coalesce("refers_to_id", "record_id") == F.col("of_id"), "left")
     c = F.col
     revisit = (c("record_type") == "revisit") & c("refers_to_id").isNotNull()
     lost = F.when(revisit & c("full_digest").isNull(), F.lit("the record referred to isn't here"))
     other = F.when(revisit & (c("full_digest") != c("payload_digest")), F.lit("the record referred to has another digest"))
     return rows.select("page_id", F.when(revisit, c("full_bytes")).otherwise(c("payload_bytes")).alias("payload_bytes"), F.when(revisit, c("full_digest")).otherwise(c("payload_digest")).alias("payload_digest"),
-                       "record_type", "refers_to", "url", F.coalesce("error", lost, other).alias("error"))
+                       "record_type", F.when(revisit, c("refers_to")).alias("refers_to"), "url", F.coalesce("error", lost, other).alias("error"))
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
