@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -182,6 +183,36 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.linalg.solve(np.eye(n - 1) - companion.T, b[1:] - a[1:] * b[0])
 
 
+def in_slices(x: np.ndarray, size: int, overlap: int, ask: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Answers to overlapping slices of x, joined; every slice but the first begins with the end of the answer before.
+
+    The carried samples are scaled so that their largest value is that of what they replace, unless theirs is 0;
+    ask(slice, number of carried samples) answers with as many samples as it got. x shorter than a stride is one slice.
+    """
+    if not 0 < overlap <= size // 2:
+        raise ValueError("overlap must be positive and at most half of a slice")
+    stride, out, last = min(size - overlap, len(x)), [], None
+    for k in range(len(x) // stride if stride else 0):
+        part = np.array(x[k * stride : k * stride + size], float)
+        kept = 0
+        if last is not None:
+            tail, kept = last[-overlap:], overlap
+            peak = tail.max()
+            part[:overlap] = tail * (part[:overlap].max() / peak if peak != 0 else 1.0)
+        last = np.asarray(ask(part, kept), float)
+        if len(last) != len(part):
+            raise ValueError(f"{len(part)} samples were sent, {len(last)} came back")
+        out.append(last[kept:])
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def in_range_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """y scaled and shifted to the least and largest value of x; as it is where either is empty or y is flat."""
+    if not len(x) or not len(y) or y.max() == y.min():
+        return y
+    return (y - y.min()) / (y.max() - y.min()) * (x.max() - x.min()) + x.min()
+
+
 def zero_phase(parts: list, x: np.ndarray, pad: int) -> np.ndarray:
     """Forward and backward through second-order sections, with odd extension; rows are separate signals."""
     x = np.atleast_2d(np.asarray(x, float))

@@ -1,14 +1,13 @@
 """Models and attacks that run as HTTP services, batch by batch from the executors.
 
-A transport takes (url, payload, timeout) and returns the decoded answer; the default posts
-JSON. Requests are idempotent, so a task that runs again may repeat them.
+Transports are those of `sources.transport`; the default keeps connections, tries again and has a deadline.
+Requests are idempotent, so a task that runs again may repeat them. A batch's requests go out
+several at a time (`flight`), and its rows keep their order.
 """
 
 from __future__ import annotations
 
-import json
-import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -19,15 +18,9 @@ from pyspark.sql import functions as F
 from tremolo.functions import dsp
 from tremolo.operators import catalog
 from tremolo.operators.models import SERVICES
+from tremolo.sources.transport import Patient, Transport, in_flight
 
-Transport = Callable[[str, dict, float], dict]
-
-
-def post(url: str, payload: dict, timeout: float) -> dict:
-    """Raises on statuses from 400 on (urllib does) and on answers that aren't JSON."""
-    request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json"})
-    with urllib.request.urlopen(request, timeout=timeout) as answer:
-        return json.loads(answer.read())
+PATIENT = Patient()
 
 
 def answered(answer: dict, key: str):
@@ -43,7 +36,8 @@ class RemoteModel:
     rate: int
     bits: int
     timeout: float = 300.0
-    transport: Transport = post
+    transport: Transport = PATIENT
+    flight: int = 4
 
     def mark(self, a, w, r) -> list:
         return answered(self.transport(f"{self.url}/embed", {"audio": list(map(float, a)), "watermark_data": list(map(int, w)), "sampling_rate": int(r)}, self.timeout), "watermarked_audio")
@@ -58,7 +52,7 @@ class RemoteModel:
 
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["audio"] = [self.mark(a, w, r) for a, w, r in zip(b["audio"], b["bits"], b["sampling_rate"])]
+                b["audio"] = list(in_flight(self.flight, self.mark, zip(b["audio"], b["bits"], b["sampling_rate"])))
                 yield b
 
         return clips.select("clip_id", "sampling_rate", "audio", "bits").mapInPandas(go, f"clip_id {clips.schema['clip_id'].dataType.simpleString()}, sampling_rate int, audio array<double>, bits array<int>")
@@ -71,7 +65,7 @@ class RemoteModel:
 
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                got = [self.find(a, r) for a, r in zip(b["audio"], b["sampling_rate"])]
+                got = list(in_flight(self.flight, self.find, zip(b["audio"], b["sampling_rate"])))
                 yield pd.DataFrame({"clip_id": b["clip_id"], "detected": [g[0] for g in got], "score": [g[1] for g in got]})
 
         return clips.select("clip_id", "sampling_rate", "audio").mapInPandas(go, f"clip_id {clips.schema['clip_id'].dataType.simpleString()}, detected array<double>, score double")
@@ -99,7 +93,8 @@ class ServiceModel:
     def embed(self, audio: Column, bits: Column) -> Column:
         @F.pandas_udf("array<double>")
         def mark(audio: pd.Series, bits: pd.Series) -> pd.Series:
-            return pd.Series([None if a is None else self.remote.mark(a, w, self.rate) for a, w in zip(audio, bits)], dtype=object)
+            ask = lambda a, w: None if a is None else self.remote.mark(a, w, self.rate)
+            return pd.Series(list(in_flight(self.remote.flight, ask, zip(audio, bits))), dtype=object)
 
         return mark(audio, bits)
 
@@ -108,7 +103,8 @@ class ServiceModel:
 
         @F.pandas_udf("array<double>")
         def find(audio: pd.Series) -> pd.Series:
-            found = [(None, None) if a is None else self.remote.find(a, self.rate) for a in audio]
+            ask = lambda a: (None, None) if a is None else self.remote.find(a, self.rate)
+            found = in_flight(self.remote.flight, ask, zip(audio))
             return pd.Series([bits if score is None else [score] for bits, score in found], dtype=object)
 
         return find(audio)
@@ -125,7 +121,8 @@ class RemoteAttack:
     timeout: float = 300.0
     params: dict = field(default_factory=dict)
     limits: dict = field(default_factory=dict)
-    transport: Transport = post
+    transport: Transport = PATIENT
+    flight: int = 4
 
     def settled(self, given: dict) -> dict:
         params = self.params | {k: v for k, v in given.items() if v is not None}
@@ -146,7 +143,7 @@ class RemoteAttack:
 
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["audio"] = [self.one(a, int(r), params) for a, r in zip(b["audio"], b["sampling_rate"])]
+                b["audio"] = list(in_flight(self.flight, lambda a, r: self.one(a, int(r), params), zip(b["audio"], b["sampling_rate"])))
                 yield b
 
         return clips.select("clip_id", "sampling_rate", "audio").mapInPandas(go, f"clip_id {clips.schema['clip_id'].dataType.simpleString()}, sampling_rate int, audio array<double>")
@@ -157,12 +154,36 @@ class RemoteAttack:
 
         @F.pandas_udf("array<double>")
         def ask(audio: pd.Series, rate: pd.Series) -> pd.Series:
-            return pd.Series([None if a is None else self.one(a, int(r), params) for a, r in zip(audio, rate)], dtype=object)
+            one = lambda a, r: None if a is None else self.one(a, int(r), params)
+            return pd.Series(list(in_flight(self.flight, one, zip(audio, rate))), dtype=object)
 
         return ask(c.audio, c.rate)
 
 
-def neural_attacks(base: str = "http://localhost", transport: Transport = post) -> dict[str, RemoteAttack]:
+@dataclass(frozen=True)
+class SlicedAttack(RemoteAttack):
+    """An attack whose service takes one slice at a time: slices overlap, and each begins with the end of the one before.
+
+    size and overlap count samples at `rate`. Slices of a clip go out in order, clips side by side. The answer has the
+    clip's range (a flat answer stays flat). The end of a clip that no whole stride begins is lost beyond the last slice.
+    """
+
+    size: int = 1 << 17
+    overlap: int = 44100
+    seed: int = 0
+
+    def one(self, a: np.ndarray, r: int, params: dict) -> np.ndarray:
+        to = self.rate or r
+        x = dsp.resample(np.asarray(a, float), r, to)
+
+        def ask(part: np.ndarray, kept: int) -> np.ndarray:
+            sent = {"audio": part.tolist(), "sampling_rate": int(to), "mask_start_secs": kept / to, "seed": self.seed} | params
+            return np.asarray(answered(self.transport(f"{self.url}/slice", sent, self.timeout), "audio"), float)
+
+        return dsp.in_range_of(x, dsp.resample(dsp.in_slices(x, self.size, self.overlap, ask), to, r))
+
+
+def neural_attacks(base: str = "http://localhost", transport: Transport = PATIENT) -> dict[str, RemoteAttack]:
     """The attacks that are services, with the rates and limits of their contracts."""
     return {
         a.name: a
@@ -176,7 +197,7 @@ def neural_attacks(base: str = "http://localhost", transport: Transport = post)
     }
 
 
-def register_services(base: str, transport: Transport = post, urls: dict[str, str] | None = None) -> None:
+def register_services(base: str, transport: Transport = PATIENT, urls: dict[str, str] | None = None) -> None:
     """Makes the models and attacks that are services known to benchmark runs; urls: where one isn't at base/name.
 
     Attacks so registered run when they are named, never as part of all.
