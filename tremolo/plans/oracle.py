@@ -276,6 +276,8 @@ c AS (SELECT clip_id, nr, start, start + floor(({u('3:length', 'clip_id', 'nr')}
 SELECT s.clip_id, i, count(*) AS n_cuts, min(nr) AS first_cut FROM s JOIN c ON c.clip_id = s.clip_id AND i >= start AND i < stop GROUP BY ALL"""
 _bb, _aa = dsp.polynomials(dsp.butter(5, 5000 / 8000, "lowpass"))
 SQL["lowpass_long"] = f"WITH RECURSIVE {_EVENTS}, {iir('s', 'g', _bb, _aa)} SELECT clip_id, i::BIGINT AS i, {r('x', 6)} AS y FROM g"
+_bb, _aa = dsp.polynomials(dsp.butter(2, 0.3, "lowpass"))
+SQL["stream_chunk_filter"] = f"WITH RECURSIVE {E}, {iir('e', 'g', _bb, _aa)} SELECT clip_id, i::BIGINT AS i, {r('x', 6)} AS y FROM g"
 SQL["overlap_add"] = f"WITH {_FRAMES}, o AS (SELECT clip_id, m * 4 + j AS i, v, 5e-1 - 5e-1 * cos({PI2} * (j + 1) / 17) AS w FROM f) SELECT clip_id, i, {r('sum(v * w) / sum(w * w)', 8)} AS y FROM o GROUP BY clip_id, i"
 SQL["hz_to_bark"] = f"SELECT p_partkey, {r('6e0 * asinh(p_retailprice / 600e0)')} AS bark FROM part"
 SQL["bark_to_hz"] = f"SELECT p_partkey, {r('650e0 * sinh(p_size / 2e0 / 7e0)', 6)} AS hz FROM part"

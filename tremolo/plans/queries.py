@@ -567,13 +567,17 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{d}/events.parquet"
+def _table_stream(spark: SparkSession, d: str, table: str) -> DataFrame:
+    path = f"{d}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    utc = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
     folder, _, name = path.rpartition("/")
     reader = spark.readStream.schema(schema)
-    rows = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    utc = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+    rows = _table_stream(spark, d, "events")
     return rows.withColumn("ts", utc) if dict(rows.dtypes)["ts"] == "timestamp_ntz" else rows
 
 
@@ -597,4 +601,19 @@ def stream_running_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return _drained(spark, running_accuracy(results), "complete").select("attack", "n", clean(F.col("accuracy_mean"), 6).alias("accuracy_mean"))
 
 
+@query
+def stream_chunk_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Clips as a stream of chunks of 16 samples, the filter's memory and chunks that come early in state."""
+    from tremolo.functions import dsp
+    from tremolo.streaming.chunks import filtered_in_any_order, on_rocksdb
+
+    n = 16
+    clips = _table_stream(spark, d, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").cast("array<double>").alias("audio")).where(F.size("audio") > 0)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("audio") - 1) / n).cast("int")), lambda k: F.slice("audio", k * n + 1, n))
+    chunks = clips.select("clip_id", F.posexplode(parts).alias("seq", "audio")).select("clip_id", F.col("seq").cast("long"), "audio", F.timestamp_seconds(F.lit(86400)).alias("ts"))  # the first watermark is 0 seconds
+    with on_rocksdb(spark):
+        out = _drained(spark, filtered_in_any_order(chunks.withWatermark("ts", "1 hour"), *dsp.polynomials(dsp.butter(2, 0.3, "lowpass"))), "append")
+    return out.where("not late").select("clip_id", "seq", F.posexplode("audio").alias("i", "y")).select("clip_id", (F.col("seq") * n + F.col("i")).alias("i"), clean(F.col("y"), 6).alias("y"))
+
+
 assert SPREAD_B.bits == SPREAD_A.bits
