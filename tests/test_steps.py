@@ -122,3 +122,25 @@ def test_fractional_levels_keep_what_lies_in_the_bands(spark):
     share = F.when(F.col("k") == 0, 0.42).when(F.col("k") == 8, 1.0).otherwise(1.0)  # bin 0 lies in the bands from 80 to 500 Hz
     want = s.groupBy("clip_id", "m").agg(F.sum(F.col("magnitude") * share).alias("want"))
     assert levels.join(want, ["clip_id", "m"]).where(F.abs(F.col("level") - F.col("want")) > 1e-4).count() == 0
+
+
+@pytest.mark.parametrize("hop", [1, 3, 5, 8, 11, 16])
+def test_least_squares_synthesis(hop):
+    from tremolo.functions import dsp
+
+    size, rng = 16, np.random.default_rng(hop)
+    w = rng.uniform(0.1, 1, size)
+    v, x = dsp.synthesis_window(w, hop), rng.normal(size=size + 12 * hop)
+    y, wild, normal = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+    for at in range(0, len(x) - size + 1, hop):
+        here = slice(at, at + size)
+        y[here] += x[here] * w * v
+        frame = rng.normal(size=size)  # frames that are no signal's: the nearest signal by its normal equations
+        wild[here] += frame * v
+        normal[here] += frame * w
+    energy = sum(np.pad(w**2, (at, len(x) - size - at)) for at in range(0, len(x) - size + 1, hop))
+    inner = slice(size, len(x) - size)
+    assert np.allclose(y[inner], x[inner]) and np.allclose(wild[inner], (normal / energy)[inner])
+    assert (dsp.synthesis_window(np.zeros(4), 2) == 0).all()
+    with pytest.raises(ValueError):
+        dsp.synthesis_window(w, size + 1)

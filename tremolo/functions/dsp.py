@@ -315,6 +315,18 @@ def istft(s: np.ndarray, size: int, hop: int) -> np.ndarray:
     return (y / np.where(norm > 1e-10, norm, 1.0))[size // 2 : n - size // 2]
 
 
+def synthesis_window(window: np.ndarray, hop: int) -> np.ndarray:
+    """The window with which overlap-adding frames cut by `window` gives the signal nearest to them in least squares.
+
+    Any hop up to the window's length, dividing it or not; places where every shifted window is 0 stay 0.
+    """
+    window = np.asarray(window, float)
+    if not 0 < hop <= len(window):
+        raise ValueError("hop must be from 1 to the window's length")
+    energy = np.bincount(np.arange(len(window)) % hop, window**2, hop)[np.arange(len(window)) % hop]
+    return np.divide(window, energy, out=np.zeros_like(window), where=energy > 0)
+
+
 def quantize_spectrum(x: np.ndarray, size: int, hop: int, levels: int) -> np.ndarray:
     s = stft(x, size, hop)
     m, low, high = np.abs(s), np.abs(s).min(), np.abs(s).max()
