@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,69 @@ def test_stream_of_chunks_equals_whole(spark, tmp_path):
     q.awaitTermination()
     got = np.concatenate([r.audio for r in spark.table("chunks").orderBy("seq").collect()])
     assert np.allclose(got, dsp.iir(b, a, x)[0])
+
+
+def test_ear_curves_and_filters():
+    from tremolo.functions import psychoacoustics as bark
+
+    for name, (hz, level) in bark.CURVES.items():
+        assert np.allclose(bark.ear_level(np.array(hz), name), level)
+        at, step = np.array(hz[1:-1], float), 0.02
+        f = lambda x: bark.ear_level(x, name)  # noqa: B023, E731
+        left, right = (f(at) - 2 * f(at + t * step) + f(at + 2 * t * step) for t in (-1, 1))
+        assert np.allclose(left, right, atol=2e-2 * np.abs(left).max())  # second derivatives agree on both sides of a point
+        assert bark.ear_level(np.array([0.0, 9e4]), name).tolist() == [level[0], level[-1]]
+    for rate, curve in ((16000, "ELC"), (16000, "MAP"), (32000, "MAF")):
+        taps = bark.ear_taps(1024, rate, curve)
+        assert np.allclose(taps, taps[::-1])  # linear phase
+        k = np.arange(40, 480)
+        gain = np.abs(np.exp(-2j * np.pi * np.outer(k, np.arange(1024)) / 1024) @ taps)
+        want = 10 ** (-bark.ear_level(k * rate / 1024, curve) / 10)
+        assert np.allclose(10 * np.log10(gain), 10 * np.log10(want), atol=1.0)
+        w = bark.ear_weights(1024, rate, curve)
+        assert w.max() == 1 and np.allclose(w[k], gain / gain.max() * w[k].max())
+    with pytest.raises(ValueError):
+        bark.ear_taps(1023, 16000)
+    with pytest.raises(ValueError):
+        bark.ear_level(np.array([1.0]), "ABC")
+
+
+def plain_nmr(x, y, rate, size, hop):
+    """Block by block, band by band."""
+    from tremolo.functions import psychoacoustics as bark
+
+    bands, step, w, h = bark.fractional_bands(), rate / size, [0.5 - 0.5 * np.cos(2 * np.pi * (j + 1) / (size + 1)) for j in range(size)], bark.ear_taps(size, rate)
+    share = [[max(0.0, min(hi, (k + 0.5) * step) - max(lo, (k - 0.5) * step)) / step for k in range(size // 2 + 1)] for _, lo, hi in bands]
+    ear = [abs(sum(h[j] * np.exp(-2j * np.pi * j * k / size) for j in range(size))) for k in range(size // 2 + 1)]
+    errors = []
+    for at in range(0, max(len(x) - size, 0) + hop, hop):
+        if at and at - hop + size >= len(x):
+            break
+        a, b = (np.abs(np.fft.rfft([(v[at + j] if at + j < len(v) else 0.0) * w[j] for j in range(size)])) for v in (x, y))
+        level = [sum(s * v for s, v in zip(row, a)) for row in share]
+        limit = [sum((v * bark.TONE * (bark.UPPER if m < n else bark.LOWER) ** abs(m - n)) ** 0.9 for m, v in enumerate(level) if m != n) ** (1 / 0.9) for n in range(109)]
+        error = 0.0
+        for k in range(size // 2 + 1):
+            if any(row[k] for row in share):
+                t = sum(row[k] * limit[n] / sum(row) ** 0.5 for n, row in enumerate(share) if row[k])
+                error += (a[k] - b[k]) ** 2 * ear[k] / max(ear) / (t + np.finfo(float).eps)
+        errors.append(error)
+    return 10 * np.log10(sum(errors) / len(errors) / 109)
+
+
+def test_noise_to_mask(spark):
+    from tremolo.functions.psychoacoustics import noise_to_mask
+    from tremolo.plans.benchmark import nmr
+
+    rng = np.random.default_rng(4)
+    for n in (1, 64, 65, 200):
+        x = rng.normal(size=n)
+        y = x + rng.normal(size=n) * 0.1
+        assert noise_to_mask(x, y, 16000, 64, 16) == pytest.approx(plain_nmr(x, y, 16000, 64, 16), abs=1e-8)
+    x = rng.normal(size=3000)
+    quiet, loud = (noise_to_mask(x, x + rng.normal(size=3000) * a, 16000) for a in (1e-4, 1e-1))
+    assert quiet < -9 < loud
+    assert noise_to_mask(x, x, 16000) is None and noise_to_mask(x, [], 16000) is None
+    rows = spark.createDataFrame([(1, x.tolist(), (x + 0.01).tolist()), (2, None, [1.0]), (3, [1.0], None), (4, [], [])], "clip_id int, a array<double>, b array<double>")
+    got = {r.clip_id: r.v for r in rows.select("clip_id", nmr(F.col("a"), F.col("b"), F.lit(16000)).alias("v")).collect()}
+    assert got[1] == pytest.approx(noise_to_mask(x, x + 0.01, 16000)) and got[2] is got[3] is got[4] is None

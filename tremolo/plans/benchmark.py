@@ -108,6 +108,17 @@ def stoi(clean: Column, degraded: Column, rate: Column) -> Column:
     return go(clean, degraded, rate)
 
 
+def nmr(clean: Column, degraded: Column, rate: Column, size: int = 1024, hop: int = 256) -> Column:
+    """Noise-to-mask ratio (dB) over the 109 fractional bands; below about -9 the difference can't be heard. Null clips give null."""
+    @F.pandas_udf("double")
+    def go(x: pd.Series, y: pd.Series, r: pd.Series) -> pd.Series:
+        from tremolo.functions.psychoacoustics import noise_to_mask
+
+        return pd.Series([None if a is None or b is None else noise_to_mask(a, b, int(q), size, hop) for a, b, q in zip(x, y, r)], dtype="float64")
+
+    return go(clean, degraded, rate)
+
+
 def mean_accuracy(results: DataFrame) -> DataFrame:
     """attack, n, accuracy_mean, accuracy_cross_model_mean; nulls don't count."""
     return results.groupBy("attack").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy_mean"), F.avg("accuracy_cross_model").alias("accuracy_cross_model_mean"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from tremolo.functions import dsp
+from tremolo.functions import dsp, psychoacoustics
 from tremolo.operators import kernels
 
 E = "e AS (SELECT vec_id AS clip_id, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
@@ -293,6 +293,29 @@ l AS (SELECT clip_id, m, round_even(6e0 * asinh(k * 1000e0 / 600e0) / {lit(6 * m
 SELECT l.clip_id, l.m, n.band, {r("pow(sum(CASE WHEN l.band = n.band THEN 0e0 ELSE pow(l.x / (pow(10e0, 14.5e0 / 20) * pow(10e0, 12e0 / 20)) * CASE WHEN l.band < n.band THEN pow(1 / pow(10e0, 7.5e0 / 20), (n.band - l.band)::DOUBLE) ELSE pow(1 / pow(10e0, 26e0 / 20), (l.band - n.band)::DOUBLE) END, 9e-1) END), 1 / 9e-1)", 8)} AS threshold
 FROM l, (SELECT unnest(range(8))::INTEGER AS band) AS n GROUP BY l.clip_id, l.m, n.band"""
 
+# Long clips in blocks of 1024 samples; bins of spectra by a table of sines, since there are but 1024 phases.
+_LINES = "li AS (SELECT l_suppkey AS clip_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, l_extendedprice / 1e5 - 5e-1 AS x FROM lineitem)"
+_WIDE = f"""{_LINES}, lc AS (SELECT clip_id, greatest(ceil((count(*) - 1024) / 256e0)::INTEGER + 1, 1) AS blocks FROM li GROUP BY clip_id),
+lf AS (SELECT c.clip_id, m, li.i - m * 256 AS j, x, trunc(least(greatest(x * 127, -128e0), 127e0)) / 127 AS y FROM (SELECT clip_id, unnest(range(blocks)) AS m FROM lc) AS c JOIN li ON li.clip_id = c.clip_id AND li.i >= m * 256 AND li.i < m * 256 + 1024),
+lw AS (SELECT clip_id, m, j, x * (5e-1 - 5e-1 * cos({PI2} * (j + 1) / 1025)) AS x, y * (5e-1 - 5e-1 * cos({PI2} * (j + 1) / 1025)) AS y FROM lf),
+tr AS MATERIALIZED (SELECT p, cos({PI2} * p / 1024) AS c, sin({PI2} * p / 1024) AS s FROM (SELECT unnest(range(1024)) AS p)),
+ks AS (SELECT unnest(range(513)) AS k),
+sp AS (SELECT clip_id, m, k, sqrt(sum(x * c) ** 2 + sum(x * s) ** 2) AS x, sqrt(sum(y * c) ** 2 + sum(y * s) ** 2) AS y FROM lw, ks JOIN tr ON p = (j * k) % 1024 GROUP BY ALL)"""
+_TAPS = ", ".join(repr(float(v)) for v in psychoacoustics.ear_taps(1024, 16000))
+_EAR = f"""tp AS (SELECT unnest(range(1024)) AS j, unnest([{_TAPS}]::DOUBLE[]) AS h),
+eg AS (SELECT k, sqrt(sum(h * c) ** 2 + sum(h * s) ** 2) AS g FROM tp, ks JOIN tr ON p = (j * k) % 1024 GROUP BY k), ew AS (SELECT k, g / max(g) OVER () AS w FROM eg)"""
+SQL["ear_weighted_levels"] = f"WITH {_WIDE}, {_EAR} SELECT clip_id, m::INTEGER AS m, {r('sqrt(sum(x * x * w * w * CASE WHEN k IN (0, 512) THEN 1 ELSE 2 END))', 6)} AS level FROM sp JOIN ew USING (k) GROUP BY clip_id, m"
+SQL["metric_nmr"] = f"""WITH {_WIDE}, {_EAR},
+fb AS (SELECT band, 650e0 * sinh((7e0 * asinh(80e0 / 650) + band * 25e-2) / 7) AS low, CASE WHEN band = 108 THEN 18000e0 ELSE 650e0 * sinh((7e0 * asinh(80e0 / 650) + (band + 1) * 25e-2) / 7) END AS high FROM (SELECT unnest(range(109)) AS band)),
+wt AS MATERIALIZED (SELECT k, band, (least(high, (k + 5e-1) * 15.625e0) - greatest(low, (k - 5e-1) * 15.625e0)) / 15.625e0 AS share FROM ks JOIN fb ON least(high, (k + 5e-1) * 15.625e0) > greatest(low, (k - 5e-1) * 15.625e0)),
+hb AS (SELECT band, sum(share) AS held FROM wt GROUP BY band),
+lv AS (SELECT clip_id, m, band, sum(x * share) AS x FROM sp JOIN wt USING (k) GROUP BY ALL),
+th AS (SELECT a.clip_id, a.m, n.band, pow(sum(CASE WHEN a.band = n.band THEN 0e0 ELSE pow(a.x / (pow(10e0, 14.5e0 / 20) * pow(10e0, 12e0 / 20)) * CASE WHEN a.band < n.band THEN pow(1 / pow(10e0, 7.5e0 / 20), (n.band - a.band)::DOUBLE) ELSE pow(1 / pow(10e0, 26e0 / 20), (a.band - n.band)::DOUBLE) END, 9e-1) END), 1 / 9e-1) / sqrt(any_value(n.held)) AS t
+  FROM lv AS a, hb AS n GROUP BY a.clip_id, a.m, n.band),
+ht AS (SELECT clip_id, m, k, sum(t * share) AS t FROM th JOIN wt USING (band) GROUP BY ALL),
+er AS (SELECT clip_id, m, sum((x - y) * (x - y) * w / (t + 2.220446049250313e-16)) AS e FROM sp JOIN ht USING (clip_id, m, k) JOIN ew USING (k) GROUP BY ALL)
+SELECT clip_id, {r('10e0 * log10(avg(e) / 109)', 5)} AS value FROM er GROUP BY clip_id"""
+
 
 def _bits(n: int) -> str:
     return f"b AS (SELECT vec_id AS clip_id, b, CASE WHEN {u('7:message', 'vec_id', 'b')} > 0.5 THEN 1 ELSE 0 END AS bit FROM embeddings, (SELECT unnest(range({n}))::INTEGER AS b))"

@@ -296,6 +296,27 @@ def masking_threshold_frames(spark: SparkSession, d: str) -> DataFrame:
     return f.select("clip_id", "m", F.posexplode(bark.masking(F.col("levels"), bands)).alias("band", "t")).select("clip_id", "m", "band", clean(F.col("t"), 8).alias("threshold"))
 
 
+def _coarse(spark: SparkSession, d: str) -> DataFrame:
+    """Long clips and what 8-bit codes leave of them."""
+    clips = C.spread(C.lineitem_clips(C.table(spark, d, "lineitem"))).withColumn("original", F.col("audio"))
+    return catalog.apply(clips, "PCMQuantizationAttack", pcm=8)
+
+
+@query
+def ear_weighted_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Level of each block of 1024 samples of long clips behind the outer and middle ear, by the equal loudness curve."""
+    weights = F.array(*(F.lit(float(v)) for v in bark.ear_weights(1024, C.RATE)))
+    s = blocks.spectra(C.frames(C.spread(C.lineitem_clips(C.table(spark, d, "lineitem"))), 1024, 256), 1024)
+    return s.select("clip_id", "m", clean(F.sqrt(total(F.zip_with("x", weights, lambda x, w: x * x * w * w))), 6).alias("level"))
+
+
+@query
+def metric_nmr(spark: SparkSession, d: str) -> DataFrame:
+    """Noise that 8-bit codes add to long clips against what these mask, in blocks of 1024 samples over 109 bands."""
+    c = _coarse(spark, d)
+    return c.select("clip_id", clean(benchmark.nmr(F.col("original"), F.col("audio"), F.col("sampling_rate")), 5).alias("value"))
+
+
 # Messages and metrics
 
 
