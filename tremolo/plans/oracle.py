@@ -274,6 +274,10 @@ SQL["cut_intervals"] = f"""WITH {_EVENTS}, n AS (SELECT clip_id, count(*) AS n,
 a AS (SELECT clip_id, nr, floor(({u('3:cut', 'clip_id', 'nr')}) * n)::BIGINT AS start FROM n),
 c AS (SELECT clip_id, nr, start, start + floor(({u('3:length', 'clip_id', 'nr')}) * 7)::BIGINT + 1 AS stop FROM a)
 SELECT s.clip_id, i, count(*) AS n_cuts, min(nr) AS first_cut FROM s JOIN c ON c.clip_id = s.clip_id AND i >= start AND i < stop GROUP BY ALL"""
+SQL["frame_samples"] = f"""WITH {_EVENTS}, c AS (SELECT clip_id, greatest(ceil((max(i) + 1 - 16) / 4e0)::INTEGER + 1, 1) AS blocks FROM s GROUP BY clip_id)
+SELECT c.clip_id, m, j, {r(f'coalesce(s.x, 0) * (5e-1 - 5e-1 * cos({PI2} * (j + 1) / 17))', 6)} AS v
+FROM (SELECT clip_id, unnest(range(blocks))::INTEGER AS m FROM c) AS c, (SELECT unnest(range(16))::INTEGER AS j) AS k LEFT JOIN s ON s.clip_id = c.clip_id AND s.i = m * 4 + j"""
+SQL["wav_round_trip"] = f"WITH {E} SELECT clip_id, i::BIGINT AS i, {r('trunc(least(greatest(x * 32767, -32768e0), 32767e0)) / 32768')} AS y FROM e"
 _bb, _aa = dsp.polynomials(dsp.butter(5, 5000 / 8000, "lowpass"))
 SQL["lowpass_long"] = f"WITH RECURSIVE {_EVENTS}, {iir('s', 'g', _bb, _aa)} SELECT clip_id, i::BIGINT AS i, {r('x', 6)} AS y FROM g"
 _bb, _aa = dsp.polynomials(dsp.butter(2, 0.3, "lowpass"))

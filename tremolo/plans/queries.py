@@ -147,6 +147,15 @@ def frame_blocks(spark: SparkSession, d: str) -> DataFrame:
     return f.select("clip_id", "m", F.posexplode("block").alias("j", "v")).select("clip_id", "m", "j", clean(F.col("v")).alias("v"))
 
 
+@query
+def frame_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of each user's events by the table function, which gathers no clip."""
+    from tremolo.functions.tables import frames_of
+
+    f = frames_of(C.event_samples(C.table(spark, d, "events")), SMALL["size"], SMALL["hop"])
+    return f.select("clip_id", "m", F.posexplode("block").alias("j", "v")).select("clip_id", "m", "j", clean(F.col("v"), 6).alias("v"))
+
+
 def _distances(spark: SparkSession, d: str, masked: bool = False) -> DataFrame:
     """Distances of spectra, rounded, so that equal ones stay equal however they were summed."""
     f = C.frames(_e(spark, d), SMALL["size"], SMALL["hop"])
@@ -423,6 +432,21 @@ def scan_suffix_filter(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", files.has_audio_suffix(F.col("url")).alias("audio"), F.lower("url").rlike(r"(/|#top)$").alias("folder"))
 
 
+@query
+def wav_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Clips written as wav files of 16 bits to the shared folder and read back in segments of 16 samples."""
+    import uuid
+
+    from tremolo.sources import wav
+
+    wav.register(spark)
+    at = f"{files.shared_dir(spark)}/wav-{uuid.uuid4().hex}"
+    _e(spark, d).write.format("wav").mode("append").save(at)
+    got = spark.read.format("wav").option("segment", 16).load(at)
+    got = got.select(files.stem(F.col("clip_id")).cast("long").alias("clip_id"), "block", F.posexplode("audio").alias("j", "y"))
+    return got.select("clip_id", (F.col("block") * 16 + F.col("j")).alias("i"), clean(F.col("y")).alias("y"))
+
+
 @query
 def basename_stem(spark: SparkSession, d: str) -> DataFrame:
     return C.table(spark, d, "pages").select("page_id", files.stem(F.col("url")).alias("stem"))

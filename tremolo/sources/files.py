@@ -39,10 +39,8 @@ def stem(path):
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"^(.+)\.[^.]*$", "$1")
 
 
-def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
-    """Samples in [-1, 1), the channels' mean, and the rate, of PCM of 8 to 32 bits."""
-    with wave.open(io.BytesIO(content)) as f:
-        width, channels, rate, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
+def pcm_samples(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Samples in [-1, 1), the channels' mean, of PCM of 8 to 32 bits; KeyError for other widths."""
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(float) / 128 - 1
     elif width == 3:
@@ -50,7 +48,14 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2.0**23
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]) / 2.0 ** (8 * width - 1)
-    return x.reshape(-1, channels).mean(axis=1), rate
+    return x.reshape(-1, channels).mean(axis=1)
+
+
+def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
+    """Samples and rate of a wav file."""
+    with wave.open(io.BytesIO(content)) as f:
+        width, channels, rate, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
+    return pcm_samples(raw, width, channels), rate
 
 
 def encode_wav(x, rate: int) -> bytes:
