@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,10 +101,19 @@ def _agreement(sent: Column, m, audio: Column) -> Column:
 
 
 def stoi(clean: Column, degraded: Column, rate: Column) -> Column:
-    """Short-time objective intelligibility; null for clips of under about 0.4 s of loud frames."""
+    """Short-time objective intelligibility; null for clips of under about 0.4 s of loud frames.
+
+    Scores are of clips at 8 or 16 kHz: those of other rates are resampled to 16 kHz first.
+    """
+
+    def score(a, b, r: int) -> float | None:
+        if r in (8000, 16000):
+            return dsp.stoi(a, b, r)
+        return dsp.stoi(dsp.resample(np.asarray(a, float), r, 16000), dsp.resample(np.asarray(b, float), r, 16000), 16000)
+
     @F.pandas_udf("double")
     def go(x: pd.Series, y: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None or not len(a) or not len(b) else dsp.stoi(a, b, int(q)) for a, b, q in zip(x, y, r)], dtype="float64")
+        return pd.Series([None if a is None or b is None or not len(a) or not len(b) else score(a, b, int(q)) for a, b, q in zip(x, y, r)], dtype="float64")
 
     return go(clean, degraded, rate)
 

@@ -364,6 +364,9 @@ SQL["model_rate_join"] = "SELECT vec_id AS clip_id, CASE WHEN vec_id % 2 = 0 THE
 SQL["clip_attack_cross"] = "SELECT vec_id AS clip_id, attack FROM embeddings, (VALUES ('EchoAttack'), ('SignInversionAttack'), ('SmoothingAttack')) AS a(attack)"
 SQL["catalog_models"] = "SELECT * FROM (VALUES ('SpreadA', 16000, 16), ('SpreadB', 16000, 16)) AS t(model, sampling_rate, watermark_size)"
 SQL["stream_tumbling"] = f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, {r('sum(value)', 6)} AS total FROM events GROUP BY ALL"
+SQL["stream_sessions"] = f"""WITH g AS (SELECT user_id, ts, event_id, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, ts, value, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT epoch_us(min(ts)) AS start_us, user_id, count(*) AS n, {r('sum(value)', 6)} AS total FROM s GROUP BY user_id, session"""
 SQL["stream_running_accuracy"] = f"SELECT event_type AS attack, count(value) AS n, {r('avg(value)', 6)} AS accuracy_mean FROM events GROUP BY ALL"
 
 _BENCH = f"""{MARKED}, a AS (

@@ -638,6 +638,15 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return _drained(spark, windowed_values(_event_stream(spark, d), "1 day"), "complete").select(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("start") / 86400).cast("int")).cast("string").alias("day"), "event_type", "n", clean(F.col("total"), 6).alias("total"))
 
 
+@query
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's sessions, which end when nothing came for twelve hours."""
+    from tremolo.streaming.running import session_values
+
+    got = _drained(spark, session_values(_event_stream(spark, d), "12 hours"), "complete")
+    return got.select(F.unix_micros("start").alias("start_us"), "user_id", "n", clean(F.col("total"), 6).alias("total"))
+
+
 @query
 def stream_running_accuracy(spark: SparkSession, d: str) -> DataFrame:
     from tremolo.streaming.running import running_accuracy
