@@ -303,3 +303,20 @@ def test_noise_to_mask(spark):
     rows = spark.createDataFrame([(1, x.tolist(), (x + 0.01).tolist()), (2, None, [1.0]), (3, [1.0], None), (4, [], [])], "clip_id int, a array<double>, b array<double>")
     got = {r.clip_id: r.v for r in rows.select("clip_id", nmr(F.col("a"), F.col("b"), F.lit(16000)).alias("v")).collect()}
     assert got[1] == pytest.approx(noise_to_mask(x, x + 0.01, 16000)) and got[2] is got[3] is got[4] is None
+
+
+def test_clips_gathered_from_samples(spark):
+    from tremolo.sources.clips import _lists
+    import pyarrow as pa
+
+    want = [(None, [1.0, None]), (1, [float(v) for v in range(7)]), (2, [5.0]), (3, [6.0, 7.0]), (4, [8.0])]
+    flat = [(k, v) for k, x in want for v in x]
+    for size in range(1, len(flat) + 1):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat[i : i + size]], pa.int64()), pa.array([r[1] for r in flat[i : i + size]], pa.float64())], ["clip_id", "x"]) for i in range(0, len(flat), size)]
+        got = [r for b in _lists(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+        assert [(r["clip_id"], r["audio"]) for r in got] == want
+    rows = spark.createDataFrame([(k, i, v) for k, x in want for i, v in reversed(list(enumerate(x)))], "clip_id long, i int, x double")
+    clips = C.from_samples(rows)
+    assert {r.clip_id: r.audio for r in clips.collect()} == dict(want)
+    # samples are sorted as rows: no list of structs is collected and sorted
+    assert "collect_list" not in clips._jdf.queryExecution().optimizedPlan().toString()
