@@ -228,3 +228,19 @@ def test_held_out_texts_and_no_training(spark):
     got = C.score(docs, C.learn(docs.where("false"), slot_bits=16)).collect()
     assert sorted(r.n_tokens for r in got) == [1, 1, 3, 3] and all(r.n_known == r.train_tokens == 0 and r.base_score == 0 for r in got) and all(r.score < 0 for r in got)
     assert C.score(docs.where("false"), C.learn(docs, slot_bits=16)).count() == 0
+
+
+def test_every_training_row_is_counted_in_the_slots(spark):
+    from tremolo.llm import context_mixing as C
+
+    # Short texts, so many that a fitting sample would take some of them.
+    docs = spark.createDataFrame([(f"w{i}",) for i in range(3000)], "text string")
+    learned = C.learn(docs, slot_bits=16)
+    seen = np.zeros((2, 1 << 16, 2))
+    for i in range(3000):
+        for slots, _, bit, _ in decisions(f"w{i}", learned.model.words.to_pylist(), learned.model.code):
+            for k, s in enumerate(slots):
+                seen[k, s, bit] += 1
+    for k in range(2):
+        assert (C.log_odds(seen[k].ravel()) == learned.model.tables[k]).all()
+    assert (learned.model.weights == C.start_weights()).all()
