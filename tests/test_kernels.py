@@ -161,3 +161,10 @@ def test_long_clips_are_resampled_and_scored_in_parts():
     tracemalloc.reset_peak()
     assert dsp.stoi(y, y, 16000) > 0.99 and tracemalloc.get_traced_memory()[1] < 80 << 20
     tracemalloc.stop()
+
+
+def test_clips_stretched_together_equal_each_alone():
+    x = np.random.default_rng(9).normal(size=(5, 300))
+    for go in (lambda v: dsp.stretch(v, 1.4, 64), lambda v: dsp.stretch(v, 0.5, 64), lambda v: dsp.shift_pitch(v, 1.0, 64)):
+        many = go(x)
+        assert all(np.array_equal(many[i], go(x[i])) for i in range(5))

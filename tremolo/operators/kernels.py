@@ -56,6 +56,16 @@ def each(c: Clip, run) -> Column:
     return kernel(c, lambda rows, rate: [run(x, rate) for x in rows])
 
 
+def together(c: Clip, run) -> Column:
+    """run(rows) on clips of one length, as many at once as have about 65,536 samples."""
+
+    def go(rows: np.ndarray, rate: int) -> list[np.ndarray]:
+        most = max(1, (1 << 16) // rows.shape[1])
+        return [y for i in range(0, len(rows), most) for y in run(rows[i : i + most])]
+
+    return kernel(c, go)
+
+
 @lru_cache(64)
 def filter_for(kind: str, cutoff, order: int, rate: int):
     check(all(0 < f < rate / 2 for f in np.atleast_1d(cutoff)), f"cutoff {cutoff} isn't between 0 and {rate / 2}")
@@ -165,19 +175,19 @@ def _frame(n: int) -> int:
 def time_stretch(c: Clip, stretch_rate) -> Column:
     """A rate over 1 slows down, as documented."""
     check(stretch_rate > 0, "stretch_rate must be positive")
-    return each(c, lambda x, r: dsp.stretch(x, float(stretch_rate), _frame(len(x))))
+    return together(c, lambda x: dsp.stretch(x, float(stretch_rate), _frame(x.shape[1])))
 
 
 @register_attack("InvertedTimeStretch", "kernel", inverted_stretch_rate=2.0)
 def inverted_time_stretch(c: Clip, inverted_stretch_rate) -> Column:
     check(inverted_stretch_rate > 0, "inverted_stretch_rate must be positive")
     k = float(inverted_stretch_rate)
-    return each(c, lambda x, r: dsp.stretch(dsp.stretch(x, k, _frame(len(x))), 1 / k, _frame(len(x))))
+    return together(c, lambda x: dsp.stretch(dsp.stretch(x, k, _frame(x.shape[1])), 1 / k, _frame(x.shape[1])))
 
 
 @register_attack("PitchShiftAttack", "kernel", cents=5.0)
 def pitch_shift(c: Clip, cents) -> Column:
-    return each(c, lambda x, r: dsp.shift_pitch(x, float(cents) / 100, _frame(len(x))))
+    return together(c, lambda x: dsp.shift_pitch(x, float(cents) / 100, _frame(x.shape[1])))
 
 
 #: Third-order approximation of a slope of -3 dB an octave.
