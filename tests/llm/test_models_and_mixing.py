@@ -208,3 +208,21 @@ def test_pipeline(spark, tmp_path):
             assert at.count() <= before.count() and at.select("doc_id").distinct().count() == at.count()
         assert at.columns == columns or name == "pieces"
     assert at.count() > 0 and at.where("not round_trip").count() == 0
+
+
+def test_units_are_added_to_kept_lattices_in_place():
+    from tremolo.llm.sampled_pieces import MODEL, Lattices, sample_slice, vocabulary
+    from tremolo.llm import _text as X
+    import pyarrow as pa
+
+    v, texts = vocabulary(MODEL), ["some words", "other words here", "some more of the words", "and the last"]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    kept, columns = Lattices(v, 1.0), []
+    t = X.text_of(pa.array([" ".join(f"word{i}" for i in range(300))], pa.large_string()))
+    sample_slice(v, kept, t, keys[:1], 2)
+    for i, x in enumerate(texts):
+        t = X.text_of(pa.array([x], pa.large_string()))
+        got, want = sample_slice(v, kept, t, keys[i : i + 1], 2)[0], sample_slice(v, Lattices(v, 1.0), t, keys[i : i + 1], 2)[0]
+        assert [(a.tolist(), b, c) for a, b, c in got] == [(a.tolist(), b, c) for a, b, c in want]
+        columns.append(kept.log_p)
+    assert columns[1] is columns[2]  # not copied for each slice

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tremolo.llm import _text as X
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Nodes of lattices that a task keeps, or those of one slice if it has more.
 KEPT_NODES = 1_000_000
 U64 = np.uint64
@@ -137,15 +137,16 @@ class Lattices:
     Node x has count[x] arcs from base[x] on, by length; roots have none. Of an arc: its
     probability given its end node summed up to this arc (infinite for the last, so that no
     draw goes beyond it), log_p, log_rest (of the node's other arcs), length in characters, and
-    its piece's number, or -1 - code for bytes. leaf maps a unit's hash to its last node. Over
+    its piece's number, or -1 - code for bytes. leaf maps a unit's hash to its last node. Columns
+    have room beyond the nodes and arcs in use, so that new units are added in place. Over
     KEPT_NODES the store begins again with the units of the slice at hand.
     """
 
     def __init__(self, v: Vocabulary, theta: float):
-        self.v, self.theta = v, theta
+        self.v, self.theta, self.nodes, self.arcs = v, theta, 0, 0
         self.hashes, self.leaf = np.zeros(0, U64), np.zeros(0, np.int64)
         self.base, self.count = np.zeros(0, np.int64), np.zeros(0, np.int8)
-        self.upto = self.log_p = self.log_rest = np.zeros(0)
+        self.upto, self.log_p, self.log_rest = np.zeros(0), np.zeros(0), np.zeros(0)
         self.length, self.piece = np.zeros(0, np.int8), np.zeros(0, np.int32)
 
     def leaves(self, hashes: np.ndarray, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -155,22 +156,34 @@ class Lattices:
         new = np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
         if not len(new):
             return self.leaf[at]
-        if len(self.hashes) and len(self.base) + int((ends - begins)[new].sum()) + len(new) > KEPT_NODES:
+        if len(self.hashes) and self.nodes + int((ends - begins)[new].sum()) + len(new) > KEPT_NODES:
             self.__init__(self.v, self.theta)
             new = np.arange(len(hashes))
         sizes = (ends - begins)[new]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         take = np.repeat(begins[new] - offsets[:-1], sizes) + np.arange(offsets[-1])
         made = _built(self.v, codes[take], offsets, self.theta)
-        leaf = np.concatenate([self.leaf, len(self.base) + offsets[1:] + np.arange(len(new))])
-        made["base"] += len(self.piece)
-        for name, x in made.items():
-            setattr(self, name, np.concatenate([getattr(self, name), x]))
+        leaf = np.concatenate([self.leaf, self.nodes + offsets[1:] + np.arange(len(new))])
+        made["base"] += self.arcs
+        nodes, arcs = len(made["base"]), len(made["piece"])
+        for name in list(made):
+            self._add(name, made.pop(name), self.nodes if name in ("base", "count") else self.arcs)
+        self.nodes, self.arcs = self.nodes + nodes, self.arcs + arcs
         known = np.concatenate([self.hashes, hashes[new]])
         order = np.argsort(known, kind="stable")
         self.hashes, self.leaf = known[order], leaf[order]
         return self.leaf[np.searchsorted(self.hashes, hashes)]
 
+    def _add(self, name: str, x: np.ndarray, at: int) -> None:
+        """x from place at on in a column, which grows by a quarter at least where it has no room."""
+        column = getattr(self, name)
+        if at + len(x) > len(column):
+            grown = np.empty(max(at + len(x), at + at // 4), column.dtype)
+            grown[:at] = column[:at]
+            setattr(self, name, grown)
+            column = grown
+        column[at : at + len(x)] = x
+
     def draw(self, nodes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Decisions from each node to its unit's root, start by start: (index of the start, node, arc)."""
         who, node, out, count = np.arange(len(nodes)), nodes, [], np.zeros(len(nodes), np.int64)
