@@ -244,3 +244,39 @@ def test_every_training_row_is_counted_in_the_slots(spark):
     for k in range(2):
         assert (C.log_odds(seen[k].ravel()) == learned.model.tables[k]).all()
     assert (learned.model.weights == C.start_weights()).all()
+
+
+def test_long_texts_are_counted_and_scored_in_small_batches(spark, monkeypatch):
+    from tremolo.llm import context_mixing as C
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, most = spark.conf.get(key), spark.sparkContext.accumulator(0)
+    docs = spark.range(40, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(False).alias("held_out"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    alone = {r.doc_id: r.score for r in C.score(docs, C.learn(docs, slot_bits=16)).collect()}
+    monkeypatch.setattr(C, "BATCH_ROWS", 7)
+    for name in ("_count_slots", "_score"):
+
+        def counted(batches, *args, own=getattr(C, name), **named):
+            def each():
+                for b in batches:
+                    most.add(int(b.num_rows > 7))
+                    yield b
+
+            yield from own(each(), *args, **named)
+
+        monkeypatch.setattr(C, name, counted)
+    assert {r.doc_id: r.score for r in C.score(docs, C.learn(docs, slot_bits=16)).collect()} == alone
+    assert most.value == 0 and spark.conf.get(key) == before
+
+
+def test_gates_that_differ_are_looked_up():
+    from tremolo.llm import context_mixing as C
+    import pyarrow as pa
+
+    words = pa.array(["other", "words"], pa.large_string())
+    code = C.code_of(np.array([5, 3]), 4, 3, np.bincount(np.frombuffer(b"some rare", np.uint8), minlength=256))
+    rng = np.random.default_rng(5)
+    model = C.Model(words, code, rng.integers(-40, 40, (2, 1 << 16)).astype(np.int8), rng.random((32, 4)).astype(np.float32), 16)
+    texts = ["other words some rare", "", "words " * 900, "some rare " * 300]
+    got = C.cost(model, next(C.Words(C.X.text_of(pa.array(texts)), words).parts()))
+    assert got / math.log(10) == pytest.approx([plain_score(t, model) for t in texts], rel=2e-4, abs=1e-4)
