@@ -226,3 +226,21 @@ def test_units_are_added_to_kept_lattices_in_place():
         assert [(a.tolist(), b, c) for a, b, c in got] == [(a.tolist(), b, c) for a, b, c in want]
         columns.append(kept.log_p)
     assert columns[1] is columns[2]  # not copied for each slice
+
+
+def test_texts_of_a_slice_are_drawn_and_opened_together(monkeypatch):
+    import pyarrow as pa
+
+    from tremolo.llm import _text as X, sampled_pieces as S
+
+    v, calls = S.vocabulary(S.MODEL), []
+    own = S.uniforms
+    monkeypatch.setattr(S, "uniforms", lambda key, counter: (calls.append(len(key) if np.ndim(key) else 1), own(key, counter))[1])
+    texts = [f"the words of text {i} are here, 日本 too" for i in range(200)]
+    keys = np.arange(200, dtype=np.uint64)
+    got = S.sample_slice(v, S.Lattices(v, 1.0), X.text_of(pa.array(texts)), keys, 2)
+    # One for each text's choice of an arc; what else is drawn, by array steps over many texts.
+    assert sum(n > 1 for n in calls) < 100 and len(calls) < 400
+    for i in (0, 63, 64, 199):
+        alone = S.sample_slice(v, S.Lattices(v, 1.0), X.text_of(pa.array([texts[i]])), keys[i : i + 1], 2)[0]
+        assert [(a.tolist(), b, c) for a, b, c in got[i]] == [(a.tolist(), b, c) for a, b, c in alone]

@@ -203,12 +203,12 @@ class Lattices:
             count[who] += 1
             node = node - self.length[arc]
         start = np.cumsum(count) - count
-        by_start = np.empty((3, int(count.sum())), np.int64)
-        for step, columns in enumerate(out):
-            at = start[columns[0]] + step
-            for x, column in zip(by_start, columns):
-                x[at] = column
-        return by_start[0], by_start[1], by_start[2]
+        nodes, arcs = np.empty((2, int(count.sum())), np.int64)
+        for step, (who, node, arc) in enumerate(out):
+            at = start[who]
+            at += step
+            nodes[at], arcs[at] = node, arc
+        return np.repeat(np.arange(len(count)), count), nodes, arcs
 
 
 def _built(v: Vocabulary, codes: np.ndarray, offsets: np.ndarray, theta: float) -> dict[str, np.ndarray]:
@@ -301,16 +301,10 @@ class _Sample:
         self.leaves: list[tuple] = []
         self.queue: list[list] = []
 
-    def gumbel(self, n: int) -> np.ndarray:
-        at = np.arange(self.count, self.count + n)
-        self.count += n
-        return -np.log(-np.log(uniforms(self.gumbel_key, at)))
-
     def add(self, lattices: Lattices, leaf: tuple, value: float, since: int, used: set[int]) -> None:
         """A leaf whose decisions from `since` on leave siblings; at `since` the arcs `used` are taken too.
 
-        Decisions are opened in growing stretches, until what is left of the mass can't reach
-        the best value even with the largest draw, or there are none left.
+        Decisions are opened later, in growing stretches; see _open_for_best.
         """
         arcs = leaf[1]
         before = np.zeros(len(arcs) + 1)
@@ -318,39 +312,93 @@ class _Sample:
         self.leaves.append((*leaf, float(before[-1]), value, before))
         own = used | {int(arcs[since])} if since < len(arcs) else used
         self.queue.append([np.zeros(0), since, len(self.leaves) - 1, own])
-        self.open(lattices, len(self.queue) - 1)
 
-    def open(self, lattices: Lattices, k: int) -> None:
-        """Opens the next stretch of entry k's decisions."""
-        values, since, leaf, own = self.queue[k]
-        nodes, arcs, _, _, value, before = self.leaves[leaf]
+    def best(self) -> tuple[float, int, int]:
+        """Value of the best subtree that is open, its queue entry and decision."""
+        out = (-np.inf, -1, -1)
+        for k, (values, since, _, _) in enumerate(self.queue):
+            if len(values):
+                i = int(values.argmax())
+                if values[i] > out[0]:
+                    out = (float(values[i]), k, since + i)
+        return out
+
+    def unopened(self, best: float) -> int:
+        """An entry with a stretch that isn't open and could hold more than that, or -1."""
+        out = -1
+        for k, (values, since, leaf, _) in enumerate(self.queue):
+            at, before = since + len(values), self.leaves[leaf][5]
+            if at < len(before) - 1 and before[at] + _MOST >= best:
+                out = k
+        return out
+
+    def anew(self, lattices: Lattices, turn: int) -> tuple | None:
+        """Takes the best subtree: node below its first decision, that decision's arc, value, place, arcs used there, leaf."""
+        value, entry, decision = self.best()
+        if entry < 0:
+            return None
+        values, since, parent, own = self.queue[entry]
+        values[decision - since] = -np.inf
+        nodes, arcs = self.leaves[parent][:2]
+        at, taken = int(nodes[decision]), own if decision == since else {int(arcs[decision])}
+        free = _others(lattices, at, taken)
+        weights = np.cumsum(np.exp(lattices.log_p[free]))
+        u = uniforms(self.key + U64(77 + turn), np.array([decision]))[0] * weights[-1]
+        chosen = free[min(int(np.searchsorted(weights, u, "right")), len(free) - 1)]
+        return at - int(lattices.length[chosen]), chosen, value, decision, taken, parent
+
+
+def _gumbel(u: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(u))
+
+
+def _open(lattices: Lattices, wanted: list[tuple[_Sample, int]]) -> None:
+    """Opens the next stretch of each queue entry's decisions, all in the same array steps; a search comes once at most."""
+    own = []
+    for search, k in wanted:
+        values, since, leaf, _ = search.queue[k]
         a = since + len(values)
-        b = min(len(arcs), a + max(256, len(values)))
-        mass = before[a:b] + lattices.log_rest[arcs[a:b]]
-        if a == since and b > a and len(own) > 1:
-            rest = np.exp(lattices.log_p[_others(lattices, nodes[since], own)]).sum()
-            mass[0] = before[since] + np.log(rest) if rest > 0 else -np.inf
-        new, ok = np.full(b - a, -np.inf), np.isfinite(mass)
-        high = mass[ok] + self.gumbel(int(ok.sum()))
-        new[ok] = -np.logaddexp(-value, -high)
-        self.queue[k][0] = np.concatenate([values, new])
-
-    def best(self, lattices: Lattices) -> tuple[float, int, int]:
-        """Value of the best subtree, its queue entry and decision."""
-        while True:
-            out, open_at = (-np.inf, -1, -1), -1
-            for k, (values, since, _, _) in enumerate(self.queue):
-                if len(values):
-                    i = int(values.argmax())
-                    if values[i] > out[0]:
-                        out = (float(values[i]), k, since + i)
-            for k, (values, since, leaf, _) in enumerate(self.queue):
-                at, before = since + len(values), self.leaves[leaf][5]
-                if at < len(before) - 1 and before[at] + _MOST >= out[0]:
-                    open_at = k
-            if open_at < 0:
-                return out
-            self.open(lattices, open_at)
+        own.append((a, min(len(search.leaves[leaf][1]), a + max(256, len(values))), search.leaves[leaf]))
+    size = np.array([b - a for a, b, _ in own])
+    first = np.concatenate([[0], np.cumsum(size)])
+    mass = lattices.log_rest[np.concatenate([leaf[1][a:b] for a, b, leaf in own])]
+    mass += np.concatenate([leaf[5][a:b] for a, b, leaf in own])
+    for (search, k), (a, b, leaf), i in zip(wanted, own, first.tolist()):
+        values, since, _, used = search.queue[k]
+        if a == since and b > a and len(used) > 1:
+            rest = np.exp(lattices.log_p[_others(lattices, leaf[0][since], used)]).sum()
+            mass[i] = leaf[5][since] + np.log(rest) if rest > 0 else -np.inf
+    ok = np.isfinite(mass)
+    some = X.counts_between(ok, first)
+    drawn = np.array([search.count for search, _ in wanted])
+    counter = np.arange(int(some.sum())) + np.repeat(drawn - np.cumsum(some) + some, some)
+    high = mass[ok] + _gumbel(uniforms(np.repeat(np.array([search.gumbel_key for search, _ in wanted], U64), some), counter))
+    # -logaddexp(-value, -high)
+    value = np.repeat(np.array([leaf[4] for _, _, leaf in own]), some)
+    high -= value
+    new = np.full(len(mass), -np.inf)
+    new[ok] = np.minimum(high, 0) - np.log1p(np.exp(-np.abs(high))) + value
+    for (search, k), n, i, j in zip(wanted, some.tolist(), first[:-1].tolist(), first[1:].tolist()):
+        search.count += n
+        search.queue[k][0] = np.concatenate([search.queue[k][0], new[i:j]])
+
+
+#: Searches whose stretches are opened at once.
+_TOGETHER = 64
+
+
+def _open_newest(lattices: Lattices, searches: list[_Sample]) -> None:
+    for i in range(0, len(searches), _TOGETHER):
+        _open(lattices, [(x, len(x.queue) - 1) for x in searches[i : i + _TOGETHER]])
+
+
+def _open_for_best(lattices: Lattices, searches: list[_Sample]) -> None:
+    """Opens stretches until what is left of the mass can't reach any search's best, even with the largest draw."""
+    while searches:
+        wanted = [(x, k) for x in searches if (k := x.unopened(x.best()[0])) >= 0]
+        for i in range(0, len(wanted), _TOGETHER):
+            _open(lattices, wanted[i : i + _TOGETHER])
+        searches = [x for x, _ in wanted]
 
 
 def _others(lattices: Lattices, node: int, used: set[int]) -> list[int]:
@@ -394,36 +442,39 @@ def sample_slice(v: Vocabulary, lattices: Lattices, s: X.Text, keys: np.ndarray,
         who, node, arc = lattices.draw(leaf, unit_key)
         cut = np.searchsorted(who, per_text).tolist()
         who -= per_text[text_of[who]]
-        for t, search in enumerate(searches):
-            a, b = cut[t], cut[t + 1]
-            if turn == 0:
-                search.add(lattices, (node[a:b], arc[a:b], who[a:b]), float(search.gumbel(1)[0]), 0, set())
-                continue
-            value, entry, decision = search.best(lattices)
-            if entry < 0:
-                continue
-            values, since, parent, own = search.queue[entry]
-            values[decision - since] = -np.inf
+        if turn == 0:
+            values = _gumbel(uniforms(np.array([x.gumbel_key for x in searches], U64), np.zeros(len(searches), np.int64))).tolist()
+            for t, search in enumerate(searches):
+                a, b = cut[t], cut[t + 1]
+                search.count = 1
+                search.add(lattices, (node[a:b], arc[a:b], who[a:b]), values[t], 0, set())
+            _open_newest(lattices, searches)
+            continue
+        # one decision anew, then the rest of its unit (drawn for all texts at once), then the units after it
+        _open_for_best(lattices, searches)
+        anew = [(t, *found) for t, search in enumerate(searches) if (found := search.anew(lattices, turn))]
+        if not anew:
+            break
+        starts, draw_keys = np.array([x[1] for x in anew]), X.mix(np.array([searches[x[0]].key + U64(991 + turn) for x in anew], U64))
+        rest_of, more_nodes, more_arcs = lattices.draw(starts, draw_keys)
+        rest = np.searchsorted(rest_of, np.arange(len(anew) + 1)).tolist()
+        for j, (t, _, chosen, value, decision, taken, parent) in enumerate(anew):
+            search, a, b = searches[t], cut[t], cut[t + 1]
             nodes, arcs, units = search.leaves[parent][:3]
-            taken = own if decision == since else {int(arcs[decision])}
-            # one decision anew, then the rest of its unit, then the units after it
-            at, unit = int(nodes[decision]), int(units[decision])
-            free = _others(lattices, at, taken)
-            weights = np.cumsum(np.exp(lattices.log_p[free]))
-            u = uniforms(search.key + U64(77 + turn), np.array([decision]))[0] * weights[-1]
-            chosen = free[min(int(np.searchsorted(weights, u, "right")), len(free) - 1)]
-            _, more, more_arcs = lattices.draw(np.array([at - int(lattices.length[chosen])]), X.mix(np.array([search.key + U64(991 + turn)], U64)))
+            more, unit = slice(rest[j], rest[j + 1]), int(units[decision])
             later = a + int(np.searchsorted(who[a:b], unit, "right"))
             new = (
-                np.concatenate([nodes[:decision], [at], more, node[later:b]]),
-                np.concatenate([arcs[:decision], [chosen], more_arcs, arc[later:b]]),
-                np.concatenate([units[:decision], np.full(1 + len(more), unit), who[later:b]]),
+                np.concatenate([nodes[: decision + 1], more_nodes[more], node[later:b]]),
+                np.concatenate([arcs[:decision], [chosen], more_arcs[more], arc[later:b]]),
+                np.concatenate([units[: decision + 1], np.full(rest[j + 1] - rest[j], unit), who[later:b]]),
             )
             search.add(lattices, new, value, decision, taken)
+        _open_newest(lattices, [searches[x[0]] for x in anew])
+    ids = _ids_of(v, lattices, [leaf[1] for search in searches for leaf in search.leaves])
+    _open_for_best(lattices, searches)
     for t, search in enumerate(searches):
-        left = search.best(lattices)[0]
-        for _, arcs, _, log_prob, _, _ in search.leaves:
-            out[full[t]].append((_ids(v, lattices.piece[arcs[::-1]]), log_prob, log_inclusion(log_prob, left)))
+        left = search.best()[0]
+        out[full[t]] += [(next(ids), log_prob, log_inclusion(log_prob, left)) for *_, log_prob, _, _ in search.leaves]
     return out
 
 
@@ -435,28 +486,44 @@ def log_inclusion(log_prob: float, left: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
 
 
-def _ids(v: Vocabulary, piece: np.ndarray) -> np.ndarray:
-    """Ids of pieces by number; characters without a piece become the ids of their bytes."""
-    lone = np.flatnonzero(piece < 0)
-    ids = v.ids[np.maximum(piece, 0)]
-    if not len(lone):
-        return ids
-    parts, at = [], 0
-    for i in lone.tolist():
-        code = int(-1 - piece[i])
-        parts += [ids[at:i], v.byte_ids[list(chr(_MARK if code == _LITERAL else code).encode("utf-8", "replace"))]]
-        at = i + 1
-    return np.concatenate([*parts, ids[at:]])
+def _ids_of(v: Vocabulary, lattices: Lattices, leaves: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Ids of each leaf's pieces from the text's beginning on; characters without a piece become the ids of their bytes."""
+    for part in range(0, len(leaves), _TOGETHER):
+        own = leaves[part : part + _TOGETHER]
+        piece = lattices.piece[np.concatenate(own)[::-1]]
+        ids, ends = v.ids[np.maximum(piece, 0)], np.cumsum([len(x) for x in own[::-1]])
+        lone = np.flatnonzero(piece < 0)
+        if len(lone):
+            codes = -1 - piece[lone]
+            raw = [chr(_MARK if c == _LITERAL else c).encode("utf-8", "replace") for c in codes.tolist()]
+            size = np.ones(len(piece), np.int64)
+            size[lone] = [len(x) for x in raw]
+            before = np.cumsum(size)
+            ids = np.repeat(ids, size)
+            at = np.repeat(before[lone] - size[lone], size[lone])
+            at += np.arange(len(at)) - np.repeat(np.cumsum(size[lone]) - size[lone], size[lone])
+            ids[at] = v.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+            ends = before[ends - 1]
+        yield from np.split(ids, ends[:-1])[::-1]
 
 
 def decode(ids: np.ndarray, path: str = MODEL) -> bytes:
     """The text's bytes, without the blank that encoding puts before it."""
-    v = vocabulary(path)
-    if not len(ids):
-        return b""
-    start, size = v.start[ids], v.start[np.asarray(ids) + 1] - v.start[ids]
-    ends = np.cumsum(size)
-    return v.bytes[np.repeat(start - (ends - size), size) + np.arange(ends[-1])].tobytes()[1:]
+    return next(_decoded(vocabulary(path), [ids])).tobytes()
+
+
+def _decoded(v: Vocabulary, samples: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The bytes of each sample, without the blank before it; some are put together at once."""
+    for part in range(0, len(samples), _TOGETHER):
+        own = samples[part : part + _TOGETHER]
+        ids = np.concatenate(own).astype(np.int64)
+        start = v.start[ids]
+        size = v.start[ids + 1] - start
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = v.bytes[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum([len(x) for x in own])])].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield data[a + 1 : b]
 
 
 @X.releases
@@ -470,7 +537,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, k: int, theta: float)
             rows = [(first + i, n, *x) for i, samples in enumerate(sample_slice(v, lattices, s, keys[first:last], k)) for n, x in enumerate(samples)]
             ids = [r[2] for r in rows]
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            trip = [decode(x, path) == t.bytes(r[0]) for r, x in zip(rows, ids)]
+            trip = [np.array_equal(x, t.data[t.offsets[r[0]] : t.offsets[r[0] + 1]]) for r, x in zip(rows, _decoded(v, ids))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.float64()), pa.array(trip, pa.bool_())], names)
 
 
